@@ -6,13 +6,17 @@ over the (small) table of blocks, and the two are put together. One hot group th
 spreads over as many tasks as it has blocks.
 
 ``block`` columns must be a monotone function of the order: if row a comes before row b,
-then a's block does not come after b's.
+then a's block does not come after b's. Give them where the order is a dense number or a
+time; without them the rows are range-partitioned by keys and order and the partition
+number, frozen by a checkpoint, is the block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foliograph.session import settle
+
 BLOCK_ROWS = 65_536
 
 
@@ -25,7 +29,12 @@ def time_block(order: Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_seconds(order.cast("timestamp")) / seconds)
 
 
-def _keyed_blocks(df: DataFrame, keys: list[str], block: list[Column]) -> tuple[DataFrame, list[str]]:
+def _keyed_blocks(
+    df: DataFrame, keys: list[str], order: list, block: list[Column] | None
+) -> tuple[DataFrame, list[str]]:
+    if block is None:
+        ranged = df.repartitionByRange(*keys, *order)
+        return settle(ranged.withColumn("_block0", F.spark_partition_id())), ["_block0"]
     names = [f"_block{i}" for i in range(len(block))]
     return df.withColumns(dict(zip(names, block))), names
 
@@ -43,10 +52,10 @@ def _with_carry(df: DataFrame, keys: list[str], names: list[str], total: Column,
 
 
 def ordinals(
-    df: DataFrame, keys: list[str], order: list, block: list[Column], name: str = "ordinal"
+    df: DataFrame, keys: list[str], order: list, block: list[Column] | None = None, name: str = "ordinal"
 ) -> DataFrame:
     """1-based position of each row within its keys."""
-    cut, names = _keyed_blocks(df, keys, block)
+    cut, names = _keyed_blocks(df, keys, order, block)
     carried = _with_carry(cut, keys, names, F.count(F.lit(1)), F.sum)
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     place = F.coalesce("_carry", F.lit(0)) + F.row_number().over(inside)
@@ -54,10 +63,10 @@ def ordinals(
 
 
 def sum_before(
-    df: DataFrame, keys: list[str], order: list, block: list[Column], value: str, name: str
+    df: DataFrame, keys: list[str], order: list, block: list[Column] | None, value: str, name: str
 ) -> DataFrame:
     """Sum of ``value`` over the rows that come before each one."""
-    cut, names = _keyed_blocks(df, keys, block)
+    cut, names = _keyed_blocks(df, keys, order, block)
     carried = _with_carry(cut, keys, names, F.sum(value), F.sum)
     inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce("_carry", F.lit(0)) + F.coalesce(F.sum(value).over(inside), F.lit(0))
@@ -65,10 +74,10 @@ def sum_before(
 
 
 def running_max(
-    df: DataFrame, keys: list[str], order: list, block: list[Column], value: Column, name: str
+    df: DataFrame, keys: list[str], order: list, block: list[Column] | None, value: Column, name: str
 ) -> DataFrame:
     """Maximum of ``value`` over the rows up to and including each one."""
-    cut, names = _keyed_blocks(df.withColumn("_value", value), keys, block)
+    cut, names = _keyed_blocks(df.withColumn("_value", value), keys, order, block)
     carried = _with_carry(cut, keys, names, F.max("_value"), F.max)
     inside = (
         Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -212,5 +212,6 @@ def dedupe_paths(spark, sf_dir):
 def renumber(spark, sf_dir):
     """Places of the files a trim batch admits, closed up after the others are removed."""
     admitted = batch.admit(d.manifest(spark, sf_dir), "trim").filter("accepted")
-    placed = ranks.ordinals(admitted, ["batch_id"], ["ord", "path"], [ranks.seq_block(F.col("ord"))])
+    # line numbers repeat within a batch, so they cannot cut it into blocks
+    placed = ranks.ordinals(admitted.select("batch_id", "ord", "path"), ["batch_id"], ["ord", "path"])
     return placed.select("path", "ordinal")

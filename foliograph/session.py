@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A side is broadcast only after a count has shown it to be below this many rows.
+# A side is broadcast only after it has been measured to stay below both bounds.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -68,6 +69,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a bounded count proves it small, else leave the join to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` when it has been measured to be small, else leave the join to AQE.
+
+    The measure reads at most ``max_rows + 1`` rows; above either bound the join shuffles
+    and Spark's skew join splits hot keys.
+    """
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliograph.functions.timecodes import progress_percent
+from foliograph.functions.timecodes import out_time_us, ratio_percent
 from foliograph.operators.ranks import last_rows, seq_block
 from foliograph.operators.timeline import TOKEN_BLOCK, joined_tokens, join_blocks, token_rows
 from foliograph.session import scratch_path
@@ -42,13 +42,16 @@ def drain(stream: DataFrame, mode: str, label: str) -> str:
 
 
 def progress_stream(lines: DataFrame, durations: DataFrame) -> DataFrame:
-    """Highest percent per job (update mode): stream-static join and a running maximum."""
-    reported = lines.filter(F.startswith("line", F.lit("out_time_us=")))
-    joined = reported.join(durations.filter(F.col("duration") > 0), "job_id")
-    percent = progress_percent(F.col("line"), F.col("duration"))
-    return joined.withColumn("percent", percent).filter(F.col("percent").isNotNull()).groupBy("job_id").agg(
-        F.max("percent").alias("percent"), F.count(F.lit(1)).alias("reports")
-    )
+    """Highest percent per job (update mode).
+
+    The percent grows with the reported time, so the largest time per job is kept as state
+    and the durations are joined after that: a busy job costs one row per map task.
+    """
+    micros = lines.select("job_id", out_time_us(F.col("line")).alias("us")).filter(F.col("us").isNotNull())
+    reached = micros.groupBy("job_id").agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("reports"))
+    known = durations.filter(F.col("duration") > 0)
+    percent = ratio_percent(F.col("us") / 1000000.0, F.col("duration"))
+    return reached.join(known, "job_id").select("job_id", percent.alias("percent"), "reports")
 
 
 def latest_progress(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,12 +116,20 @@ def latest_tail(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.filter(F.col("epoch") == F.lit(newest)).drop("epoch")
 
 
-def manifest_stream(files: DataFrame, arrival: str | None = None, delay: str = "1 day") -> DataFrame:
+def manifest_stream(files: DataFrame, arrival: str | None = None, delay: str = "1 day", spread: int = 32) -> DataFrame:
     """Arriving files, each path once. Without ``arrival`` for good, with it within ``delay``,
-    which bounds the state."""
+    which bounds the state.
+
+    Copies are first dropped per path and salt, so the copies of one path are not all
+    sent to the same task.
+    """
+    salted = files.withColumn("_salt", F.spark_partition_id() % spread)
     if arrival is None:
-        return files.dropDuplicates(["path"])
-    return files.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["path"])
+        return salted.dropDuplicates(["path", "_salt"]).dropDuplicates(["path"]).drop("_salt")
+    marked = salted.withWatermark(arrival, delay)
+    return (
+        marked.dropDuplicatesWithinWatermark(["path", "_salt"]).dropDuplicatesWithinWatermark(["path"]).drop("_salt")
+    )
 
 
 def latest_files(spark: SparkSession, folder: str) -> DataFrame:
