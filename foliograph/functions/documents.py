@@ -14,31 +14,42 @@ NO_TOP_LEVEL_ARRAY = "TOML has no top-level array — only object/map data can c
 NEEDS_RECORDS = "CSV output requires an array of objects"
 
 
+def _sealed(text: Column) -> Column:
+    """The text as first element of a list that its own digest ends.
+
+    The parser ignores whatever follows the first value it has read. If the digest is read
+    back as second element, the whole text before it was exactly one value.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
+
+
+def _intact(sealed: Column, text: Column) -> Column:
+    return F.coalesce(F.try_variant_get(sealed, "$[1]", "string") == F.md5(text), F.lit(False))
+
+
 def is_json(text: Column) -> Column:
-    """Strict validity. The parser alone ignores what follows the first value; inside a
-    list and inside an object such a tail cannot go unnoticed."""
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
-    return in_list.isNotNull() & in_object.isNotNull()
+    """Strict validity of the whole text."""
+    return _intact(_sealed(text), text)
 
 
 def strict_json(text: Column) -> Column:
     """The parsed value, NULL unless the whole text is one JSON value."""
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
-    return F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$.w", "variant"))
+    kept = F.filter(F.array(_sealed(text)), lambda sealed: _intact(sealed, text))
+    return F.try_variant_get(F.get(kept, F.lit(0)), "$[0]", "variant")
 
 
 def variant_kind(value: Column) -> Column:
-    """object, array, string, number, boolean or null."""
+    """object, array, string, number, boolean or null. Containers are told by a shallow
+    cast; the schema of a whole document is never worked out."""
     kind = F.schema_of_variant(value)
     return (
-        F.when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
+        F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(value.try_cast("map<string,variant>").isNotNull(), "object")
+        .when(value.try_cast("array<variant>").isNotNull(), "array")
         .when(kind == "STRING", "string")
         .when(kind == "BOOLEAN", "boolean")
         .when(kind == "VOID", "null")
-        .otherwise(F.when(value.isNotNull(), "number"))
+        .otherwise("number")
     )
 
 

@@ -7,26 +7,26 @@ from pyspark.sql import Column, functions as F
 from foliograph.catalog import STAGES
 from foliograph.functions.text import trim_space
 
-NUMBER = r"(?i)^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?$|^[+-]?(?:inf|infinity|nan)$"
+_NUMBER = r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)"
 
 
 def plain_number(text: Column) -> Column:
     """A decimal number or NULL; unlike a bare cast no suffix, hex form or blank passes."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(text.rlike(f"(?i)^{_NUMBER}$(?!\n)"), text.try_cast("double"))
 
 
-def _clock(parts: Column) -> Column:
-    h, m, s = (plain_number(F.get(parts, F.lit(i))) for i in range(3))
-    return (
-        F.when(F.size(parts) == 1, h)
-        .when(F.size(parts) == 2, h * 60.0 + m)
-        .when(F.size(parts) == 3, h * 3600.0 + m * 60.0 + s)
-    )
+def clock(text: Column, least: int = 1) -> Column:
+    """Seconds of ``least`` to three numbers set apart by colons, NULL for anything else."""
+    form = f"(?i)^{_NUMBER}(?::{_NUMBER}){{{least - 1},2}}$(?!\n)"
+    parts = F.split(F.when(text.rlike(form), text), ":")
+    weights = F.slice(F.array(F.lit(3600.0), F.lit(60.0), F.lit(1.0)), 4 - F.size(parts), F.size(parts))
+    scaled = F.zip_with(parts, weights, lambda part, weight: part.try_cast("double") * weight)
+    return F.aggregate(scaled, F.lit(0.0), lambda total, part: total + part)
 
 
 def time_to_secs(text: Column) -> Column:
     """``S``, ``M:S`` or ``H:M:S`` in seconds, NULL for anything else."""
-    return _clock(F.split(trim_space(text), ":"))
+    return clock(trim_space(text))
 
 
 def secs_to_time(secs: Column) -> Column:
@@ -36,15 +36,17 @@ def secs_to_time(secs: Column) -> Column:
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
 
 
-def banner_parts(line: Column) -> Column:
-    """The clock parts after ``Duration:``, NULL when the line is no banner."""
-    shown = trim_space(F.regexp_extract(line, r"Duration:([^,]*)", 1))
-    parts = F.split(shown, ":")
-    return F.when(F.contains(line, F.lit("Duration:")) & (F.size(parts) == 3), parts)
+def _banner(line: Column) -> Column:
+    return trim_space(F.regexp_extract(line, r"Duration:([^,]*)", 1))
+
+
+def is_banner(line: Column) -> Column:
+    """The line names a duration of three parts, readable or not."""
+    return F.contains(line, F.lit("Duration:")) & (F.size(F.split(_banner(line), ":")) == 3)
 
 
 def banner_duration(line: Column) -> Column:
-    return _clock(banner_parts(line))
+    return F.when(F.contains(line, F.lit("Duration:")), clock(_banner(line), least=3))
 
 
 def out_time_us(line: Column) -> Column:

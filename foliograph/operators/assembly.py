@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from foliograph.catalog import INHERITED_KEYS
-from foliograph.operators.hierarchy import inherit_attributes
+from foliograph.operators.hierarchy import resolve_parents, take_from_parents
 from foliograph.operators.ranks import ordinals, seq_block, sum_before
 from foliograph.session import settle
 
@@ -103,20 +103,20 @@ def merge_documents(
     valid = summary.filter(F.col("error").isNull()).select(*keys, "pages_root")
     pool = objects.join(valid.select(*keys), keys, "left_semi")
 
-    attributes = [a for a in attributes if a in objects.columns]
-    if attributes:
-        nodes = pool.withColumnRenamed("obj_id", "node_id")
-        filled = inherit_attributes(nodes, attributes, [*keys, "doc_seq"]).withColumnRenamed("node_id", "obj_id")
-        # an inherited value goes onto pages only, all other nodes keep what they had
-        own = pool.select(*keys, "doc_seq", "obj_id", *[F.col(a).alias(f"_own_{a}") for a in attributes])
-        filled = filled.join(own, [*keys, "doc_seq", "obj_id"])
-        for a in attributes:
-            filled = filled.withColumn(a, F.when(F.col("page_no").isNotNull(), F.col(a)).otherwise(F.col(f"_own_{a}")))
-        pool = filled.drop(*[f"_own_{a}" for a in attributes])
-
+    # everything below reads this one table
     numbered = settle(renumber_objects(pool, keys))
     linked = rewrite_refs(numbered, numbered, keys).join(valid, keys)
     is_page = F.col("page_no").isNotNull()
+    attributes = [a for a in attributes if a in objects.columns]
+    if attributes:
+        scope = [*keys, "doc_seq"]
+        parents = resolve_parents(numbered.withColumnRenamed("obj_id", "node_id"), attributes, scope)
+        own = {f"_own_{a}": F.col(a) for a in attributes}
+        filled = take_from_parents(linked.withColumns(own), parents, attributes, scope)
+        # an inherited value goes onto pages only, all other nodes keep what they had
+        linked = filled.withColumns(
+            {a: F.when(is_page, F.col(a)).otherwise(F.col(f"_own_{a}")) for a in attributes}
+        ).drop(*own)
     merged = linked.withColumn(
         "new_parent_id", F.when(is_page, F.col("pages_root")).otherwise(F.col("new_parent_id"))
     ).drop("pages_root")

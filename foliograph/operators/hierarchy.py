@@ -13,22 +13,30 @@ def inherit_attributes(
 ) -> DataFrame:
     """Fill the attribute columns ``keys`` of (node_id, parent_id, keys...) from the nearest
     ancestor that has one; an own value wins. Cycles end where they close.
-
-    Only nodes that are a parent take part in the rounds. There each round doubles the
-    distance a node looks up: it takes what its pointer's node knows and then points where
-    that one points, so a chain of depth d needs about log2(d) rounds. A round that
-    fills nothing proves that no later one can. Leaves join the finished parents once.
     ``scope`` columns (a document, say) are part of the node identity.
     """
+    return take_from_parents(nodes, resolve_parents(nodes, keys, scope), keys, scope)
+
+
+def resolve_parents(
+    nodes: DataFrame, keys: list[str] = INHERITED_KEYS, scope: list[str] | None = None
+) -> DataFrame:
+    """Every node that is a parent, with its own and inherited values.
+
+    Only these nodes take part in the rounds. Each round doubles the distance a node looks
+    up: it takes what its pointer's node knows and then points where that one points, so a
+    chain of depth d needs about log2(d) rounds. A round that fills nothing proves that no
+    later one can.
+    """
     scope = scope or []
     wanted = nodes.select(*scope, F.col("parent_id").alias("node_id")).filter("node_id IS NOT NULL").distinct()
     inner = settle(
-        nodes.join(wanted, [*scope, "node_id"], "left_semi").select(
-            *scope, "node_id", F.col("parent_id").alias("up"), *keys
+        nodes.select(*scope, "node_id", F.col("parent_id").alias("up"), *keys).join(
+            wanted, [*scope, "node_id"], "left_semi"
         )
     )
-    known = {k: F.count(F.col(k)).alias(k) for k in keys}
-    before = inner.agg(*known.values()).first()
+    known = [F.count(k).alias(k) for k in keys]
+    before = inner.agg(*known).first()
     while True:
         above = inner.select(
             *[F.col(s).alias(f"_a_{s}") for s in scope],
@@ -44,15 +52,21 @@ def inherit_attributes(
                 *scope, "node_id", F.col("_a_up").alias("up"), *[F.coalesce(k, f"_a_{k}").alias(k) for k in keys]
             )
         )
-        after = inner.agg(*known.values()).first()
+        after = inner.agg(*known).first()
         if after == before:
-            break
+            return inner.drop("up")
         before = after
 
-    parents = inner.select(
+
+def take_from_parents(
+    nodes: DataFrame, parents: DataFrame, keys: list[str] = INHERITED_KEYS, scope: list[str] | None = None
+) -> DataFrame:
+    """Fill gaps from the finished parents: one join, whatever the depth."""
+    scope = scope or []
+    above = parents.select(
         *scope, F.col("node_id").alias("parent_id"), *[F.col(k).alias(f"_a_{k}") for k in keys]
     )
-    joined = nodes.join(parents, [*scope, "parent_id"], "left")
+    joined = nodes.join(above, [*scope, "parent_id"], "left")
     return joined.select(
         *[F.coalesce(c, f"_a_{c}").alias(c) if c in keys else F.col(c) for c in nodes.columns]
     )

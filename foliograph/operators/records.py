@@ -93,20 +93,20 @@ def flatten_documents(df: DataFrame, keys: list[str], value: str = "value", dept
         )
         items = F.transform(
             node.try_cast("array<variant>"),
-            lambda e, i: F.struct(F.format_string("[%d]", i).alias("step"), e.alias("node")),
+            lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), e.alias("node")),
         )
-        kind = variant_kind(node)
-        itself = F.array(F.struct(F.lit("").alias("step"), node.alias("node"))).cast(row_type)
-        inside = F.when(kind == "object", fields).when(kind == "array", items)
-        opened = F.when(F.coalesce(F.size(inside), F.lit(0)) > 0, inside.cast(row_type)).otherwise(itself)
-        rows = rows.select(*keys, "key_path", F.inline(opened)).select(
-            *keys, F.concat("key_path", "step").alias("key_path"), F.col("node").alias("_node")
+        itself = F.array(F.struct(F.lit("").alias("step"), node.alias("node")))
+        # an empty container has nothing to open and stays a leaf
+        inside = F.filter(
+            F.array(F.coalesce(fields.cast(row_type), items.cast(row_type))), lambda part: F.size(part) > 0
         )
+        rows = rows.select(
+            *keys, "key_path", F.inline(F.coalesce(F.get(inside, F.lit(0)), itself.cast(row_type)))
+        ).select(*keys, F.concat("key_path", "step").alias("key_path"), F.col("node").alias("_node"))
     node = F.col("_node")
-    text = F.when(F.schema_of_variant(node) == "STRING", F.try_variant_get(node, "$", "string"))
-    return rows.select(
-        *keys, "key_path", variant_kind(node).alias("type"), F.coalesce(text, F.to_json(node)).alias("leaf")
-    )
+    kind = variant_kind(node)
+    text = F.when(kind == "string", F.try_variant_get(node, "$", "string"))
+    return rows.select(*keys, "key_path", kind.alias("type"), F.coalesce(text, F.to_json(node)).alias("leaf"))
 
 
 def convert_batch(items: DataFrame) -> DataFrame:

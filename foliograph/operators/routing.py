@@ -7,6 +7,8 @@ computed per format is computed on the dimension and joined once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliograph import catalog
@@ -19,8 +21,14 @@ def usable_edges(edges: DataFrame, caps: list[str]) -> DataFrame:
     return edges.filter(F.col("cond").isin(caps))
 
 
+def _format_of(ext: Column) -> Column:
+    """Never NULL: else every join on it would first filter on the whole expression behind
+    the extension, below whatever shuffle and next to the scan."""
+    return F.coalesce(normalize_ext(ext), F.lit(""))
+
+
 def _by_format(manifest: DataFrame) -> DataFrame:
-    return manifest.withColumn("fmt", normalize_ext(F.col("ext")))
+    return manifest.withColumn("fmt", _format_of(F.col("ext")))
 
 
 def direct_targets(manifest: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,7 +113,7 @@ def min_cost_paths(
     )
     if blocked is not None:
         routes = drop_blocked(routes, blocked)
-    return settle(routes)
+    return routes
 
 
 def drop_blocked(routes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -113,16 +121,29 @@ def drop_blocked(routes: DataFrame, pairs: DataFrame) -> DataFrame:
     return routes.join(small_side(pairs.select("src_fmt", "dst_fmt")), ["src_fmt", "dst_fmt"], "left_anti")
 
 
-_catalog_routes: dict[tuple, DataFrame] = {}
+_built: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, name: str, caps: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """Dimensions of the built-in graph, worked out once per application and kept checkpointed."""
+    key = (spark.sparkContext.applicationId, name, tuple(caps))
+    if key not in _built:
+        _built[key] = settle(build())
+    return _built[key]
 
 
 def catalog_routes(spark: SparkSession, caps: tuple[str, ...] = (catalog.ALWAYS,)) -> DataFrame:
-    """Routes of the built-in graph, worked out once per application and kept checkpointed."""
-    key = (spark.sparkContext.applicationId, tuple(caps))
-    if key not in _catalog_routes:
-        edges = usable_edges(catalog.edges(spark), list(caps))
-        _catalog_routes[key] = min_cost_paths(edges, blocked=catalog.blocked(spark))
-    return _catalog_routes[key]
+    edges = usable_edges(catalog.edges(spark), list(caps))
+    return _once(spark, "routes", caps, lambda: min_cost_paths(edges, blocked=catalog.blocked(spark)))
+
+
+def catalog_steps(spark: SparkSession, caps: tuple[str, ...] = (catalog.ALWAYS,)) -> DataFrame:
+    return _once(spark, "steps", caps, lambda: route_steps(catalog_routes(spark, caps), catalog.handlers(spark)))
+
+
+def catalog_report(spark: SparkSession, caps: tuple[str, ...] = (catalog.ALWAYS,)) -> DataFrame:
+    edges = usable_edges(catalog.edges(spark), list(caps))
+    return _once(spark, "report", caps, lambda: format_report(edges, catalog_routes(spark, caps)))
 
 
 def plan_routes(items: DataFrame, routes: DataFrame) -> DataFrame:
@@ -130,7 +151,7 @@ def plan_routes(items: DataFrame, routes: DataFrame) -> DataFrame:
     table = routes.select(
         F.col("src_fmt").alias("fmt"), F.col("dst_fmt").alias("target_fmt"), "route", "hops", "cost"
     )
-    keyed = _by_format(items).withColumn("target_fmt", normalize_ext(F.col("target")))
+    keyed = _by_format(items).withColumn("target_fmt", _format_of(F.col("target")))
     planned = keyed.join(small_side(table), ["fmt", "target_fmt"], "left")
     return planned.withColumn(
         "error",
@@ -189,8 +210,12 @@ def format_report(edges: DataFrame, routes: DataFrame) -> DataFrame:
 
 def detect(manifest: DataFrame, edges: DataFrame, routes: DataFrame) -> DataFrame:
     """Direct and chained targets per file, or why it is not supported."""
-    report = small_side(settle(format_report(edges, routes)))
-    found = _by_format(manifest).join(report, "fmt", "left")
+    return detect_with(manifest, settle(format_report(edges, routes)))
+
+
+def detect_with(manifest: DataFrame, report: DataFrame) -> DataFrame:
+    """The same for a report worked out before."""
+    found = _by_format(manifest).join(small_side(report), "fmt", "left")
     return found.withColumn(
         "error",
         F.when(F.col("direct").isNull(), F.concat(F.lit("Unsupported file type: ."), "ext")),
@@ -248,17 +273,16 @@ def route_steps(routes: DataFrame, handlers: DataFrame) -> DataFrame:
     return routes.join(steps, ["src_fmt", "dst_fmt"])
 
 
-def expand_plan(
-    items: DataFrame, routes: DataFrame, handlers: DataFrame, temp_dir: str, out_dir: Column | str | None = None
-) -> DataFrame:
+def expand_plan(items: DataFrame, steps: DataFrame, temp_dir: str, out_dir: Column | str | None = None) -> DataFrame:
     """One row per item and hop. Only the last hop writes to the user's folder.
 
-    Handlers are attached to the routes, so the items meet one lookup and one explode.
+    ``steps`` are routes with their handlers (``route_steps``), so the items meet one lookup
+    and one explode.
     """
-    table = settle(route_steps(routes, handlers)).select(
+    table = steps.select(
         F.col("src_fmt").alias("fmt"), F.col("dst_fmt").alias("target_fmt"), "steps"
     )
-    keyed = _by_format(items).withColumn("target_fmt", normalize_ext(F.col("target")))
+    keyed = _by_format(items).withColumn("target_fmt", _format_of(F.col("target")))
     planned = keyed.join(small_side(table), ["fmt", "target_fmt"])
     total = F.size("steps")
     opened = planned.select(

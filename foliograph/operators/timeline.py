@@ -9,7 +9,7 @@ from foliograph.functions.documents import strict_json
 from foliograph.functions.text import trim_space
 from foliograph.functions.timecodes import (
     banner_duration,
-    banner_parts,
+    is_banner,
     is_progress_kv,
     progress_percent,
     secs_to_time,
@@ -31,18 +31,18 @@ def plan_trim(specs: DataFrame) -> DataFrame:
     for side in ("start", "end"):
         text = trim_space(F.coalesce(side, F.lit("")))
         bounds[f"{side}_s"] = F.when(text != "", time_to_secs(text))
-        bounds[f"_bad_{side}"] = (text != "") & time_to_secs(text).isNull()
+        bounds[f"_given_{side}"] = text != ""
     planned = specs.withColumns(bounds)
     s, e, whole = F.col("start_s"), F.col("end_s"), F.col("duration")
     error = (
-        F.when(F.col("_bad_start"), F.concat(F.lit("Invalid time: "), "start"))
-        .when(F.col("_bad_end"), F.concat(F.lit("Invalid time: "), "end"))
+        F.when(F.col("_given_start") & s.isNull(), F.concat(F.lit("Invalid time: "), "start"))
+        .when(F.col("_given_end") & e.isNull(), F.concat(F.lit("Invalid time: "), "end"))
         .when(e <= s, F.lit("End time must be after start time"))
     )
     span = F.when(s.isNotNull() & e.isNotNull(), e - s).when(e.isNotNull(), e)
     span = span.when(s.isNotNull(), F.when(whole.isNotNull(), F.greatest(whole - s, F.lit(0.0)))).otherwise(whole)
     with_error = planned.withColumn("error", error)
-    return with_error.withColumn("effective", F.when(F.col("error").isNull(), span)).drop("_bad_start", "_bad_end")
+    return with_error.withColumn("effective", F.when(F.col("error").isNull(), span)).drop("_given_start", "_given_end")
 
 
 def display_bounds(df: DataFrame, start: Column, end: Column, duration: Column) -> DataFrame:
@@ -80,8 +80,11 @@ def trim_series(events: DataFrame, specs: DataFrame, key: str, ts: str = "ts") -
     Keys without a valid spec yield nothing.
     """
     planned = plan_trim(specs.withColumn("duration", F.lit(None).cast("double")))
-    ranges = planned.filter(F.col("error").isNull()).select(
-        key, F.coalesce("start_s", F.lit(0.0)).alias("_from"), F.col("end_s").alias("_to")
+    # no event reaches infinity; a NULL here would have Spark infer a filter on the whole
+    # expression and push it below the aggregates that the specs may come from
+    start = F.when(F.col("error").isNull(), F.coalesce("start_s", F.lit(0.0)))
+    ranges = planned.select(
+        key, F.coalesce(start, F.lit(float("inf"))).alias("_from"), F.col("end_s").alias("_to")
     )
     per_key = _first_seen(events, key, ts).join(ranges, key)
     offset = _seconds_since(F.col(ts), F.col("_first"))
@@ -92,9 +95,8 @@ def trim_series(events: DataFrame, specs: DataFrame, key: str, ts: str = "ts") -
 
 def job_durations(lines: DataFrame) -> DataFrame:
     """Duration per job from its first complete banner."""
-    is_banner = banner_parts(F.col("line")).isNotNull()
     return (
-        lines.filter(is_banner)
+        lines.filter(is_banner(F.col("line")))
         .groupBy("job_id")
         .agg(F.min_by(F.struct(banner_duration(F.col("line")).alias("d")), "seq")["d"].alias("duration"))
     )

@@ -55,8 +55,8 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("l_orderkey").alias("batch_id"),
         F.col("l_linenumber").cast("bigint").alias("ord"),
-        path.alias("path"),
-        dealt(TARGETS, F.col("l_suppkey")).alias("target"),
+        F.coalesce(path, F.lit("")).alias("path"),
+        F.coalesce(dealt(TARGETS, F.col("l_suppkey")), F.lit("")).alias("target"),
     ).withColumn("ext", path_ext(F.col("path")))
 
 
@@ -116,7 +116,7 @@ def fenced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     paragraphs = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     fenced = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n```\n"))
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.when(n % 3 == 0, fenced).otherwise(paragraphs).alias("text")
     )
 

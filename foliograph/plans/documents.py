@@ -43,7 +43,7 @@ def _texts(spark, sf_dir):
         .when(n % 7 == 2, F.concat(F.lit("["), props, F.lit(", 2]"))).when(n % 7 == 3, F.concat(props, F.lit("]")))
         .when(n % 7 == 4, F.lit("")).otherwise(props)
     )
-    return table(spark, sf_dir, "events").select(n, text.alias("text"))
+    return table(spark, sf_dir, "events", "event_id", "props").select(n, text.alias("text"))
 
 
 @query("i0_is_json", f"WITH {VALIDITY_SQL} SELECT event_id, json_valid(text) AS valid FROM texts")
@@ -71,7 +71,7 @@ def decode_config(spark, sf_dir):
     toml = F.concat(F.lit('[part]\nname = "'), "p_name", F.lit('"\nsize = '), "p_size", F.lit("\n"))
     yaml = F.concat(F.lit("part:\n  name: "), "p_name", F.lit("\n  size: "), "p_size", F.lit("\n"))
     broken = F.when(n % 11 == 0, F.lit("= [\n")).otherwise(F.lit(""))
-    texts = table(spark, sf_dir, "part").select(
+    texts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select(
         n,
         F.when(n % 2 == 0, "toml").otherwise("yml").alias("ext"),
         F.concat(F.when(n % 2 == 0, toml).otherwise(yaml), broken).alias("text"),
@@ -124,7 +124,7 @@ def _arrays(spark, sf_dir):
         F.lit('[{"b":"'), "event_type", F.lit('","a":'), "user_id", F.lit('},{"a":null,"c":'), n, F.lit("},"), n,
         F.lit(',{"b":'), "props", F.lit("}]"),
     )
-    return records.parse_strict(table(spark, sf_dir, "events").select(n, text.alias("text"))).select(n, "value")
+    return records.parse_strict(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props").select(n, text.alias("text"))).select(n, "value")
 
 
 @query(
@@ -177,7 +177,7 @@ def shape_gate(spark, sf_dir):
         .when(n % 5 == 2, "[]").when(n % 5 == 3, F.concat(F.lit("["), n, F.lit(", {}]"))).otherwise(n.cast("string"))
     )
     target = F.when(n % 3 == 0, "toml").when(n % 3 == 1, "csv").otherwise("json")
-    docs = table(spark, sf_dir, "events").select(n, text.alias("text"), target.alias("target"))
+    docs = table(spark, sf_dir, "events", "event_id", "props").select(n, text.alias("text"), target.alias("target"))
     return records.shape_gate(records.parse_strict(docs).drop("error")).select("event_id", "shape", "error")
 
 
@@ -197,7 +197,7 @@ def flatten_documents(spark, sf_dir):
         F.lit('{"id":'), n, F.lit(',"user":{"id":'), "user_id", F.lit(',"seen":['), (n % 2 == 0).cast("string"),
         F.lit(',null,"'), "event_type", F.lit('"]},"props":'), "props", F.lit(',"none":{}}'),
     )
-    docs = records.parse_strict(table(spark, sf_dir, "events").select(n, doc.alias("text")))
+    docs = records.parse_strict(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props").select(n, doc.alias("text")))
     return records.flatten_documents(docs, ["event_id"], depth=4)
 
 
@@ -229,7 +229,7 @@ def _items(spark, sf_dir):
     )
     ext = F.element_at(F.lit(["json", "json", "csv", "json", "json", "toml", "xml", "yaml"]), (k + 1).cast("int"))
     target = F.element_at(F.lit(["json", "csv", "json", "json", "csv", "json", "json", "toml"]), (k + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props").select(
         n, F.col("user_id").alias("batch_id"), text.alias("text"), ext.alias("ext"), target.alias("target")
     )
 

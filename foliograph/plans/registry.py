@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.session import prepare
+from foliograph.session import prepare, widen
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,5 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table; with ``columns`` only these, spread over the cores for costly work per row."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widen(rows.select(*columns)) if columns else rows

@@ -273,7 +273,7 @@ def min_cost_paths(spark, sf_dir):
 )
 def expand_plan(spark, sf_dir):
     items = d.manifest(spark, sf_dir).select("path", "ext", "target")
-    plan = routing.expand_plan(items, routing.catalog_routes(spark), catalog.handlers(spark), "/tmp/chain", "/out")
+    plan = routing.expand_plan(items, routing.catalog_steps(spark), "/tmp/chain", "/out")
     return plan.select(
         "path", F.col("step").cast("bigint").alias("step"), "src_fmt", "dst_fmt", "hop_kind", "in_path", "out_path",
         "is_last", F.round("percent", 6).alias("percent"),
@@ -313,7 +313,7 @@ def inherit_attributes(spark, sf_dir):
     FROM manifest m LEFT JOIN direct ON m.fmt = direct.src_fmt LEFT JOIN chained ON m.fmt = chained.src_fmt""",
 )
 def detect(spark, sf_dir):
-    found = routing.detect(d.manifest(spark, sf_dir).select("path", "ext"), _edges(spark), routing.catalog_routes(spark))
+    found = routing.detect_with(d.manifest(spark, sf_dir).select("path", "ext"), routing.catalog_report(spark))
     listed = F.transform("chained", lambda c: F.concat(c["format"], F.lit(":"), F.array_join(c["route"], ">")))
     return found.select(
         "path", F.array_join("direct", ",").alias("direct"), F.array_join(listed, ",").alias("chained"), "error"

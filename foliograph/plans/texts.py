@@ -69,7 +69,7 @@ def balance_tags(spark, sf_dir):
     n = F.col("doc_id")
     marked = F.replace(F.col("text"), F.lit(" the "), F.lit(" <sup>the "))
     marked = F.replace(marked, F.lit(" of "), F.when(n % 2 == 0, F.lit(" <sub>of</sup> ")).otherwise(F.lit(" of</sub> ")))
-    marked_docs = table(spark, sf_dir, "documents").select(n, marked.alias("text"))
+    marked_docs = table(spark, sf_dir, "documents", "doc_id", "text").select(n, marked.alias("text"))
     return marked_docs.select(n, F.md5(text_fn.balance_tags(F.col("text"))).alias("text_md5"))
 
 
@@ -99,7 +99,7 @@ def sniff_format(spark, sf_dir):
         .when(n % 6 == 4, F.concat(F.lit("key = value without quotes\n"), body))
         .otherwise(body)
     )
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), n).alias("id"), mixed.alias("text"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.concat(F.lit("d"), n).alias("id"), mixed.alias("text"))
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
     return docs.unionByName(pages).select("id", documents.sniff_format(F.col("text")).alias("format"))
 
@@ -159,7 +159,7 @@ def fix_headings(spark, sf_dir):
 )
 def dehyphenate(spark, sf_dir):
     broken = F.replace(F.col("text"), F.lit("th"), F.lit("t-\nh"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text_fn.dehyphenate(broken)).alias("text_md5"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(text_fn.dehyphenate(broken)).alias("text_md5"))
 
 
 @query(
@@ -290,6 +290,6 @@ def shout_or_fail(texts: pd.Series) -> pd.Series:
     SELECT conv_id, turn, accepted, md5(CASE WHEN accepted THEN answer ELSE text END) AS text_md5 FROM g""",
 )
 def rewrite_chunks(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("chunk"))
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumnRenamed("text", "chunk")
     done = chunks.rewrite_chunks(turns, shout_or_fail)
     return done.select("conv_id", "turn", "accepted", F.md5("rewritten").alias("text_md5"))

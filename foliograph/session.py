@@ -36,6 +36,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # few small partitions are better not merged into fewer while cores are idle
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -69,6 +71,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread ``df`` over all cores when its input has fewer splits than there are cores.
+
+    For costly work per row on a few large splits; a no-op on inputs of many splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` when it has been measured to be small, else leave the join to AQE.
 
