@@ -55,7 +55,8 @@ def out_time_us(line: Column) -> Column:
 
 
 def ratio_percent(done: Column, total: Column) -> Column:
-    return F.when(total > 0, F.least(done / total * 100.0, F.lit(100.0)))
+    # least() skips NULLs, so an unknown part must be ruled out first
+    return F.when((total > 0) & done.isNotNull(), F.least(done / total * 100.0, F.lit(100.0)))
 
 
 def progress_percent(line: Column, duration: Column) -> Column:
