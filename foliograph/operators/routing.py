@@ -125,10 +125,11 @@ _built: dict[tuple, DataFrame] = {}
 
 
 def _once(spark: SparkSession, name: str, caps: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
-    """Dimensions of the built-in graph, worked out once per application and kept checkpointed."""
+    """Dimensions of the built-in graph, worked out once per application and kept as a local
+    table. Their size is fixed: at most one row per pair of formats of the catalog."""
     key = (spark.sparkContext.applicationId, name, tuple(caps))
     if key not in _built:
-        _built[key] = settle(build())
+        _built[key] = spark.createDataFrame(build().toArrow())
     return _built[key]
 
 

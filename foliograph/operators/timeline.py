@@ -9,12 +9,12 @@ from foliograph.functions.documents import strict_json
 from foliograph.functions.text import trim_space
 from foliograph.functions.timecodes import (
     banner_duration,
+    clock,
     is_banner,
     is_progress_kv,
     progress_percent,
     secs_to_time,
     step_percent,
-    time_to_secs,
 )
 from foliograph.operators.ranks import last_rows, running_max, seq_block
 
@@ -30,7 +30,7 @@ def plan_trim(specs: DataFrame) -> DataFrame:
     bounds = {}
     for side in ("start", "end"):
         text = trim_space(F.coalesce(side, F.lit("")))
-        bounds[f"{side}_s"] = F.when(text != "", time_to_secs(text))
+        bounds[f"{side}_s"] = clock(text)
         bounds[f"_given_{side}"] = text != ""
     planned = specs.withColumns(bounds)
     s, e, whole = F.col("start_s"), F.col("end_s"), F.col("duration")

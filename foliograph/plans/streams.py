@@ -13,7 +13,8 @@ from foliograph.streaming import monitors
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # written as a pattern, the path may be a file as well as a folder of files
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 @query(
