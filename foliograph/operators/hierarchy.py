@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, functions as F
 
 from foliograph.catalog import INHERITED_KEYS
-from foliograph.session import settle
+from foliograph.session import settle, settle_counting
 
 
 def inherit_attributes(
@@ -35,9 +38,8 @@ def resolve_parents(
             wanted, [*scope, "node_id"], "left_semi"
         )
     )
-    known = [F.count(k).alias(k) for k in keys]
-    before = inner.agg(*known).first()
-    while True:
+    filled = 1
+    while filled:
         above = inner.select(
             *[F.col(s).alias(f"_a_{s}") for s in scope],
             F.col("node_id").alias("_a_id"),
@@ -47,15 +49,21 @@ def resolve_parents(
         match = F.col("up") == F.col("_a_id")
         for s in scope:
             match &= F.col(s) == F.col(f"_a_{s}")
-        inner = settle(
-            inner.join(above, match, "left").select(
-                *scope, "node_id", F.col("_a_up").alias("up"), *[F.coalesce(k, f"_a_{k}").alias(k) for k in keys]
-            )
+        learns = [F.col(k).isNull() & F.col(f"_a_{k}").isNotNull() for k in keys]
+        inner, filled = settle_counting(
+            inner.join(above, match, "left")
+            .withColumn("_learns", reduce(or_, learns))
+            .select(
+                *scope,
+                "node_id",
+                F.col("_a_up").alias("up"),
+                *[F.coalesce(k, f"_a_{k}").alias(k) for k in keys],
+                "_learns",
+            ),
+            F.col("_learns"),
         )
-        after = inner.agg(*known).first()
-        if after == before:
-            return inner.drop("up")
-        before = after
+        inner = inner.drop("_learns")
+    return inner.drop("up")
 
 
 def take_from_parents(

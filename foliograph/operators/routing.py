@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliograph import catalog
 from foliograph.functions.paths import normalize_ext, output_path
-from foliograph.session import settle, small_side
+from foliograph.session import settle, settle_counting, small_side
 
 
 def usable_edges(edges: DataFrame, caps: list[str]) -> DataFrame:
@@ -54,13 +54,13 @@ def min_cost_paths(
     to the source wins, then the one with the larger name.
     Each round joins only the pairs that got cheaper in the round before.
     """
-    step = settle(
+    step, wrong = settle_counting(
         edges.filter(F.col("src_fmt") != F.col("dst_fmt"))
         .groupBy("src_fmt", "dst_fmt")
-        .agg(F.min("cost").cast("bigint").alias("cost"))
+        .agg(F.min("cost").cast("bigint").alias("cost")),
+        F.col("cost") < 1,
     )
-    cheapest = step.agg(F.min("cost")).first()[0]
-    if cheapest is not None and cheapest < 1:
+    if wrong:
         raise ValueError("edge costs must be positive")
     hop = step.select(F.col("src_fmt").alias("via"), F.col("dst_fmt").alias("next"), F.col("cost").alias("price"))
     hop = small_side(hop)
@@ -73,14 +73,15 @@ def min_cost_paths(
             .select("src_fmt", F.col("next").alias("dst_fmt"), (F.col("cost") + F.col("price")).alias("cost"))
         )
         known = best.select("src_fmt", "dst_fmt", "cost", F.col("cost").alias("old"))
-        merged = settle(
+        cheaper = F.col("old").isNull() | (F.col("cost") < F.col("old"))
+        merged, improved = settle_counting(
             known.unionByName(longer.withColumn("old", F.lit(None).cast("bigint")))
             .groupBy("src_fmt", "dst_fmt")
-            .agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
+            .agg(F.min("cost").alias("cost"), F.min("old").alias("old")),
+            cheaper,
         )
-        best = merged.drop("old")
-        fresh = merged.filter(F.col("old").isNull() | (F.col("cost") < F.col("old"))).drop("old")
-        if fresh.isEmpty():
+        best, fresh = merged.drop("old"), merged.filter(cheaper).drop("old")
+        if not improved:
             break
 
     reached = best.select("src_fmt", F.col("dst_fmt").alias("via"), F.col("cost").alias("to_via"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # A side is broadcast only after it has been measured to stay below both bounds.
 BROADCAST_ROWS = 100_000
@@ -71,6 +71,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_counting(df: DataFrame, flag: Column) -> tuple[DataFrame, int]:
+    """``settle`` that also tells how many rows satisfy ``flag``, without a second job.
+
+    A repeated stage may count rows twice, so only compare the number with zero.
+    """
+    seen = Observation()
+    watched = df.withColumn("_flag", flag).observe(seen, F.count(F.when(F.col("_flag"), 1)).alias("n"))
+    return settle(watched.drop("_flag")), seen.get["n"]
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread ``df`` over all cores when its input has fewer splits than there are cores.
 
