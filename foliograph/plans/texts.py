@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from foliograph.functions import documents, paths, text as text_fn
-from foliograph.operators import chunks
+from foliograph.operators import chunks, references
 from foliograph.plans import derived as d
 from foliograph.plans.registry import query, table
 
@@ -182,20 +182,7 @@ def resolve_refs(spark, sf_dir):
     known = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("/in/"), "l_orderkey", F.lit("/"), "l_linenumber", F.lit(".dat")).alias("path")
     ).distinct()
-    return resolve(texts, known).select("o_orderkey", "path", "format")
-
-
-def resolve(texts, manifest):
-    """``path`` of the manifest file a text names, or the sniffed ``format`` of the text."""
-    bare = text_fn.trim_space(F.col("text"))
-    single = ~bare.rlike(r"[\n\r\x00]")
-    named = F.when(bare.startswith("file://"), paths.percent_decode(F.substring(bare, 8, 2147483647))).when(
-        single & bare.startswith("/"), bare
-    )
-    known = manifest.select(F.col("path").alias("_path"))
-    found = texts.withColumn("_named", named).join(known, F.col("_named") == F.col("_path"), "left")
-    unresolved = F.when(F.col("_path").isNull(), F.col("text"))
-    return found.withColumn("format", documents.sniff_format(unresolved)).withColumnRenamed("_path", "path").drop("_named")
+    return references.resolve_refs(texts, known).select("o_orderkey", "path", "format")
 
 
 # paragraphs with their chunk number, by walking each text one paragraph at a time

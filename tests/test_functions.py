@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliograph.functions import documents, paths, text, timecodes
+from foliograph.operators import references
 
 
 def test_path_ext(apply):
@@ -155,3 +156,14 @@ def test_sniff(apply):
     }
     assert apply(documents.sniff_format, list(cases)) == list(cases.values())
     assert apply(documents.sniff_format, [None]) == [None]
+
+
+def test_resolve_refs(spark):
+    known = spark.createDataFrame([("/in/a b.txt",), ("/in/c.pdf",)], "path string")
+    cases = {
+        " file:///in/a%20b.txt\n": ("/in/a b.txt", None), "/in/c.pdf\n": ("/in/c.pdf", None), "/in/none.pdf": (None, "txt"),
+        "/in/c.pdf\nmore": (None, "txt"), "in/c.pdf": (None, "txt"), '{"a": 1}': (None, "json"), "file:///gone": (None, "txt"),
+    }
+    texts = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    got = {r.i: (r.path, r.format) for r in references.resolve_refs(texts, known).collect()}
+    assert got == dict(enumerate(cases.values()))
