@@ -98,6 +98,10 @@ ENCODER_ARGS = [
     ("opus", "-codec:a libopus -b:a 128k"),
     ("wav", "-codec:a pcm_s16le"),
     ("m4a", "-vn -codec:a aac -b:a 192k"),
+    (
+        "gif",
+        "-vf fps=15,scale=480:-1:flags=lanczos,split[s0][s1];[s0]palettegen[p];[s1][p]paletteuse",
+    ),
     ("webm", "-codec:v libvpx-vp9 -codec:a libopus"),
 ]
 
@@ -142,8 +146,24 @@ DOCUMENT_TYPE_IDS = [
 ]
 MARKUP_TYPE_IDS = [("public.rtf", "rtf"), ("public.html", "html")]
 
-# --- fixed values: which representation of an item wins ---
+# --- fixed values: type id an image extension is offered under ---
+NATIVE_TYPE_IDS = {
+    "png": "public.png",
+    "jpg": "public.jpeg",
+    "jpeg": "public.jpeg",
+    "gif": "com.compuserve.gif",
+    "tiff": "public.tiff",
+    "tif": "public.tiff",
+    "bmp": "com.microsoft.bmp",
+    "webp": "org.webmproject.webp",
+    "heic": "public.heic",
+    "heif": "public.heic",
+    "avif": "public.avif",
+}
+
+# --- fixed values: which representation of an item wins, with and without rich types ---
 REPRESENTATION_ORDER = ["file", "raw_image", "document", "text", "image", "markup"]
+PLAIN_REPRESENTATION_ORDER = ["file", "raw_image", "image"]
 
 # --- fixed values: PDF engines in order of preference ---
 ENGINE_ORDER = ["tectonic", "xelatex", "pdflatex", "lualatex", "wkhtmltopdf", "typst"]

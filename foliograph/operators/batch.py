@@ -101,14 +101,17 @@ def elect(df: DataFrame, keys: list[str], priority: list[str], columns: list[str
     return df.groupBy(*keys).agg(winner).select(*keys, *[F.col(f"_won.{c}").alias(c) for c in columns])
 
 
-def elect_representation(kinds: DataFrame) -> DataFrame:
+def native_type_id(ext: Column) -> Column:
+    """Type id an image extension is offered under, NULL for all others."""
+    ids = F.create_map(*[F.lit(x) for pair in catalog.NATIVE_TYPE_IDS.items() for x in pair])
+    return F.try_element_at(ids, ext)
+
+
+def elect_representation(kinds: DataFrame, order: list[str] = catalog.REPRESENTATION_ORDER) -> DataFrame:
     """Which of an item's present representations is used; NULL when none is present."""
-    order = F.array_position(F.lit(catalog.REPRESENTATION_ORDER), F.col("kind"))
-    usable = F.when(F.col("present") & (order > 0), order)
-    best = F.min(usable)
-    return kinds.groupBy("item_id").agg(
-        F.try_element_at(F.lit(catalog.REPRESENTATION_ORDER), best.cast("int")).alias("kind")
-    )
+    place = F.array_position(F.lit(order), F.col("kind"))
+    best = F.min(F.when(F.col("present") & (place > 0), place))
+    return kinds.groupBy("item_id").agg(F.try_element_at(F.lit(order), best.cast("int")).alias("kind"))
 
 
 def dedupe_paths(df: DataFrame, order: list[str], key: str = "path") -> DataFrame:

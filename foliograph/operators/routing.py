@@ -305,3 +305,10 @@ def expand_plan(items: DataFrame, steps: DataFrame, temp_dir: str, out_dir: Colu
         is_last.alias("is_last"),
         (F.col("hop.pos") / F.col("total") * 100.0).alias("percent"),
     )
+
+
+def hop_progress(plan: DataFrame, key: str = "path") -> DataFrame:
+    """Progress events of an expanded plan: one as each hop starts and 100 after the last."""
+    reports = F.when(F.col("is_last"), F.array("percent", F.lit(100.0))).otherwise(F.array("percent"))
+    opened = plan.select(key, "step", F.posexplode(reports).alias("after", "percent"))
+    return opened.select(key, (F.col("step") + F.col("after")).alias("seq"), "percent")

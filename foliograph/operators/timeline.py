@@ -135,6 +135,19 @@ def error_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(~is_progress_kv(F.col("line")) & (trim_space(F.col("line")) != ""))
 
 
+def shown_lines(lines: DataFrame) -> DataFrame:
+    """Trimmed lines without the blank ones, as a log view keeps them."""
+    return lines.withColumn("line", trim_space(F.col("line"))).filter(F.col("line") != "")
+
+
+def failure_message(detail: Column, status: Column) -> Column:
+    """What a failed job reports: its last lines or, without any, its exit status."""
+    said = trim_space(F.coalesce(detail, F.lit("")))
+    return F.when(said == "", F.concat(F.lit("ffmpeg exited with status "), F.coalesce(status, F.lit(-1)))).otherwise(
+        F.concat(F.lit("ffmpeg failed: "), said)
+    )
+
+
 def tail_lines(lines: DataFrame, n: int, key: str = "job_id", order: list[str] | None = None) -> DataFrame:
     """The last n lines of each job as one text."""
     order = order or ["seq"]

@@ -114,11 +114,16 @@ def _representations(spark, sf_dir):
 
 @query(
     "c6_map_types",
-    f"WITH {RULES_SQL}, {REPS_SQL} SELECT event_id, r.mime, kind, mapped_ext, priority FROM reps r JOIN rules USING (mime)",
+    f"""WITH {RULES_SQL}, {REPS_SQL} SELECT event_id, mime, kind, mapped_ext, priority,
+      CASE WHEN mapped_ext IN ('png', 'webp', 'heic', 'avif', 'gif', 'jpg', 'tif', 'bmp') THEN
+        CASE mapped_ext WHEN 'jpg' THEN 'public.jpeg' WHEN 'gif' THEN 'com.compuserve.gif' WHEN 'tif' THEN 'public.tiff'
+          WHEN 'bmp' THEN 'com.microsoft.bmp' WHEN 'webp' THEN 'org.webmproject.webp' ELSE concat('public.', mapped_ext) END END AS type_id
+    FROM reps JOIN rules USING (mime)""",
 )
 def map_types(spark, sf_dir):
     mapped = batch.map_types(_representations(spark, sf_dir), catalog.type_rules(spark))
-    return mapped.select("event_id", "mime", "kind", "mapped_ext", "priority")
+    type_id = batch.native_type_id(F.col("mapped_ext"))
+    return mapped.select("event_id", "mime", "kind", "mapped_ext", "priority", type_id.alias("type_id"))
 
 
 @query(

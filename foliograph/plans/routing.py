@@ -171,6 +171,7 @@ def usable_edges(spark, sf_dir):
       CASE target_fmt WHEN 'mp3' THEN '-codec:a libmp3lame -q:a 2' WHEN 'aac' THEN '-codec:a aac -b:a 192k'
         WHEN 'flac' THEN '-codec:a flac' WHEN 'opus' THEN '-codec:a libopus -b:a 128k'
         WHEN 'wav' THEN '-codec:a pcm_s16le' WHEN 'm4a' THEN '-vn -codec:a aac -b:a 192k'
+        WHEN 'gif' THEN '-vf fps=15,scale=480:-1:flags=lanczos,split[s0][s1];[s0]palettegen[p];[s1][p]paletteuse'
         WHEN 'webm' THEN '-codec:v libvpx-vp9 -codec:a libopus' END AS encoder_args
     FROM manifest""",
 )
@@ -280,6 +281,20 @@ def expand_plan(spark, sf_dir):
     )
 
 
+@query(
+    "e2_hop_progress",
+    f"""WITH RECURSIVE {d.MANIFEST_SQL}, {d.CATALOG_ROUTES_SQL}
+    SELECT path, n AS seq, round(n / hops * 100.0, 6) AS percent
+    FROM (SELECT path, hops, unnest(generate_series(0, hops)) AS n
+          FROM manifest m JOIN routes r ON m.fmt = r.src_fmt AND m.target_fmt = r.dst_fmt)""",
+)
+def hop_progress(spark, sf_dir):
+    items = d.manifest(spark, sf_dir).select("path", "ext", "target")
+    plan = routing.expand_plan(items, routing.catalog_steps(spark), "/tmp/chain", "/out")
+    events = routing.hop_progress(plan)
+    return events.select("path", F.col("seq").cast("bigint").alias("seq"), F.round("percent", 6).alias("percent"))
+
+
 @query(
     "h3_inherit_attributes",
     """WITH r AS (SELECT r_regionkey, r_name AS "MediaBox" FROM region),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliograph import catalog
+from foliograph.operators.timeline import shown_lines
 from foliograph.plans import derived as d
 from foliograph.plans.registry import query, table
 from foliograph.plans.timelines import PROGRESS_SQL, TOKENS_SQL
@@ -36,11 +37,12 @@ def token_stream(spark, sf_dir):
 
 @query(
     "k3_tail_stream",
-    f"""WITH {d.LOG_SQL}, kept AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM log_lines)
-    SELECT job_id, seq, line FROM kept WHERE rn <= {catalog.ERROR_TAIL_LINES}""",
+    f"""WITH {d.LOG_SQL}, kept AS (
+      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM log_lines WHERE trim(line) <> '')
+    SELECT job_id, seq, trim(line) AS line FROM kept WHERE rn <= {catalog.ERROR_TAIL_LINES}""",
 )
 def tail_stream(spark, sf_dir):
-    lines = d.log_lines_of(table_stream(spark, sf_dir, "events"))
+    lines = shown_lines(d.log_lines_of(table_stream(spark, sf_dir, "events")))
     folder = monitors.tail_stream(lines, catalog.ERROR_TAIL_LINES, ["job_id"], ["seq"])
     return monitors.latest_tail(spark, folder)
 

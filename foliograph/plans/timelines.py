@@ -179,17 +179,21 @@ def running_progress(spark, sf_dir):
     f"""WITH {d.LOG_SQL}, kept AS (
       SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM log_lines
       WHERE kind NOT IN ('click', 'view') AND line <> '   ')
-    SELECT job_id, string_agg(line, chr(10) ORDER BY seq) AS tail, count(*) AS kept FROM kept WHERE rn <= 15 GROUP BY job_id""",
+    SELECT job_id, concat('ffmpeg failed: ', trim(string_agg(line, chr(10) ORDER BY seq))) AS message, count(*) AS kept
+    FROM kept WHERE rn <= 15 GROUP BY job_id""",
 )
 def error_tail(spark, sf_dir):
     errors = timeline.error_lines(d.log_lines(spark, sf_dir))
-    return timeline.tail_lines(errors, catalog.ERROR_TAIL_LINES)
+    tails = timeline.tail_lines(errors, catalog.ERROR_TAIL_LINES)
+    return tails.select("job_id", timeline.failure_message(F.col("tail"), F.lit(1)).alias("message"), "kept")
 
 
 @query(
     "e4_log_tail",
-    f"""WITH {d.LOG_SQL}, kept AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM log_lines)
-    SELECT job_id, seq, line FROM kept WHERE rn <= 300""",
+    f"""WITH {d.LOG_SQL}, kept AS (
+      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM log_lines WHERE trim(line) <> '')
+    SELECT job_id, seq, trim(line) AS line FROM kept WHERE rn <= 300""",
 )
 def log_tail(spark, sf_dir):
-    return ranks.last_rows(d.log_lines(spark, sf_dir), ["job_id"], ["seq"], catalog.LOG_TAIL_LINES).select("job_id", "seq", "line")
+    shown = timeline.shown_lines(d.log_lines(spark, sf_dir))
+    return ranks.last_rows(shown, ["job_id"], ["seq"], catalog.LOG_TAIL_LINES).select("job_id", "seq", "line")

@@ -60,6 +60,8 @@ def test_election(spark):
     rows = [(i, k, k in present) for i, (present, _) in cases.items() for k in catalog.REPRESENTATION_ORDER]
     got = batch.elect_representation(spark.createDataFrame(rows, "item_id int, kind string, present boolean"))
     assert {r.item_id: r.kind for r in got.collect()} == {i: want for i, (_, want) in cases.items()}
+    plain = batch.elect_representation(spark.createDataFrame(rows, "item_id int, kind string, present boolean"), catalog.PLAIN_REPRESENTATION_ORDER)
+    assert {r.item_id: r.kind for r in plain.collect()} == {1: "file", 2: "raw_image", 3: None, 4: "image", 5: "image", 6: None, 7: None}
 
 
 def test_type_rules(spark):

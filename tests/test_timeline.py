@@ -66,3 +66,14 @@ def test_tokens(spark):
             (1, 5000, '{"response":"!","done":true}'), (2, 0, '{"done":"true"}'), (2, 1, "[]")]
     df = spark.createDataFrame(rows, "request_id int, seq long, line string")
     assert {tuple(r) for r in timeline.fold_tokens(df).collect()} == {(1, "He w!", True, 3), (2, "", False, 0)}
+
+
+def test_failure_message(spark):
+    df = spark.createDataFrame([("  a\nb \n", 1), (" ", 7), (None, None)], "d string, s int")
+    got = [r[0] for r in df.select(timeline.failure_message(df.d, df.s)).collect()]
+    assert got == ["ffmpeg failed: a\nb", "ffmpeg exited with status 7", "ffmpeg exited with status -1"]
+
+
+def test_shown_lines(spark):
+    log = lines(spark, {1: [" a ", "\t", "", "b"]})
+    assert [r.line for r in timeline.shown_lines(log).orderBy("seq").collect()] == ["a", "b"]
