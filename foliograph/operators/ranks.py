@@ -29,35 +29,35 @@ def time_block(order: Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_seconds(order.cast("timestamp")) / seconds)
 
 
-def _keyed_blocks(
-    df: DataFrame, keys: list[str], order: list, block: list[Column] | None
-) -> tuple[DataFrame, list[str]]:
+def _cut(df: DataFrame, keys: list[str], order: list, block: list[Column] | None) -> tuple[DataFrame, list[str]]:
+    """Add the block columns and ``_key``, the keys as one struct.
+
+    A struct is never NULL and equals another one with the same NULLs in it, so join and
+    window below can use the same columns and share one shuffle of the rows.
+    """
+    keyed = df.withColumn("_key", F.struct(*keys))
     if block is None:
-        ranged = df.repartitionByRange(*keys, *order)
-        return settle(ranged.withColumn("_block0", F.spark_partition_id())), ["_block0"]
+        ranged = keyed.repartitionByRange("_key", *order)
+        return settle(ranged.withColumn("_block0", F.spark_partition_id())), ["_key", "_block0"]
     names = [f"_block{i}" for i in range(len(block))]
-    return df.withColumns(dict(zip(names, block))), names
+    return keyed.withColumns(dict(zip(names, block))), ["_key", *names]
 
 
-def _with_carry(df: DataFrame, keys: list[str], names: list[str], total: Column, running) -> DataFrame:
+def _with_carry(df: DataFrame, names: list[str], total: Column, running) -> DataFrame:
     """Join each row with ``running(total)`` over the blocks before its own as ``_carry``."""
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = df.groupBy(*keys, *names).agg(total.alias("_total"))
-    carried = blocks.select(*keys, *names, running("_total").over(before).alias("_carry"))
-    renamed = carried.select(
-        *[F.col(c).alias(f"_c_{c}") for c in keys + names], "_carry"
-    )
-    match = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in keys + names]
-    return df.join(renamed, match, "left").drop(*[f"_c_{c}" for c in keys + names])
+    key, *places = names
+    before = Window.partitionBy(key).orderBy(*places).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy(*names).agg(total.alias("_total"))
+    return df.join(blocks.select(*names, running("_total").over(before).alias("_carry")), names, "left")
 
 
 def ordinals(
     df: DataFrame, keys: list[str], order: list, block: list[Column] | None = None, name: str = "ordinal"
 ) -> DataFrame:
     """1-based position of each row within its keys."""
-    cut, names = _keyed_blocks(df, keys, order, block)
-    carried = _with_carry(cut, keys, names, F.count(F.lit(1)), F.sum)
-    inside = Window.partitionBy(*keys, *names).orderBy(*order)
+    cut, names = _cut(df, keys, order, block)
+    carried = _with_carry(cut, names, F.count(F.lit(1)), F.sum)
+    inside = Window.partitionBy(*names).orderBy(*order)
     place = F.coalesce("_carry", F.lit(0)) + F.row_number().over(inside)
     return carried.withColumn(name, place.cast("bigint")).drop("_carry", *names)
 
@@ -66,9 +66,9 @@ def sum_before(
     df: DataFrame, keys: list[str], order: list, block: list[Column] | None, value: str, name: str
 ) -> DataFrame:
     """Sum of ``value`` over the rows that come before each one."""
-    cut, names = _keyed_blocks(df, keys, order, block)
-    carried = _with_carry(cut, keys, names, F.sum(value), F.sum)
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cut, names = _cut(df, keys, order, block)
+    carried = _with_carry(cut, names, F.sum(value), F.sum)
+    inside = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce("_carry", F.lit(0)) + F.coalesce(F.sum(value).over(inside), F.lit(0))
     return carried.withColumn(name, total.cast("bigint")).drop("_carry", *names)
 
@@ -77,10 +77,10 @@ def running_max(
     df: DataFrame, keys: list[str], order: list, block: list[Column] | None, value: Column, name: str
 ) -> DataFrame:
     """Maximum of ``value`` over the rows up to and including each one."""
-    cut, names = _keyed_blocks(df.withColumn("_value", value), keys, order, block)
-    carried = _with_carry(cut, keys, names, F.max("_value"), F.max)
+    cut, names = _cut(df.withColumn("_value", value), keys, order, block)
+    carried = _with_carry(cut, names, F.max("_value"), F.max)
     inside = (
-        Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     best = F.greatest("_carry", F.max("_value").over(inside))
     return carried.withColumn(name, best).drop("_carry", "_value", *names)
