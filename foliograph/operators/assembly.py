@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from foliograph.catalog import INHERITED_KEYS
 from foliograph.operators.hierarchy import resolve_parents, take_from_parents
 from foliograph.operators.ranks import ordinals, seq_block, sum_before
-from foliograph.session import settle
+from foliograph.session import per_key, settle
 
 TOO_FEW = "Need at least 2 PDFs to merge"
 
@@ -75,8 +75,8 @@ def merge_summary(objects: DataFrame, keys: list[str]) -> DataFrame:
     totals = objects.groupBy(*keys, "doc_seq").agg(
         F.count(F.lit(1)).alias("n"), F.count("page_no").alias("pages")
     )
-    counted = totals.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("n").alias("objects"), F.sum("pages").alias("pages")
+    counted = per_key(
+        totals, keys, F.count(F.lit(1)).alias("documents"), F.sum("n").alias("objects"), F.sum("pages").alias("pages")
     )
     enough = F.col("documents") >= 2
     return counted.select(

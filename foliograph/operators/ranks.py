@@ -8,7 +8,7 @@ spreads over as many tasks as it has blocks.
 ``block`` columns must be a monotone function of the order: if row a comes before row b,
 then a's block does not come after b's. Give them where the order is a dense number or a
 time; without them the rows are range-partitioned by keys and order and the partition
-number, frozen by a checkpoint, is the block.
+number, frozen by writing it out, is the block.
 """
 
 from __future__ import annotations

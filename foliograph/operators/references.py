@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliograph.functions.documents import sniff_format
 from foliograph.functions.paths import percent_decode
 from foliograph.functions.text import trim_space
+from foliograph.session import per_key
 
 _SCHEME = "file://"
 
@@ -28,7 +29,7 @@ def resolve_refs(texts: DataFrame, manifest: DataFrame, text: str = "text") -> D
     shuffled nor gathered under one NULL key.
     """
     marked = texts.withColumn("_named", named_path(F.col(text)))
-    known = manifest.select(F.col("path").alias("_named"), F.col("path"))
+    known = per_key(manifest.select(F.col("path").alias("_named")), ["_named"], F.first("_named").alias("path"))
     joined = marked.filter(F.col("_named").isNotNull()).join(known, "_named", "left")
     others = marked.filter(F.col("_named").isNull()).withColumn("path", F.lit(None).cast("string"))
     both = joined.unionByName(others).drop("_named")

@@ -17,6 +17,7 @@ from foliograph.functions.timecodes import (
     step_percent,
 )
 from foliograph.operators.ranks import last_rows, running_max, seq_block
+from foliograph.session import per_key
 
 TOKEN_BLOCK = 4096
 
@@ -58,7 +59,7 @@ def display_bounds(df: DataFrame, start: Column, end: Column, duration: Column)
 
 
 def _first_seen(events: DataFrame, key: str, ts: str) -> DataFrame:
-    return events.groupBy(key).agg(F.min(ts).alias("_first"))
+    return per_key(events, [key], F.min(ts).alias("_first"))
 
 
 def _seconds_since(ts: Column, first: Column) -> Column:
@@ -80,26 +81,26 @@ def trim_series(events: DataFrame, specs: DataFrame, key: str, ts: str = "ts") -
     Keys without a valid spec yield nothing.
     """
     planned = plan_trim(specs.withColumn("duration", F.lit(None).cast("double")))
-    # no event reaches infinity; a NULL here would have Spark infer a filter on the whole
-    # expression and push it below the aggregates that the specs may come from
     start = F.when(F.col("error").isNull(), F.coalesce("start_s", F.lit(0.0)))
-    ranges = planned.select(
-        key, F.coalesce(start, F.lit(float("inf"))).alias("_from"), F.col("end_s").alias("_to")
-    )
-    per_key = _first_seen(events, key, ts).join(ranges, key)
+    ranges = planned.select(key, start.alias("_from"), F.col("end_s").alias("_to"))
+    # first event and bounds of a key come out of one aggregation over both inputs
+    bounds = per_key(
+        events.select(key, ts).unionByName(ranges, allowMissingColumns=True),
+        [key],
+        F.min(ts).alias("_first"),
+        F.max("_from").alias("_from"),
+        F.max("_to").alias("_to"),
+    ).filter(F.col("_from").isNotNull())
     offset = _seconds_since(F.col(ts), F.col("_first"))
     inside = (offset >= F.col("_from")) & (F.col("_to").isNull() | (offset <= F.col("_to")))
-    trimmed = events.join(per_key, key).filter(inside)
+    trimmed = events.join(bounds, key).filter(inside)
     return trimmed.withColumn("offset", offset - F.col("_from")).drop("_first", "_from", "_to")
 
 
 def job_durations(lines: DataFrame) -> DataFrame:
     """Duration per job from its first complete banner."""
-    return (
-        lines.filter(is_banner(F.col("line")))
-        .groupBy("job_id")
-        .agg(F.min_by(F.struct(banner_duration(F.col("line")).alias("d")), "seq")["d"].alias("duration"))
-    )
+    first = F.min_by(F.struct(banner_duration(F.col("line")).alias("d")), "seq")
+    return per_key(lines.filter(is_banner(F.col("line"))), ["job_id"], first["d"].alias("duration"))
 
 
 def log_progress(lines: DataFrame, durations: DataFrame) -> DataFrame:

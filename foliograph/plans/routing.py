@@ -9,6 +9,7 @@ from foliograph.functions import paths
 from foliograph.operators import batch, hierarchy, routing
 from foliograph.plans import derived as d
 from foliograph.plans.registry import query, table
+from foliograph.session import per_key
 
 
 def _edges(spark: SparkSession, caps: list[str] | None = None) -> DataFrame:
@@ -49,7 +50,7 @@ def output_path(spark, sf_dir):
         paths.output_path(F.col("path"), F.col("target")).alias("beside"),
         paths.output_path(F.col("path"), F.col("target"), "/out").alias("in_folder"),
     )
-    clashes = named.groupBy("in_folder").agg(F.count(F.lit(1)).alias("collisions"))
+    clashes = per_key(named, ["in_folder"], F.count(F.lit(1)).alias("collisions"))
     return named.join(clashes, "in_folder")
 
 

@@ -181,7 +181,7 @@ def resolve_refs(spark, sf_dir):
     texts = table(spark, sf_dir, "orders").select(n, text.alias("text"))
     known = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("/in/"), "l_orderkey", F.lit("/"), "l_linenumber", F.lit(".dat")).alias("path")
-    ).distinct()
+    )
     return references.resolve_refs(texts, known).select("o_orderkey", "path", "format")
 
 

@@ -65,10 +65,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and cut its lineage there."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    Cuts the lineage like a checkpoint, survives lost executors, and the reader gets column
+    pruning, the true size for its join choices and no inherited partitioning: a side that is
+    shuffled for the join at hand is one the skew join can split.
+    """
+    spark = df.sparkSession
+    folder = scratch_path(spark, "step")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def settle_counting(df: DataFrame, flag: Column) -> tuple[DataFrame, int]:
@@ -81,6 +87,17 @@ def settle_counting(df: DataFrame, flag: Column) -> tuple[DataFrame, int]:
     return settle(watched.drop("_flag")), seen.get["n"]
 
 
+def per_key(df: DataFrame, keys: list[str], *values: Column) -> DataFrame:
+    """Aggregate per keys for a join on these keys.
+
+    Grouped by a struct of the keys, the result is shuffled once more for the join. It is
+    small, and only sides that come straight out of a shuffle let the skew join split the
+    hot keys of the other side.
+    """
+    grouped = df.groupBy(F.struct(*keys).alias("_k")).agg(*values)
+    return grouped.select("_k.*", *[c for c in grouped.columns if c != "_k"])
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread ``df`` over all cores when its input has fewer splits than there are cores.
 
