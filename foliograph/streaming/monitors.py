@@ -28,7 +28,12 @@ def epoch_writer(folder: str) -> Callable[[DataFrame, int], None]:
 def start(
     stream: DataFrame, folder: str, mode: str, once: bool = True, write: Callable[[DataFrame, int], None] | None = None
 ) -> StreamingQuery:
-    """Run ``stream`` into ``folder``; with ``once`` it ends when all present input is read."""
+    """Run ``stream`` into ``folder``; with ``once`` it ends when all present input is read.
+
+    An empty epoch -1 makes the folder readable before the first batch.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/epoch=-1")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}-progress")
     writer = writer.foreachBatch(write or epoch_writer(folder))
     return writer.trigger(availableNow=True).start() if once else writer.start()
@@ -93,10 +98,8 @@ def tail_writer(folder: str, n: int, keys: list[str], order: list[str]) -> Calla
     epoch before with its own lines, so at most n lines per job are carried on."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        kept = last_rows(batch, keys, order, n).drop("tail_pos")
-        if epoch > 0:
-            previous = batch.sparkSession.read.schema(kept.schema).parquet(f"{folder}/epoch={epoch - 1}")
-            kept = last_rows(previous.unionByName(kept), keys, order, n).drop("tail_pos")
+        previous = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/epoch={epoch - 1}")
+        kept = last_rows(previous.unionByName(batch), keys, order, n).drop("tail_pos")
         kept.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
     return write

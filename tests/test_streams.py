@@ -70,3 +70,11 @@ def test_a_repeated_epoch_replaces_its_rows(spark):
     write(spark.createDataFrame([("a",)], "path string"), 0)
     write(spark.createDataFrame([("a",)], "path string"), 0)
     assert monitors.latest_files(spark, folder).count() == 1
+
+
+def test_no_input(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    lines = spark.readStream.schema("job_id int, seq long, line string").parquet(str(tmp_path / "none"))
+    assert monitors.latest_tail(spark, monitors.tail_stream(lines, 3, ["job_id"], ["seq"])).isEmpty()
+    folder = monitors.drain(monitors.manifest_stream(lines.select(F.col("line").alias("path"))), "append", "t")
+    assert monitors.latest_files(spark, folder).isEmpty()
