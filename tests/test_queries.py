@@ -8,7 +8,7 @@ from compare import TABLES_ROOT, compare, connect
 import __spark_entry__ as entry
 
 SF_DIR = f"{TABLES_ROOT}/sf0.001"
-ORACLES = entry.oracle_sql()
+ORACLES = entry.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
 
@@ -18,14 +18,14 @@ def tables():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.QUERIES))
 def test_query(spark, tables, name):
-    _, _, message = compare(spark, tables, name, entry.queries()[name], ORACLES.get(name), SF_DIR)
+    _, _, message = compare(spark, tables, name, entry.QUERIES[name], ORACLES.get(name), SF_DIR)
     assert not message
 
 
 def test_only_the_file_listing_has_no_sql():
-    assert set(entry.queries()) - set(ORACLES) == {"a1_file_manifest"}
+    assert set(entry.QUERIES) - set(ORACLES) == {"a1_file_manifest"}
 
 
 def test_entry(spark):
