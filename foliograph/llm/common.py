@@ -126,3 +126,18 @@ def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         any_other[order[1:]] = same
         any_other[order[:-1][same]] = True
     return later, any_other
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, fold: Column) -> DataFrame:
+    """``docs`` joined with ``_label`` for at most ``sample`` ids, those of the smallest digest inside ``fold``.
+
+    NULL ids and labels, and ids whose labels differ, are left out. Ids are chosen before any text is read;
+    the bound on their number is what makes the broadcast safe.
+    """
+    agreed = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
+        F.min(label).cast("int").alias("_label"), F.max(label).cast("int").alias("_top")
+    )
+    usable = agreed.where((F.col("_label") == F.col("_top")) & fold)
+    present = usable.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("_h", F.xxhash64("doc_id"))
+    chosen = present.orderBy("_h", "doc_id").limit(sample).select("doc_id", "_label")
+    return docs.join(F.broadcast(chosen), "doc_id")

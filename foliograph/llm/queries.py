@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliograph.llm import attention, decontaminate, line_dedup, mixing, simhash
+from foliograph.llm import attention, crossparse, decision_list, decontaminate, line_dedup, mixing, ppm, secret_forest, simhash, url_rules
 from foliograph.llm.common import table
 from foliograph.session import prepare
 
@@ -59,3 +59,35 @@ def op3_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = attention.score_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decision_list.judge_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@query("op5_language_crossparse")
+def op5_language_crossparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossparse.predict_language(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query("op8_ppm")
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op10_url_rules")
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's URL ends in the id of its document, whose quality is the label of the URL."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").where("quality is not null")
+    marks = labels.groupBy("doc_id").agg(F.when(F.min("quality") == 0, "block").otherwise("allow").alias("verdict"))
+    number = F.regexp_extract(url_rules.path_of(F.col("url")), r"/(\d{1,18})(?:\.[A-Za-z]+)?/?$", 1)
+    numbered = pages.select("url", number.try_cast("bigint").alias("doc_id"))
+    return url_rules.judge_urls(pages, numbered.join(marks, "doc_id").select("url", "verdict"))
+
+
+@query("op4_secret_forest")
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
