@@ -44,13 +44,13 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         high = np.minimum(low + PASSAGE, first[owner + 1])
         bounds = np.append(low, first[-1])  # passages lie end to end
         n = np.maximum(1, high - low)
-        lengths = (ends - starts).astype(np.float64)
+        lengths = ends - starts
         hashes = run_hashes(data, starts, ends)
         passage = np.repeat(np.arange(len(low)), high - low)
         twice, _ = repeats(scramble(hashes + passage.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         adjacent = np.zeros(len(starts), bool)
         adjacent[1:] = (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1])
-        size = np.maximum(1.0, sums(lengths, bounds))
+        size = np.maximum(1, sums(lengths, bounds))
         columns = [sums(twice, bounds) / n, sums(adjacent, bounds) / n, size / n / 10]
         columns.append(np.sqrt(np.maximum(0, sums(lengths**2, bounds) / n - (size / n) ** 2)) / 10)
         columns.append((high - low) / PASSAGE)
@@ -59,8 +59,8 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
             columns.append(sums(per_word, bounds) / size)
         columns.append(sums(lengths == 1, bounds) / n)
         breaks = np.concatenate(([0], np.cumsum(data == 10)))
-        near = np.append(starts, len(data))
-        columns.append((breaks[near[np.minimum(high, len(starts))]] - breaks[near[np.minimum(low, len(starts))]]) / n)
+        begin, stop = np.append(starts, 0)[low], np.append(ends, 0)[high - 1]
+        columns.append(np.where(high > low, breaks[stop] - breaks[begin], 0) / n)
         tables.append(np.stack(columns, 1))
         counts.append(n_passages)
     if not tables:

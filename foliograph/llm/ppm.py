@@ -209,11 +209,13 @@ class Scorer:
         child = np.full(len(codes), -1)  # the longer context escaped from, if the trie has it
         for order in range(ORDER, -1, -1):
             level, keys = self.model[order], codes[left] & ((1 << 8 * (order + 1)) - 1)
+            if not len(level["keys"]):
+                continue  # an order that did not fit; then no longer one did
             found = self.grams[order].find(keys)
             hit = found >= 0
             rows, at, above = left[hit], found[hit], child[hit]
             alone = level["seen"][at]
-            longer = self.model[min(order + 1, ORDER)]
+            longer = self.model[order + 1] if order < ORDER and len(self.model[order + 1]["keys"]) else level
             out[rows] += np.where(above < 0, alone, level["count"][at] - longer["below"][np.maximum(above, 0)])
             left, child, keys = left[~hit], child[~hit], keys[~hit]
             node = self.contexts[order].find(keys >> 8)
