@@ -90,7 +90,7 @@ FORMAT_NAMES = [
     ("pdf", "pdf", "pdf"),
 ]
 
-# --- fixed values: encoder arguments per media target ---
+# --- fixed values: encoder arguments per media target, and the encoder they need if it is not always there ---
 ENCODER_ARGS = [
     ("mp3", "-codec:a libmp3lame -q:a 2"),
     ("aac", "-codec:a aac -b:a 192k"),
@@ -103,7 +103,9 @@ ENCODER_ARGS = [
         "-vf fps=15,scale=480:-1:flags=lanczos,split[s0][s1];[s0]palettegen[p];[s1][p]paletteuse",
     ),
     ("webm", "-codec:v libvpx-vp9 -codec:a libopus"),
+    ("ogg", "-codec:a vorbis -strict -2 -ac 2 -q:a 4"),
 ]
+SPECIAL_ENCODER_ARGS = [("ogg", "libvorbis", "-codec:a libvorbis -q:a 4")]
 
 # --- fixed values: content type to extension, best first within a class ---
 IMAGE_TYPES = [
@@ -281,4 +283,5 @@ def format_params(spark: SparkSession) -> DataFrame:
 
 
 def encoder_params(spark: SparkSession) -> DataFrame:
-    return spark.sql(values_sql(ENCODER_ARGS, "fmt, encoder_args"))
+    rows = [(fmt, ALWAYS, args) for fmt, args in ENCODER_ARGS] + SPECIAL_ENCODER_ARGS
+    return spark.sql(values_sql(rows, "fmt, cond, encoder_args"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import StringType
 
 from foliograph.functions.text import trim_space
 
 NO_TOP_LEVEL_ARRAY = "TOML has no top-level array — only object/map data can convert to TOML"
 NEEDS_RECORDS = "CSV output requires an array of objects"
 
+# --- fixed value: the JVM's JSON parser reads no string beyond this ---
+PARSER_BYTES = 20_000_000
+
 
 def _sealed(text: Column) -> Column:
     """The text as first element of a list that its own digest ends.
@@ -27,9 +31,22 @@ def _intact(sealed: Column, text: Column) -> Column:
     return F.coalesce(F.try_variant_get(sealed, "$[1]", "string") == F.md5(text), F.lit(False))
 
 
+def _beyond(text: Column) -> Column:
+    """The parser may have given up for size: its longest string is no longer than this."""
+    return F.octet_length(text) > PARSER_BYTES
+
+
 def is_json(text: Column) -> Column:
-    """Strict validity of the whole text."""
-    return _intact(_sealed(text), text)
+    """Strict validity of the whole text; NULL where the parser could not read a text for its size."""
+    intact = _intact(_sealed(text), text)
+    return F.when(intact, True).when(F.coalesce(_beyond(text), F.lit(False)), F.lit(None)).otherwise(F.lit(False))
+
+
+def json_error(text: Column, value: Column) -> Column:
+    """Why ``strict_json`` of the text gave no value, NULL when it did."""
+    return F.when(
+        value.isNull(), F.when(_beyond(text), F.lit("JSON document too large")).otherwise(F.lit("Invalid JSON"))
+    )
 
 
 def strict_json(text: Column) -> Column:
@@ -107,34 +124,47 @@ def toml_shaped(text: Column) -> Column:
     return F.when(possible, F.exists(F.split(text, "\n"), shaped)).otherwise(F.lit(False))
 
 
-@F.pandas_udf(BooleanType())
-def _parses_as_toml(texts: pd.Series) -> pd.Series:
-    def parses(text: str | None) -> bool | None:
+def _refuse(constant: str) -> None:
+    raise ValueError(constant)
+
+
+@F.pandas_udf(StringType())
+def _format_of(texts: pd.Series) -> pd.Series:
+    """``toml`` or, for a text that begins like JSON and is over the limits of the JVM's parser, ``json``."""
+
+    def named(text: str | None) -> str | None:
         if text is None:
             return None
+        if text.lstrip()[:1] in ("{", "[") and len(text.encode()) > PARSER_BYTES:
+            try:
+                json.loads(text, parse_constant=_refuse, parse_int=str, parse_float=str)
+                return "json"
+            except (ValueError, RecursionError):
+                pass
         try:
             tomllib.loads(text.replace("\r\n", "\n"))
         except (tomllib.TOMLDecodeError, RecursionError, ValueError):
-            return False
-        return True
+            return None
+        return "toml"
 
-    return texts.map(parses).astype(object)
+    return texts.map(named).astype(object)
 
 
 def sniff_format(text: Column) -> Column:
     """json, xml, toml or txt, in this order of preference.
 
     Everything but the TOML parse runs in the JVM; only texts that passed the line test
-    and none of the earlier formats travel to Python, all others as NULL.
+    and none of the earlier formats, and texts too large for the JVM's JSON parser, travel to
+    Python, all others as NULL.
     """
     bare = trim_space(text)
-    json = F.when(bare.startswith("{") | bare.startswith("["), is_json(text)).otherwise(F.lit(False))
+    braced = bare.startswith("{") | bare.startswith("[")
+    parsed = F.when(braced, F.coalesce(is_json(text), F.lit(False))).otherwise(F.lit(False))
     xml = bare.startswith("<") & bare.endswith(">") & F.contains(bare, F.lit("</"))
-    candidate = F.when((bare != "") & ~json & ~xml & toml_shaped(text), text)
+    candidate = F.when((bare != "") & ~parsed & ~xml & ((braced & _beyond(text)) | toml_shaped(text)), text)
     return (
         F.when(bare == "", "txt")
-        .when(json, "json")
+        .when(parsed, "json")
         .when(xml, "xml")
-        .when(F.coalesce(_parses_as_toml(candidate), F.lit(False)), "toml")
-        .otherwise(F.when(text.isNotNull(), "txt"))
+        .otherwise(F.coalesce(_format_of(candidate), F.when(text.isNotNull(), "txt")))
     )

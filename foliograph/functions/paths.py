@@ -10,7 +10,7 @@ from foliograph.functions.text import trim_space
 
 def file_name(path: Column) -> Column:
     """Last component; trailing slashes do not count."""
-    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+    return F.regexp_extract(path, r"([^/]*)/*\z", 1)
 
 
 def path_ext(path: Column) -> Column:
@@ -19,16 +19,16 @@ def path_ext(path: Column) -> Column:
 
 
 def raw_ext(path: Column) -> Column:
-    return F.regexp_extract(file_name(path), r"^.+\.([^.]*)$", 1)
+    return F.regexp_extract(file_name(path), r"(?s)\A.+\.([^.]*)\z", 1)
 
 
 def path_stem(path: Column) -> Column:
-    return F.regexp_replace(file_name(path), r"^(.+)\.[^.]*$", "$1")
+    return F.regexp_replace(file_name(path), r"(?s)\A(.+)\.[^.]*\z", "$1")
 
 
 def parent_prefix(path: Column) -> Column:
     """Parent folder with its closing slash, '' for a bare name."""
-    return F.regexp_replace(F.regexp_extract(path, r"^(.*/)?[^/]+/*$", 1), r"/+$", "/")
+    return F.regexp_replace(F.regexp_extract(path, r"(?s)\A(.*/)?[^/]+/*\z", 1), r"/+\z", "/")
 
 
 def dir_prefix(folder: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliograph import catalog
 from foliograph.functions.paths import normalize_ext, path_ext
 from foliograph.functions.text import trim_space
-from foliograph.session import small_side
+from foliograph.session import settle, small_side
 
 
 def admit(df: DataFrame, mode: str) -> DataFrame:
@@ -149,9 +149,10 @@ def with_fallback(
 ) -> DataFrame:
     """Run ``fallback`` only on the rows for which ``primary`` gave no or an empty value.
 
-    Both take and return rows with ``key`` (unique) and ``value``.
+    Both take and return rows with ``key`` (unique) and ``value``. What ``primary`` gives is
+    written once, as it decides both which rows are done and which are left.
     """
-    first = primary(df).select(key, value)
+    first = settle(primary(df).select(key, value))
     done = first.filter(F.col(value).isNotNull() & (F.col(value) != "")).withColumn("used", F.lit("primary"))
     rest = df.join(done.select(key), key, "left_anti")
     second = fallback(rest).select(key, value).withColumn("used", F.lit("fallback"))

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from foliograph.catalog import CHUNK_CHARS
-from foliograph.functions.text import accept_rewrite, balance_tags, rewrite_budget, sanitize_br, trim_space
+from foliograph.functions.text import WHITE_SPACE, accept_rewrite, balance_tags, rewrite_budget, sanitize_br, trim_space
 
 # a line that opens or closes a fence, after any blanks
-FENCE_LINE = r"(?md)^[^\S\n]*```"
+FENCE_LINE = "(?md)^[" + WHITE_SPACE.replace("\n", "") + "]*```"
 
 PROMPT_HEAD = (
     "Correct the Markdown that follows. Repair heading levels, fence code blocks with their language, "

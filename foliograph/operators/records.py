@@ -9,12 +9,13 @@ from foliograph.functions.documents import (
     csv_line,
     shape_error,
     shape_of,
-    strict_json,
     variant_kind,
 )
+from foliograph.session import settle_counting
 from foliograph.sources.configs import decode_documents
+from foliograph.sources.files import read_json_documents
 
-MAX_DEPTH = 8
+LEVELS = 8  # opened per pass
 
 
 def object_fields(value: Column) -> Column:
@@ -77,38 +78,63 @@ def shape_gate(df: DataFrame, value: str = "value", target: str = "target") -> D
     return shaped.withColumn("error", shape_error(F.col("shape"), F.col(target)))
 
 
-def flatten_documents(df: DataFrame, keys: list[str], value: str = "value", depth: int = MAX_DEPTH) -> DataFrame:
-    """(keys, key_path, type, leaf): one row per leaf of each document.
-
-    All levels are opened within one map stage. Containers below ``depth``
-    are kept as JSON text; an empty container is a leaf of its own.
-    """
-    rows = df.select(*keys, F.lit("$").alias("key_path"), F.col(value).alias("_node"))
+def _open_level(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace each non-empty container by its parts; everything else stays."""
     row_type = "array<struct<step:string,node:variant>>"
-    for _ in range(depth):
-        node = F.col("_node")
-        fields = F.transform(
-            F.map_entries(node.try_cast("map<string,variant>")),
-            lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("node")),
-        )
-        items = F.transform(
-            node.try_cast("array<variant>"),
-            lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), e.alias("node")),
-        )
-        itself = F.array(F.struct(F.lit("").alias("step"), node.alias("node")))
-        # an empty container has nothing to open and stays a leaf
-        inside = F.filter(
-            F.array(F.coalesce(fields.cast(row_type), items.cast(row_type))), lambda part: F.size(part) > 0
-        )
-        rows = rows.select(
-            *keys, "key_path", F.inline(F.coalesce(F.get(inside, F.lit(0)), itself.cast(row_type)))
-        ).select(*keys, F.concat("key_path", "step").alias("key_path"), F.col("node").alias("_node"))
+    node = F.col("_node")
+    fields = F.transform(
+        F.map_entries(node.try_cast("map<string,variant>")),
+        lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("node")),
+    )
+    items = F.transform(
+        node.try_cast("array<variant>"),
+        lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), e.alias("node")),
+    )
+    itself = F.array(F.struct(F.lit("").alias("step"), node.alias("node")))
+    # an empty container has nothing to open and stays a leaf
+    inside = F.filter(
+        F.array(F.coalesce(fields.cast(row_type), items.cast(row_type))), lambda part: F.size(part) > 0
+    )
+    opened = rows.select(*keys, "key_path", F.inline(F.coalesce(F.get(inside, F.lit(0)), itself.cast(row_type))))
+    return opened.select(*keys, F.concat("key_path", "step").alias("key_path"), F.col("node").alias("_node"))
+
+
+def _leaves(rows: DataFrame, keys: list[str]) -> DataFrame:
     node = F.col("_node")
     kind = variant_kind(node)
     text = F.when(kind == "string", F.try_variant_get(node, "$", "string"))
     return rows.select(*keys, "key_path", kind.alias("type"), F.coalesce(text, F.to_json(node)).alias("leaf"))
 
 
+def flatten_documents(
+    df: DataFrame, keys: list[str], value: str = "value", levels: int = LEVELS, depth: int | None = None
+) -> DataFrame:
+    """(keys, key_path, type, leaf): one row per leaf of each document, however deep.
+
+    A pass opens ``levels`` levels within one map stage and is written; as long as it leaves a
+    non-empty container, only what is below such containers goes through another pass. An empty
+    container is a leaf of its own. With ``depth`` containers below that level are kept as JSON
+    text, and one pass without writing does.
+    """
+    rows = df.select(*keys, F.lit("$").alias("key_path"), F.col(value).alias("_node"))
+    if depth is not None:
+        for _ in range(depth):
+            rows = _open_level(rows, keys)
+        return _leaves(rows, keys)
+    done = None
+    while True:
+        for _ in range(levels):
+            rows = _open_level(rows, keys)
+        node = F.col("_node")
+        filled = (F.size(node.try_cast("map<string,variant>")) > 0) | (F.size(node.try_cast("array<variant>")) > 0)
+        rows, remaining = settle_counting(rows.withColumn("_open", F.coalesce(filled, F.lit(False))), F.col("_open"))
+        closed = _leaves(rows.filter(~F.col("_open")), keys)
+        done = closed if done is None else done.unionByName(closed)
+        if not remaining:
+            return done
+        rows = rows.filter("_open").drop("_open")
+
+
 def convert_batch(items: DataFrame) -> DataFrame:
     """Convert data documents (ext, text, target); a bad one yields an error, not a failure.
 
@@ -123,7 +149,10 @@ def convert_batch(items: DataFrame) -> DataFrame:
     error = F.coalesce(
         F.col("decode_error"),
         misfit,
-        F.when(~F.col("target").isin("json", "csv"), F.concat(F.lit("Unsupported target format: "), "target")),
+        F.when(
+            ~F.coalesce("target", F.lit("")).isin("json", "csv"),
+            F.concat(F.lit("Unsupported target format: "), F.coalesce("target", F.lit(""))),
+        ),
     )
     done = parsed.withColumn("error", error)
     return done.withColumn("output", F.when(F.col("error").isNull(), written)).drop("value", "decode_error")
@@ -131,5 +160,4 @@ def convert_batch(items: DataFrame) -> DataFrame:
 
 def parse_strict(df: DataFrame, text: str = "text") -> DataFrame:
     """``value`` and ``error`` of a strict JSON parse."""
-    parsed = df.withColumn("value", strict_json(F.col(text)))
-    return parsed.withColumn("error", F.when(F.col("value").isNull(), F.lit("Invalid JSON")))
+    return read_json_documents(df, text)

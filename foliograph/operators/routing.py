@@ -41,7 +41,7 @@ def unsupported(manifest: DataFrame, edges: DataFrame) -> DataFrame:
     """Files no edge starts from, with the reason."""
     sources = edges.select(F.col("src_fmt").alias("fmt")).distinct()
     lost = _by_format(manifest).join(small_side(sources), "fmt", "left_anti")
-    return lost.withColumn("error", F.concat(F.lit("Unsupported file type: ."), "ext"))
+    return lost.withColumn("error", F.concat(F.lit("Unsupported file type: ."), F.coalesce("ext", F.lit(""))))
 
 
 def min_cost_paths(
@@ -134,6 +134,12 @@ def _once(spark: SparkSession, name: str, caps: tuple[str, ...], build: Callable
     return _built[key]
 
 
+def catalog_all_routes(spark: SparkSession, caps: tuple[str, ...] = (catalog.ALWAYS,)) -> DataFrame:
+    """The routes before the exclusion list."""
+    edges = usable_edges(catalog.edges(spark), list(caps))
+    return _once(spark, "all routes", caps, lambda: min_cost_paths(edges))
+
+
 def catalog_routes(spark: SparkSession, caps: tuple[str, ...] = (catalog.ALWAYS,)) -> DataFrame:
     edges = usable_edges(catalog.edges(spark), list(caps))
     return _once(spark, "routes", caps, lambda: min_cost_paths(edges, blocked=catalog.blocked(spark)))
@@ -159,7 +165,7 @@ def plan_routes(items: DataFrame, routes: DataFrame) -> DataFrame:
         "error",
         F.when(
             F.col("route").isNull(),
-            F.concat(F.lit("No conversion path from ."), "ext", F.lit(" to "), "target"),
+            F.concat(F.lit("No conversion path from ."), F.coalesce("ext", F.lit("")), F.lit(" to "), F.coalesce("target", F.lit(""))),
         ),
     )
 
@@ -220,7 +226,7 @@ def detect_with(manifest: DataFrame, report: DataFrame) -> DataFrame:
     found = _by_format(manifest).join(small_side(report), "fmt", "left")
     return found.withColumn(
         "error",
-        F.when(F.col("direct").isNull(), F.concat(F.lit("Unsupported file type: ."), "ext")),
+        F.when(F.col("direct").isNull(), F.concat(F.lit("Unsupported file type: ."), F.coalesce("ext", F.lit("")))),
     )
 
 
@@ -252,11 +258,29 @@ def common_targets(manifest: DataFrame, edges: DataFrame, min_files: int = 2) ->
 
 
 def format_params(plan: DataFrame, params: DataFrame, fmt: Column, columns: list[str]) -> DataFrame:
-    """Look up named parameters of a format; a format without an entry keeps NULLs."""
-    side = small_side(params.select(F.col("fmt").alias("_fmt"), *columns))
+    """Look up named parameters of a format; a format without an entry keeps NULLs.
+
+    ``params`` may hold alternatives by capability: narrow it with ``by_capability`` first.
+    """
+    side = F.broadcast(params.select(F.col("fmt").alias("_fmt"), *columns))  # one row per format of the catalog
     return plan.join(side, fmt == F.col("_fmt"), "left").drop("_fmt")
 
 
+def by_capability(params: DataFrame, caps: list[str]) -> DataFrame:
+    """Of each format's alternatives the one of the first capability in ``caps`` that has one."""
+    usable = params.withColumn("_place", F.array_position(F.lit(caps), F.col("cond"))).filter("_place > 0")
+    rest = [c for c in params.columns if c not in ("fmt", "cond")]
+    best = F.min_by(F.struct(*rest), F.col("_place")).alias("_best")
+    return usable.groupBy("fmt").agg(best).select("fmt", *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
+def format_names(plan: DataFrame, params: DataFrame, source: Column, target: Column) -> DataFrame:
+    """``reader`` and ``writer`` names of a conversion; a format without an entry is its own name."""
+    named = format_params(plan, params, source, ["reader"])
+    named = format_params(named, params, target, ["writer"])
+    return named.withColumn("reader", F.coalesce("reader", source)).withColumn("writer", F.coalesce("writer", target))
+
+
 def route_steps(routes: DataFrame, handlers: DataFrame) -> DataFrame:
     """Routes with ``steps``: array of (pos, src_fmt, dst_fmt, hop_kind) in travel order."""
     hops = routes.select(

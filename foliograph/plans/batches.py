@@ -162,17 +162,17 @@ def with_fallback(spark, sf_dir):
     return batch.with_fallback(docs, "doc_id", "value", quoted, first_word)
 
 
-RESULTS_SQL = f"""{d.MANIFEST_SQL}, {d.CATALOG_ROUTES_SQL},
+RESULTS_SQL = f"""{d.MANIFEST_SQL}, {d.ASKED_SQL}, {d.CATALOG_ROUTES_SQL},
     results AS (
       SELECT batch_id, ord, path,
         CASE WHEN route IS NOT NULL THEN concat('/out/', name, CASE WHEN ending = '.tar.gz' THEN '.tar' ELSE '' END, '.',
           CASE WHEN m.target = 'latex' THEN 'tex' ELSE m.target END) END AS output_path,
         CASE WHEN route IS NULL THEN concat('No conversion path from .', ext, ' to ', m.target) END AS error
-      FROM manifest m LEFT JOIN routes r ON m.fmt = r.src_fmt AND m.target_fmt = r.dst_fmt)"""
+      FROM asked m LEFT JOIN routes r ON m.fmt = r.src_fmt AND m.target_fmt = r.dst_fmt)"""
 
 
 def _results(spark, sf_dir):
-    planned = routing.plan_routes(d.manifest(spark, sf_dir), routing.catalog_routes(spark))
+    planned = routing.plan_routes(d.asked(spark, sf_dir), routing.catalog_routes(spark))
     done = batch.item_results(planned, paths.output_path(F.col("path"), F.col("target"), "/out"))
     return done.select("batch_id", "ord", "path", "output_path", "error")
 

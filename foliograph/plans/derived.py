@@ -60,6 +60,17 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("ext", path_ext(F.col("path")))
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest with missing and empty extensions and targets in it."""
+    turn = (F.col("batch_id") + F.col("ord")) % 13
+    return manifest(spark, sf_dir).withColumns(
+        {
+            "target": F.when(turn == 1, "").when(turn != 0, F.col("target")),
+            "ext": F.when(turn == 3, "").when(turn != 2, F.col("ext")),
+        }
+    )
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job_id, seq, line: every event as a log line of its user's job."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
@@ -231,6 +242,14 @@ manifest AS (
                {list_sql(TARGETS)}[1 + l_suppkey % {len(TARGETS)}] AS target FROM raw_manifest)
 )"""
 
+# requests as they come: some without extension or target, some with empty ones
+ASKED_SQL = """
+asked AS (SELECT * REPLACE (
+    CASE (batch_id + ord) % 13 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE target END AS target,
+    CASE (batch_id + ord) % 13 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE target_fmt END AS target_fmt,
+    CASE (batch_id + ord) % 13 WHEN 2 THEN NULL WHEN 3 THEN '' ELSE ext END AS ext,
+    CASE (batch_id + ord) % 13 WHEN 2 THEN NULL WHEN 3 THEN '' ELSE fmt END AS fmt) FROM manifest)"""
+
 LOG_SQL = f"""
 log_lines AS (
   SELECT user_id AS job_id, event_id AS seq, event_type AS kind, value, CASE

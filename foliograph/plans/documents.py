@@ -27,7 +27,7 @@ def csv_records(spark, sf_dir):
     columns = ["doc_id", "lang", "text", "source"]
     folder = scratch_path(spark, "csv")
     files.write_csv(table(spark, sf_dir, "documents").select(*columns), folder)
-    back = files.read_csv_records(spark, folder, columns)
+    back = files.read_csv_records(spark, folder, columns).filter("error IS NULL")
     return back.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
 
 
@@ -198,16 +198,17 @@ def flatten_documents(spark, sf_dir):
         F.lit(',null,"'), "event_type", F.lit('"]},"props":'), "props", F.lit(',"none":{}}'),
     )
     docs = records.parse_strict(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props").select(n, doc.alias("text")))
-    return records.flatten_documents(docs, ["event_id"], depth=4)
+    return records.flatten_documents(docs, ["event_id"], levels=4)
 
 
 @query(
     "i5_convert_batch",
-    """SELECT event_id, CASE
+    """SELECT event_id, CASE WHEN event_id % 24 IN (9, 10) THEN NULL
         WHEN k IN (0, 5) THEN replace(props, ' ', '')
         WHEN k = 1 THEN concat('id,kind', chr(10), event_id, ',', event_type, chr(10))
         WHEN k = 2 THEN concat('[{"id":"', event_id, '","kind":"', event_type, '"}]') END AS output,
-      CASE WHEN k = 3 THEN 'Invalid JSON' WHEN k = 4 THEN 'CSV output requires an array of objects'
+      CASE WHEN event_id % 24 = 9 THEN 'Unsupported data format: .' WHEN event_id % 24 = 10 THEN 'Unsupported target format: '
+        WHEN k = 3 THEN 'Invalid JSON' WHEN k = 4 THEN 'CSV output requires an array of objects'
         WHEN k = 6 THEN 'Unsupported data format: .xml'
         WHEN k = 7 THEN 'TOML has no top-level array — only object/map data can convert to TOML' END AS error
     FROM (SELECT *, event_id % 8 AS k FROM events)""",
@@ -230,15 +231,16 @@ def _items(spark, sf_dir):
     ext = F.element_at(F.lit(["json", "json", "csv", "json", "json", "toml", "xml", "yaml"]), (k + 1).cast("int"))
     target = F.element_at(F.lit(["json", "csv", "json", "json", "csv", "json", "json", "toml"]), (k + 1).cast("int"))
     return table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props").select(
-        n, F.col("user_id").alias("batch_id"), text.alias("text"), ext.alias("ext"), target.alias("target")
+        n, F.col("user_id").alias("batch_id"), text.alias("text"), F.when(n % 24 != 9, ext).alias("ext"),
+        F.when(n % 24 != 10, target).alias("target"),
     )
 
 
 @query(
     "i5_convert_batch_summary",
-    """SELECT user_id AS batch_id, count(*) AS items, count(*) FILTER (event_id % 8 IN (0, 1, 2, 5)) AS ok,
-      count(*) FILTER (event_id % 8 NOT IN (0, 1, 2, 5)) AS failed,
-      max(CASE WHEN event_id % 8 NOT IN (0, 1, 2, 5) THEN 1 ELSE 0 END) AS exit_status FROM events GROUP BY user_id""",
+    """SELECT user_id AS batch_id, count(*) AS items, count(*) FILTER (event_id % 8 IN (0, 1, 2, 5) AND event_id % 24 NOT IN (9, 10)) AS ok,
+      count(*) FILTER (event_id % 8 NOT IN (0, 1, 2, 5) OR event_id % 24 IN (9, 10)) AS failed,
+      max(CASE WHEN event_id % 8 NOT IN (0, 1, 2, 5) OR event_id % 24 IN (9, 10) THEN 1 ELSE 0 END) AS exit_status FROM events GROUP BY user_id""",
 )
 def convert_batch_summary(spark, sf_dir):
     done = records.convert_batch(_items(spark, sf_dir))

@@ -113,13 +113,13 @@ def unsupported(spark, sf_dir):
 
 @query(
     "c3_plan_routes",
-    f"""WITH RECURSIVE {d.MANIFEST_SQL}, {d.CATALOG_ROUTES_SQL}
+    f"""WITH RECURSIVE {d.MANIFEST_SQL}, {d.ASKED_SQL}, {d.CATALOG_ROUTES_SQL}
     SELECT path, m.target, array_to_string(route, '>') AS route, CAST(hops AS BIGINT) AS hops, r.cost,
       CASE WHEN route IS NULL THEN concat('No conversion path from .', ext, ' to ', m.target) END AS error
-    FROM manifest m LEFT JOIN routes r ON m.fmt = r.src_fmt AND m.target_fmt = r.dst_fmt""",
+    FROM asked m LEFT JOIN routes r ON m.fmt = r.src_fmt AND m.target_fmt = r.dst_fmt""",
 )
 def plan_routes(spark, sf_dir):
-    planned = routing.plan_routes(d.manifest(spark, sf_dir).select("path", "ext", "target"), routing.catalog_routes(spark))
+    planned = routing.plan_routes(d.asked(spark, sf_dir).select("path", "ext", "target"), routing.catalog_routes(spark))
     return planned.select(
         "path", "target", F.array_join("route", ">").alias("route"), F.col("hops").cast("bigint").alias("hops"), "cost", "error"
     )
@@ -165,26 +165,26 @@ def usable_edges(spark, sf_dir):
     "c12_format_params",
     f"""WITH {d.MANIFEST_SQL}
     SELECT path,
-      CASE fmt WHEN 'md' THEN 'markdown' WHEN 'txt' THEN 'markdown' WHEN 'tex' THEN 'latex'
-        WHEN 'typst' THEN 'typst' WHEN 'epub' THEN 'epub' WHEN 'pdf' THEN 'pdf' END AS reader,
-      CASE target_fmt WHEN 'md' THEN 'markdown' WHEN 'txt' THEN 'plain' WHEN 'tex' THEN 'latex'
-        WHEN 'typst' THEN 'typst' WHEN 'epub' THEN 'epub' WHEN 'pdf' THEN 'pdf' END AS writer,
+      CASE WHEN fmt IN ('md', 'txt') THEN 'markdown' WHEN fmt = 'tex' THEN 'latex' ELSE fmt END AS reader,
+      CASE target_fmt WHEN 'md' THEN 'markdown' WHEN 'txt' THEN 'plain' WHEN 'tex' THEN 'latex' ELSE target_fmt END AS writer,
+      CASE WHEN target_fmt = 'ogg' THEN '-codec:a libvorbis -q:a 4' END AS vorbis_args,
       CASE target_fmt WHEN 'mp3' THEN '-codec:a libmp3lame -q:a 2' WHEN 'aac' THEN '-codec:a aac -b:a 192k'
         WHEN 'flac' THEN '-codec:a flac' WHEN 'opus' THEN '-codec:a libopus -b:a 128k'
         WHEN 'wav' THEN '-codec:a pcm_s16le' WHEN 'm4a' THEN '-vn -codec:a aac -b:a 192k'
         WHEN 'gif' THEN '-vf fps=15,scale=480:-1:flags=lanczos,split[s0][s1];[s0]palettegen[p];[s1][p]paletteuse'
-        WHEN 'webm' THEN '-codec:v libvpx-vp9 -codec:a libopus' END AS encoder_args
+        WHEN 'webm' THEN '-codec:v libvpx-vp9 -codec:a libopus' WHEN 'ogg' THEN '-codec:a vorbis -strict -2 -ac 2 -q:a 4' END AS encoder_args
     FROM manifest""",
 )
 def format_params(spark, sf_dir):
     named = d.manifest(spark, sf_dir).withColumns(
         {"fmt": paths.normalize_ext(F.col("ext")), "target_fmt": paths.normalize_ext(F.col("target"))}
     )
-    names, args = catalog.format_params(spark), catalog.encoder_params(spark)
-    named = routing.format_params(named, names, F.col("fmt"), ["reader"])
-    named = routing.format_params(named, names, F.col("target_fmt"), ["writer"])
-    return routing.format_params(named, args, F.col("target_fmt"), ["encoder_args"]).select(
-        "path", "reader", "writer", "encoder_args"
+    target, args = F.col("target_fmt"), catalog.encoder_params(spark)
+    named = routing.format_names(named, catalog.format_params(spark), F.col("fmt"), target)
+    named = routing.format_params(named, routing.by_capability(args, [catalog.ALWAYS]), target, ["encoder_args"])
+    rich = routing.by_capability(args, ["libvorbis"]).withColumnRenamed("encoder_args", "vorbis_args")
+    return routing.format_params(named, rich, target, ["vorbis_args"]).select(
+        "path", "reader", "writer", "encoder_args", "vorbis_args"
     )
 
 
@@ -339,20 +339,24 @@ def detect(spark, sf_dir):
 @query(
     "h5_blocked_pairs",
     f"""WITH {d.MANIFEST_SQL}
-    SELECT fmt, target_fmt, count(*) AS items, fmt = 'csv' AND target_fmt = 'toml' AS blocked
-    FROM manifest WHERE fmt = 'csv' GROUP BY ALL""",
+    SELECT fmt, target_fmt, count(*) AS items, fmt = 'csv' AND target_fmt = 'toml' AS blocked,
+      CASE WHEN fmt = 'csv' AND target_fmt = 'toml' THEN 'csv>json>toml' END AS excluded_route
+    FROM manifest GROUP BY ALL""",
 )
 def blocked_pairs(spark, sf_dir):
-    """Requests out of CSV and whether the exclusion list takes them out although a route exists."""
+    """Requests per pair of formats, and the route the exclusion list takes from them."""
     items = d.manifest(spark, sf_dir).groupBy("ext", "target").agg(F.count(F.lit(1)).alias("n"))
     asked = (
         items.select(paths.normalize_ext(F.col("ext")).alias("src_fmt"), paths.normalize_ext(F.col("target")).alias("dst_fmt"), "n")
-        .filter(F.col("src_fmt") == "csv")
         .groupBy("src_fmt", "dst_fmt")
         .agg(F.sum("n").alias("items"))
     )
-    allowed = routing.drop_blocked(asked, catalog.blocked(spark)).withColumn("kept", F.lit(True))
-    flagged = asked.join(allowed.select("src_fmt", "dst_fmt", "kept"), ["src_fmt", "dst_fmt"], "left")
+    offered = routing.catalog_routes(spark).select("src_fmt", "dst_fmt", F.lit(True).alias("kept"))
+    every = routing.catalog_all_routes(spark).select("src_fmt", "dst_fmt", F.array_join("route", ">").alias("route"))
+    pair = ["src_fmt", "dst_fmt"]
+    flagged = asked.join(every, pair, "left").join(offered, pair, "left")
+    blocked = F.col("route").isNotNull() & F.col("kept").isNull()
     return flagged.select(
-        F.col("src_fmt").alias("fmt"), F.col("dst_fmt").alias("target_fmt"), "items", F.col("kept").isNull().alias("blocked")
+        F.col("src_fmt").alias("fmt"), F.col("dst_fmt").alias("target_fmt"), "items", blocked.alias("blocked"),
+        F.when(blocked, F.col("route")).alias("excluded_route"),
     )

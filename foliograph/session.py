@@ -59,9 +59,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/foliograph/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; ``release`` deletes what is there."""
+    path = f"{shared_dir(spark).rstrip('/')}/foliograph/{label}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables and folders this application has written below the shared folder so far.
+
+    Call it between jobs, when no result that was built from them is read any more. Returns their number.
+    """
+    gone = _scratch.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(gone)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from foliograph.functions.documents import strict_json
+from foliograph.functions.documents import json_error, strict_json
 
 try:
     import yaml
@@ -31,7 +31,8 @@ def _plain(value: object) -> object:
 
 
 def _csv_records(text: str) -> list[dict[str, str]]:
-    rows = [r for r in csv.reader(io.StringIO(text, newline=""), strict=True) if r]
+    csv.field_size_limit(max(len(text), csv.field_size_limit()))
+    rows = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
     header = rows[0] if rows else []
     for row in rows[1:]:
         if len(row) != len(header):
@@ -85,8 +86,12 @@ def decode_documents(df: DataFrame, fmt_col: str, text_col: str) -> DataFrame:
     decoded = df.withColumn("_sent", sent)
     value = F.when(fmt == "json", strict_json(F.col(text_col))).otherwise(F.try_parse_json("_sent.json"))
     error = (
-        F.when(~(foreign | (fmt == "json")), F.concat(F.lit("Unsupported data format: ."), F.lower(F.col(fmt_col))))
+        F.when(
+            ~F.coalesce(foreign | (fmt == "json"), F.lit(False)),
+            F.concat(F.lit("Unsupported data format: ."), F.coalesce(F.lower(F.col(fmt_col)), F.lit(""))),
+        )
         .when(F.col("_sent.problem").isNotNull(), F.col("_sent.problem"))
+        .when(fmt == "json", json_error(F.col(text_col), F.col("value")))
         .when(F.col("value").isNull(), F.concat(F.lit("Invalid "), F.upper(fmt)))
     )
     return decoded.withColumn("value", value).withColumn("decode_error", error).drop("_sent")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliograph.functions.timecodes import out_time_us, ratio_percent
 from foliograph.operators.ranks import last_rows, seq_block
-from foliograph.operators.timeline import TOKEN_BLOCK, joined_tokens, join_blocks, token_rows
+from foliograph.operators.timeline import TOKEN_BLOCK, join_blocks, token_rows
 from foliograph.session import scratch_path
 
 
@@ -67,8 +67,9 @@ def latest_progress(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_stream(lines: DataFrame, arrival: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Text per block of each request (update mode). State is one block's tokens; with an
-    ``arrival`` column the watermark evicts blocks that stopped growing."""
+    """Tokens per block of each request (update mode). State is one block's tokens; with an
+    ``arrival`` column the watermark evicts blocks that stopped growing. A block whose lines
+    arrive in several windows comes out in several parts, which ``latest_tokens`` sorts as one."""
     if arrival:
         lines = lines.withWatermark(arrival, delay)
     tokens = token_rows(lines)
@@ -76,8 +77,7 @@ def token_stream(lines: DataFrame, arrival: str | None = None, delay: str = "1 h
     if arrival:
         keys.append(F.window(arrival, delay).alias("arrived"))
     return tokens.groupBy(*keys).agg(
-        joined_tokens("seq", "token").alias("part"),
-        F.min("seq").alias("first_seq"),
+        F.collect_list(F.when(F.col("token").isNotNull(), F.struct("seq", "token"))).alias("pairs"),
         F.max("is_done").alias("done"),
         F.count("token").alias("tokens"),
     )
@@ -88,9 +88,16 @@ def latest_tokens(spark: SparkSession, folder: str) -> DataFrame:
     versions = spark.read.parquet(folder)
     keys = [c for c in ("request_id", "block", "arrived") if c in versions.columns]
     newest = versions.groupBy(*keys).agg(
-        F.max_by(F.struct("part", "first_seq", "done", "tokens"), "epoch").alias("b")
+        F.max_by(F.struct("pairs", "done", "tokens"), "epoch").alias("b")
     )
-    return join_blocks(newest.select("request_id", "b.*"))
+    blocks = newest.groupBy("request_id", "block").agg(
+        F.array_sort(F.flatten(F.collect_list("b.pairs"))).alias("pairs"),
+        F.max("b.done").alias("done"),
+        F.sum("b.tokens").alias("tokens"),
+    )
+    first = F.get("pairs", F.lit(0))["seq"]
+    part = F.array_join(F.col("pairs.token"), "")
+    return join_blocks(blocks.select("request_id", first.alias("first_seq"), part.alias("part"), "done", "tokens"))
 
 
 def tail_writer(folder: str, n: int, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:

@@ -74,3 +74,13 @@ def test_rewrite(spark):
 def test_prompt(spark):
     seen = chunks.chunk_text(spark.createDataFrame([(1, "body")], "id int, text string")).select(chunks.prompt(F.col("chunk"))).first()[0]
     assert "\n\nbody\n\n" in seen and seen.endswith("Fixed:")
+
+
+def test_fences_behind_any_blank(spark):
+    text = " ```\n" + "\n\n".join("word " * 100 for _ in range(3)) + "\n\n　```\n" + "\n\n".join("tail " * 60 for _ in range(3))
+    plain = text.replace(" ", " ").replace("　", " ")
+    df = spark.createDataFrame([(0, text), (1, plain)], "id int, text string")
+    sizes = {}
+    for r in chunks.chunk_text(df, 600).collect():
+        sizes.setdefault(r.id, []).append(len(r.chunk))
+    assert sizes[0] == sizes[1]

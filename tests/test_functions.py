@@ -167,3 +167,20 @@ def test_resolve_refs(spark):
     texts = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
     got = {r.i: (r.path, r.format) for r in references.resolve_refs(texts, known).collect()}
     assert got == dict(enumerate(cases.values()))
+
+
+def test_texts_over_the_parsers_limits(spark):
+    big = '["' + "x" * 21_000_000 + '"]'
+    df = spark.createDataFrame([(0, big), (1, big + "]"), (2, "[1]")], "id int, text string")
+    column = F.col("text")
+    value = documents.strict_json(column)
+    got = df.select("id", documents.sniff_format(column).alias("f"), documents.is_json(column).alias("j"), documents.json_error(column, value).alias("e"))
+    rows = {r.id: (r.f, r.j, r.e) for r in got.collect()}
+    assert rows == {0: ("json", None, "JSON document too large"), 1: ("txt", None, "JSON document too large"), 2: ("json", True, None)}
+
+
+def test_paths_with_line_breaks(apply):
+    names = ["/in/a\nb.png", "a.png\n", "/x\ny/c", "/x/.b\n"]
+    assert apply(paths.path_ext, names) == ["png", "png\n", "", ""]
+    out = apply(lambda c: paths.output_path(c, F.lit("pdf")), names)
+    assert out == ["/in/a\nb.pdf", "a.pdf", "/x\ny/c.pdf", "/x/.b\n.pdf"]

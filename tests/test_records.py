@@ -93,15 +93,16 @@ def test_csv_files(spark, tmp_path):
     good.write_text('h,k\n"a\nb","x,""y"\n007,\n', newline="")
     assert files.csv_header(spark, str(good)) == ["h", "k"]
     rows = files.read_csv_records(spark, str(good), ["h", "k"]).collect()
-    assert [tuple(r) for r in rows] == [("a\nb", 'x,"y'), ("007", "")]
+    assert [(r.h, r.k, r.error) for r in rows] == [("a\nb", 'x,"y', None), ("007", "", None)]
     ragged = tmp_path / "ragged.csv"
     ragged.write_text("h,k\n1\n")
-    with pytest.raises(Exception):
-        files.read_csv_records(spark, str(ragged), ["h", "k"]).collect()
+    assert [(r.h, r.error) for r in files.read_csv_records(spark, str(ragged), ["h", "k"]).collect()] == [
+        (None, "CSV rows whose fields do not match the header: 1")
+    ]
     folder = scratch_path(spark, "csv")
     odd = spark.createDataFrame([(" pad ", 'q"q'), ("l\nm", "a,b"), ("", "x")], "h string, k string")
     files.write_csv(odd, folder)
-    assert {tuple(r) for r in files.read_csv_records(spark, folder, ["h", "k"]).collect()} == {tuple(r) for r in odd.collect()}
+    assert {(r.h, r.k) for r in files.read_csv_records(spark, folder, ["h", "k"]).collect()} == {tuple(r) for r in odd.collect()}
 
 
 def test_file_sources(spark, tmp_path):
@@ -121,3 +122,31 @@ def test_json_documents(spark):
     df = spark.createDataFrame([("f", 2, "b"), ("f", 1, "a"), ("g", 1, "c")], "file string, pos int, v string")
     got = {r.file: r.document for r in files.json_documents(df, ["file"]).collect()}
     assert got == {"f": '[{"pos":1,"v":"a"},{"pos":2,"v":"b"}]', "g": '[{"pos":1,"v":"c"}]'}
+
+
+def test_deep_documents_open_to_the_leaves(spark):
+    deep = '{"a":' * 30 + '[1,{"b":[]}]' + "}" * 30
+    df = records.parse_strict(spark.createDataFrame([(0, deep), (1, '{"x":1}'), (2, "{}")], "id int, text string")).select("id", "value")
+    got = {(r.id, r.key_path, r.type, r.leaf) for r in records.flatten_documents(df, ["id"], levels=7).collect()}
+    path = "$" + ".a" * 30
+    assert got == {(0, path + "[0]", "number", "1"), (0, path + "[1].b", "array", "[]"), (1, "$.x", "number", "1"), (2, "$", "object", "{}")}
+
+
+def test_large_cells_and_missing_requests(spark):
+    big = "x" * 200_000
+    rows = [(0, "csv", f"a,b\n{big},1\n", "json"), (1, "csv", 'a\n"x"y\n', "json"), (2, None, "{}", "json"), (3, "json", "{}", None), (4, None, None, None), (5, "json", None, "json")]
+    done = records.convert_batch(spark.createDataFrame(rows, "id int, ext string, text string, target string"))
+    got = {r.id: r for r in done.collect()}
+    assert all((r.output is None) != (r.error is None) for r in got.values())
+    assert got[0].output == f'[{{"a":"{big}","b":"1"}}]'
+    assert got[1].output == '[{"a":"xy"}]'
+    assert got[2].error == "Unsupported data format: ."
+    assert got[3].error == "Unsupported target format: "
+
+
+def test_ragged_files_give_an_error_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"x\ny"\n2,z\n')
+    (tmp_path / "b.csv").write_text("k,v\n1,2,3\n4,5\n")
+    rows = files.read_csv_records(spark, str(tmp_path), ["k", "v"]).collect()
+    assert sorted((r.k, r.v) for r in rows if r.error is None) == [("1", "x\ny"), ("2", "z")]
+    assert [r.file.rsplit("/", 1)[1] for r in rows if r.error] == ["b.csv"]

@@ -78,3 +78,11 @@ def test_no_input(spark, tmp_path):
     assert monitors.latest_tail(spark, monitors.tail_stream(lines, 3, ["job_id"], ["seq"])).isEmpty()
     folder = monitors.drain(monitors.manifest_stream(lines.select(F.col("line").alias("path"))), "append", "t")
     assert monitors.latest_files(spark, folder).isEmpty()
+
+
+def test_tokens_of_a_block_that_arrives_out_of_order(spark, feed):
+    at = {1: 10, 2: 4000, 3: 11}
+    df = spark.createDataFrame([(1, n, f'{{"response":"t{n} "}}') for n in at], "request_id int, seq long, line string")
+    df = df.withColumn("at", F.timestamp_seconds(F.when(F.col("seq") == 2, 4000).otherwise(F.col("seq") + 9)))
+    folder = monitors.drain(monitors.token_stream(feed(df, 1), "at"), "update", "t")
+    assert monitors.latest_tokens(spark, folder).first().text == "t1 t2 t3 "
