@@ -13,11 +13,17 @@ from foliograph.session import scratch_path
 from foliograph.sources import files
 
 
-@query("a1_file_manifest")
+@query(
+    "a1_file_manifest",
+    "SELECT page_id, strlen(html) + 1 AS length, 'txt' AS ext FROM pages",
+)
 def file_manifest(spark, sf_dir):
-    """The table files themselves as a manifest."""
-    found = files.file_manifest(spark, sf_dir)
-    return found.select(paths.file_name(F.col("path")).alias("name"), "length", "ext")
+    """Pages written as files, one in a folder of its own each, and listed."""
+    folder = scratch_path(spark, "pages")
+    table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
+    found = files.file_manifest(spark, folder, "*.txt")
+    page = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint")
+    return found.select(page.alias("page_id"), "length", "ext")
 
 
 @query(
@@ -135,12 +141,32 @@ def map_types(spark, sf_dir):
       SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank, priority, event_id) AS rn FROM kinds) WHERE rn = 1""",
 )
 def elect(spark, sf_dir):
+    """Among representations told by their content type."""
     mapped = batch.map_types(_representations(spark, sf_dir), catalog.type_rules(spark)).withColumn(
         "rank", F.array_position(F.lit(catalog.REPRESENTATION_ORDER), F.col("kind"))
     )
     return batch.elect(mapped, ["item_id"], ["rank", "priority", "event_id"], ["kind", "mapped_ext", "event_id"])
 
 
+@query(
+    "f3_elect_representation",
+    f"""WITH kinds AS (SELECT user_id AS item_id, event_id % 6 AS place, event_id % 4 = 0 AS present FROM events)
+    SELECT item_id, {d.list_sql(catalog.REPRESENTATION_ORDER)}[1 + min(place) FILTER (present)] AS kind,
+      {d.list_sql(catalog.PLAIN_REPRESENTATION_ORDER)}[
+        min(CASE place WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 3 END) FILTER (present)] AS plain_kind
+    FROM kinds GROUP BY item_id""",
+)
+def elect_representation(spark, sf_dir):
+    """Among all six kinds, with and without rich types; a batch of clipboard items of any size is one group by item."""
+    n = F.col("event_id")
+    kinds = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("item_id"), d.dealt(catalog.REPRESENTATION_ORDER, n).alias("kind"), (n % 4 == 0).alias("present")
+    )
+    rich = batch.elect_representation(kinds)
+    plain = batch.elect_representation(kinds, catalog.PLAIN_REPRESENTATION_ORDER).withColumnRenamed("kind", "plain_kind")
+    return rich.join(plain, "item_id")
+
+
 @query(
     "c11_with_fallback",
     """WITH p AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN text LIKE '%"%' THEN regexp_extract(text, '"([^"]*)"', 1)

@@ -10,15 +10,23 @@ from foliograph.plans import derived as d
 from foliograph.plans.registry import query, table
 from foliograph.session import scratch_path
 from foliograph.sources import configs, files
+from foliograph.streaming import monitors
 
 
-@query("a2_text_documents", "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS failed FROM documents")
+@query(
+    "a2_text_documents",
+    """SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN md5(concat(text, chr(10))) END AS text_md5, doc_id % 10 = 0 AS failed
+    FROM documents""",
+)
 def text_documents(spark, sf_dir):
-    """All documents written as text files and read back whole."""
+    """Documents written as one text file each, every tenth with bytes that are no UTF-8, and read back whole."""
     folder = scratch_path(spark, "texts")
-    table(spark, sf_dir, "documents").select("text").write.text(folder)
+    broken = F.when(F.col("doc_id") % 10 == 0, F.lit(b"\xff\xfe").cast("string")).otherwise(F.lit(""))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", broken).alias("text"))
+    texts.write.partitionBy("doc_id").text(folder)
     read = files.text_documents(spark, folder, "*.txt")
-    return read.agg(F.sum(F.char_length("content")).alias("chars"), F.count("error").alias("failed"))
+    doc = F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("bigint")
+    return read.select(doc.alias("doc_id"), F.md5("content").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("a3_csv_records", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(text) AS text_md5 FROM documents")
@@ -107,13 +115,25 @@ def csv_lines(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(csv_line(cells)).alias("line_md5"))
 
 
+@query(
+    "a6_json_documents",
+    """SELECT c_nationkey, concat('[', string_agg(concat('{"c_custkey":', c_custkey, ',"c_name":"', c_name, '"}'), ',' ORDER BY c_custkey), ']')
+      AS document FROM customer GROUP BY c_nationkey""",
+)
+def json_document_sink(spark, sf_dir):
+    """Customers of a nation as one JSON document."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name")
+    return files.json_documents(rows, ["c_nationkey"])
+
+
 @query("a8_read_lines", f"WITH {d.LOG_SQL} SELECT job_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM log_lines GROUP BY job_id")
 def read_lines(spark, sf_dir):
-    """Log lines written as text files and read back."""
+    """Log lines written as text files and read back as a stream of arriving files."""
     folder = scratch_path(spark, "lines")
     d.log_lines(spark, sf_dir).select(F.concat_ws("\t", "job_id", "line")).write.text(folder)
+    arrived = monitors.drain(files.read_lines(spark, folder, stream=True), "append", "arrived")
     line = F.split("line", "\t", 2)
-    read = files.read_lines(spark, folder).select(line[0].cast("bigint").alias("job_id"), line[1].alias("line"))
+    read = spark.read.parquet(arrived).select(line[0].cast("bigint").alias("job_id"), line[1].alias("line"))
     return read.groupBy("job_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line")).alias("chars"))
 
 
