@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foliograph.session import settle
+from foliograph.session import per_key, settle
 
 BLOCK_ROWS = 65_536
 
@@ -52,9 +52,33 @@ def _with_carry(df: DataFrame, names: list[str], total: Column, running) -> Data
 
 
 def ordinals(
-    df: DataFrame, keys: list[str], order: list, block: list[Column] | None = None, name: str = "ordinal"
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    block: list[Column] | None = None,
+    name: str = "ordinal",
+    most: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """1-based position of each row within its keys."""
+    """1-based position of each row within its keys.
+
+    Without ``block`` the keys are counted first. Keys of at most ``most`` rows are ranked by one
+    hash shuffle; only the rows of larger ones are cut into blocks. Both ways give the same positions.
+    """
+    if block is None:
+        counts = per_key(df.withColumn("_key", F.struct(*keys)), ["_key"], F.count(F.lit(1)).alias("_n"))
+        hot = settle(counts.filter(F.col("_n") > most).select("_key"))
+        inside = Window.partitionBy(*keys).orderBy(*order)
+        place = F.row_number().over(inside).cast("bigint")
+        if hot.isEmpty():
+            return df.withColumn(name, place)
+        keyed = df.withColumn("_key", F.struct(*keys))
+        cold = keyed.join(hot, "_key", "left_anti").drop("_key").withColumn(name, place)
+        large = keyed.join(hot, "_key", "left_semi").drop("_key")
+        return cold.unionByName(_block_ordinals(large, keys, order, None, name))
+    return _block_ordinals(df, keys, order, block, name)
+
+
+def _block_ordinals(df: DataFrame, keys: list[str], order: list, block: list[Column] | None, name: str) -> DataFrame:
     cut, names = _cut(df, keys, order, block)
     carried = _with_carry(cut, names, F.count(F.lit(1)), F.sum)
     inside = Window.partitionBy(*names).orderBy(*order)

@@ -45,10 +45,15 @@ def unsupported(manifest: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def min_cost_paths(
-    edges: DataFrame, max_hops: int = catalog.MAX_HOPS, blocked: DataFrame | None = None
+    edges: DataFrame,
+    max_hops: int = catalog.MAX_HOPS,
+    blocked: DataFrame | None = None,
+    sources: list[str] | None = None,
 ) -> DataFrame:
     """Cheapest route between every two formats: src_fmt, dst_fmt, cost, hops, route.
 
+    With ``sources`` only routes that start there are worked out, so the table grows with
+    the number of sources and not with that of all pairs.
     Costs are relaxed to a fixpoint first and only then routes of more than ``max_hops``
     are dropped. Among equally cheap routes the one whose last but one node is nearer
     to the source wins, then the one with the larger name.
@@ -65,7 +70,8 @@ def min_cost_paths(
     hop = step.select(F.col("src_fmt").alias("via"), F.col("dst_fmt").alias("next"), F.col("cost").alias("price"))
     hop = small_side(hop)
 
-    best = fresh = step
+    first = step if sources is None else step.filter(F.col("src_fmt").isin(sources))
+    best = fresh = first
     while True:
         longer = (
             fresh.join(hop, F.col("dst_fmt") == F.col("via"))
@@ -85,7 +91,7 @@ def min_cost_paths(
             break
 
     reached = best.select("src_fmt", F.col("dst_fmt").alias("via"), F.col("cost").alias("to_via"))
-    start = step.select("src_fmt", F.col("src_fmt").alias("via"), F.lit(0).cast("bigint").alias("to_via")).distinct()
+    start = first.select("src_fmt", F.col("src_fmt").alias("via"), F.lit(0).cast("bigint").alias("to_via")).distinct()
     last_step = settle(
         reached.unionByName(start)
         .join(hop, "via")

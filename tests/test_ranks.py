@@ -22,11 +22,12 @@ def per_key(rows):
     return groups
 
 
-@pytest.mark.parametrize("blocks", ["given", "ranged"])
+@pytest.mark.parametrize("blocks", ["given", "ranged", "some", "none"])
 def test_ordinals(skewed, blocks):
     rows, df = skewed
     block = [ranks.seq_block(F.col("seq"), 100)] if blocks == "given" else None
-    got = {r.seq: r.ordinal for r in ranks.ordinals(df, ["k"], ["seq"], block).collect()}
+    most = {"given": 0, "ranged": 0, "some": 100, "none": 5000}[blocks]
+    got = {r.seq: r.ordinal for r in ranks.ordinals(df, ["k"], ["seq"], block, most=most).collect()}
     assert got == {seq: n + 1 for group in per_key(rows).values() for n, (seq, _) in enumerate(group)}
 
 

@@ -102,6 +102,8 @@ def test_ties_and_hop_limit(spark):
     assert ("n0", "n7") not in routes  # the cheapest path has 7 hops, the dearer direct edge does not count
     with pytest.raises(ValueError):
         routing.min_cost_paths(edges.withColumn("cost", F.lit(0)))
+    some = {(r.src_fmt, r.dst_fmt): r for r in routing.min_cost_paths(edges, sources=["s", "n2"]).collect()}
+    assert some == {pair: r for pair, r in routes.items() if pair[0] in ("s", "n2")}
 
 
 def shortest(edges, source):
