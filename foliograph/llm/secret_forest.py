@@ -81,9 +81,9 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
 
 def label_by_form(found: DataFrame) -> DataFrame:
     """``label`` of what can be told without a model: 1 for known forms and for long values assigned to a telling name,
-    0 for runs of letters in one case and for paths; NULL for all else."""
+    0 for runs of letters in one case, numbers and paths; NULL for all else."""
     sure = F.col("secret").rlike(KNOWN) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1))
-    plain = F.col("secret").rlike(r"^[A-Z]?[a-z_-]+$") | F.col("secret").rlike(r"^[A-Z_-]+$") | F.col("secret").rlike(r"^(/?[A-Za-z_-]+)+/?$")
+    plain = F.col("secret").rlike(r"^[0-9+/_-]+$") | F.col("secret").rlike(r"^[A-Z]?[a-z_-]+$") | F.col("secret").rlike(r"^[A-Z_-]+$") | F.col("secret").rlike(r"^(/?[A-Za-z_-]+)+/?$")
     return found.withColumn("label", F.when(sure, 1.0).when(plain, 0.0))
 
 

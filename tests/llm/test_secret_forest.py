@@ -10,6 +10,7 @@ def rows_of(n=400):
     for i in range(n):
         words = [rng.choice(["alpha", "beta", "gamma", "delta", "the", "and"]) for _ in range(30)]
         words.insert(9, "".join(rng.choice(["alpha", "beta", "gamma", "the"]) for _ in range(5)))
+        words.insert(20, str(rng.randrange(10**15, 10**16)))  # a number, but no secret
         if i % 4 == 0:
             words.insert(4, f'token = "{rng.getrandbits(160):040x}"')
         if i % 4 == 1:
