@@ -19,7 +19,7 @@ TREES, DEPTH = 20, 6
 ACCEPT = 0.5
 
 FEATURES = [
-    "length", "transitions", "digits", "capitals", "signs", "coverage", "vowels", "in_path", "assigned", "quoted", "named", "plain_left", "plain_right",
+    "length", "transitions", "common_pairs", "distinct", "digits", "capitals", "signs", "coverage", "vowels", "in_path", "assigned", "quoted", "named", "plain_left", "plain_right",
 ]
 
 
@@ -51,7 +51,7 @@ def frequent_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
 
 
 def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
-    """Numbers about each candidate: its characters, the share that dictionary words cover, path and neighbouring words."""
+    """Numbers about each candidate: its characters and their transitions (between kinds, and those usual in words), the share that dictionary words cover, path and neighbouring words."""
     size = F.greatest(F.length("secret"), F.lit(1))
     kinds = F.translate("secret", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
 
@@ -60,10 +60,14 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
 
     ordered = sorted(dictionary, key=lambda w: (-len(w), w))
     known = F.regexp_replace(F.lower("secret"), "|".join(ordered), "") if ordered else F.lower("secret")
+    pairs = sorted({w[i : i + 2] for w in dictionary for i in range(len(w) - 1)})  # 676 at most
+    common = F.regexp_count(F.lower("secret"), F.lit(f"(?=(?:{'|'.join(pairs)}))")) if pairs else F.lit(0)
     before = F.regexp_extract("left", r"([A-Za-z0-9_-]+)[\"']?\s*[:=]?\s*[\"']?$", 1)
     columns = {
         "length": F.length("secret").cast("double"),
         "transitions": F.length(F.regexp_replace(kinds, r"(.)\1*", "x")) / size,
+        "common_pairs": common / size,
+        "distinct": F.size(F.array_distinct(F.split("secret", ""))) / size,
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
         "signs": share("[^A-Za-z0-9]"),

@@ -1,16 +1,19 @@
 import random
 import re
 
+import pytest
+
 from foliograph.llm import secret_forest as sf
 
 
-def rows_of(n=400):
+def rows_of(n=400, numbers=False):
     rng = random.Random(6)
     rows = []
     for i in range(n):
         words = [rng.choice(["alpha", "beta", "gamma", "delta", "the", "and"]) for _ in range(30)]
         words.insert(9, "".join(rng.choice(["alpha", "beta", "gamma", "the"]) for _ in range(5)))
-        words.insert(20, str(rng.randrange(10**15, 10**16)))  # a number, but no secret
+        if numbers:
+            words.insert(20, str(rng.randrange(10**15, 10**16)))  # long, but no secret
         if i % 4 == 0:
             words.insert(4, f'token = "{rng.getrandbits(160):040x}"')
         if i % 4 == 1:
@@ -25,8 +28,9 @@ def test_places_against_a_plain_search(docs):
     assert got == sorted((i, m.start(), m.group()) for i, t in rows for m in re.finditer(sf.CANDIDATE, t or ""))
 
 
-def test_secrets_are_found_and_words_are_not(docs):
-    rows = rows_of()
+@pytest.mark.parametrize("numbers", [False, True])
+def test_secrets_are_found_and_words_are_not(docs, numbers):
+    rows = rows_of(numbers=numbers)
     found = {(r["doc_id"], r["secret"]) for r in sf.scan(docs(*rows)).collect()}
     want = {(i, s) for i, t in rows for s in re.findall(r"\b[0-9a-f]{40}\b|\bAKIA[A-Z2-7]{16}\b", t)}
     assert found == want
