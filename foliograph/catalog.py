@@ -3,7 +3,7 @@ that decides results, so it is stated plainly and turned into small tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # --- fixed values: extension aliases ---
 EXT_ALIASES = {
@@ -209,11 +209,37 @@ INHERITED_KEYS = ["MediaBox", "Resources", "Rotate", "CropBox"]
 # --- fixed values: settings defaults ---
 SETTING_DEFAULTS = {"jpeg_quality": 75, "avif_quality": 65, "max_concurrent": 4, "output_mode": "clipboard"}
 
+# --- fixed values: texts of errors and refusals; {} stands for what they are about ---
+ERRORS = {
+    "unsupported_type": "Unsupported file type: .{}",
+    "no_path": "No conversion path from .{} to {}",
+    "no_handler": "No converter handles .{} → {}",
+    "not_pdf": "Only PDF files can be merged",
+    "not_media": "Only audio/video files can be trimmed",
+    "too_few": "Need at least 2 PDFs to merge",
+    "bad_url": "Invalid local LLM URL '{}': must start with http:// or https://",
+    "bad_time": "Invalid time: {}",
+    "end_before_start": "End time must be after start time",
+    "job_status": "ffmpeg exited with status {}",
+    "job_failed": "ffmpeg failed: {}",
+    "toml_array": "TOML has no top-level array — only object/map data can convert to TOML",
+    "csv_shape": "CSV output requires an array of objects",
+    "unsupported_target": "Unsupported target format: {}",
+    "unsupported_data": "Unsupported data format: .{}",
+}
+
 CHUNK_CHARS = 3000
 ERROR_TAIL_LINES = 15
 LOG_TAIL_LINES = 300
 
 
+def error(name: str, *parts: Column) -> Column:
+    """An error text with its gaps filled; a missing part is empty, so the text never is NULL."""
+    pieces = ERRORS[name].split("{}")
+    filled = [x for text, part in zip(pieces[1:], parts) for x in (F.coalesce(part.cast("string"), F.lit("")), F.lit(text))]
+    return F.concat(F.lit(pieces[0]), *filled)
+
+
 def edge_rows() -> list[tuple[int, str, str, int, str]]:
     """(ord, src_fmt, dst_fmt, cost, cond) for every conversion, in listing order."""
     pairs = [

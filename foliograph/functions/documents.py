@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from foliograph.catalog import ERRORS
 from foliograph.functions.text import trim_space
 
-NO_TOP_LEVEL_ARRAY = "TOML has no top-level array — only object/map data can convert to TOML"
-NEEDS_RECORDS = "CSV output requires an array of objects"
+NO_TOP_LEVEL_ARRAY = ERRORS["toml_array"]
+NEEDS_RECORDS = ERRORS["csv_shape"]
 
 # --- fixed value: the JVM's JSON parser reads no string beyond this ---
 PARSER_BYTES = 20_000_000

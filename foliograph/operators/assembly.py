@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from foliograph.catalog import INHERITED_KEYS
+from foliograph.catalog import ERRORS, INHERITED_KEYS
 from foliograph.operators.hierarchy import resolve_parents, take_from_parents
 from foliograph.operators.ranks import ordinals, seq_block, sum_before
 from foliograph.session import per_key, settle
 
-TOO_FEW = "Need at least 2 PDFs to merge"
+TOO_FEW = ERRORS["too_few"]
 
 
 def global_rank(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:

@@ -20,15 +20,15 @@ def admit(df: DataFrame, mode: str) -> DataFrame:
     """
     path = F.col("path")
     if mode == "merge":
-        accepted, reason = F.lower(path).endswith(".pdf"), F.lit("Only PDF files can be merged")
+        accepted, reason = F.lower(path).endswith(".pdf"), catalog.error("not_pdf")
     elif mode == "trim":
         # here the text after the last dot of the whole path counts as extension
         tail = F.lower(F.substring_index(path, ".", -1))
-        accepted, reason = tail.isin(catalog.MEDIA), F.lit("Only audio/video files can be trimmed")
+        accepted, reason = tail.isin(catalog.MEDIA), catalog.error("not_media")
     elif mode == "convert":
         sources = sorted({src for _, src, _, _, cond in catalog.edge_rows() if cond == catalog.ALWAYS})
         accepted = normalize_ext(path_ext(path)).isin(sources)
-        reason = F.concat(F.lit("Unsupported file type: ."), path_ext(path))
+        reason = catalog.error("unsupported_type", path_ext(path))
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return df.withColumn("accepted", accepted).withColumn("reason", F.when(~accepted, reason))
@@ -56,7 +56,7 @@ def validate_settings(df: DataFrame) -> DataFrame:
             "output_mode": F.when(mode == "download", mode).otherwise(catalog.SETTING_DEFAULTS["output_mode"]),
             "error": F.when(
                 (url != "") & ~url.rlike("^https?://"),
-                F.concat(F.lit("Invalid local LLM URL '"), url, F.lit("': must start with http:// or https://")),
+                catalog.error("bad_url", url),
             ),
         }
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliograph.catalog import error as error_text
 from foliograph.functions.documents import (
     cell_text,
     csv_line,
@@ -151,7 +152,7 @@ def convert_batch(items: DataFrame) -> DataFrame:
         misfit,
         F.when(
             ~F.coalesce("target", F.lit("")).isin("json", "csv"),
-            F.concat(F.lit("Unsupported target format: "), F.coalesce("target", F.lit(""))),
+            error_text("unsupported_target", F.col("target")),
         ),
     )
     done = parsed.withColumn("error", error)

@@ -41,7 +41,7 @@ def unsupported(manifest: DataFrame, edges: DataFrame) -> DataFrame:
     """Files no edge starts from, with the reason."""
     sources = edges.select(F.col("src_fmt").alias("fmt")).distinct()
     lost = _by_format(manifest).join(small_side(sources), "fmt", "left_anti")
-    return lost.withColumn("error", F.concat(F.lit("Unsupported file type: ."), F.coalesce("ext", F.lit(""))))
+    return lost.withColumn("error", catalog.error("unsupported_type", F.col("ext")))
 
 
 def min_cost_paths(
@@ -171,7 +171,7 @@ def plan_routes(items: DataFrame, routes: DataFrame) -> DataFrame:
         "error",
         F.when(
             F.col("route").isNull(),
-            F.concat(F.lit("No conversion path from ."), F.coalesce("ext", F.lit("")), F.lit(" to "), F.coalesce("target", F.lit(""))),
+            catalog.error("no_path", F.col("ext"), F.col("target")),
         ),
     )
 
@@ -183,7 +183,7 @@ def route_hops(pairs: DataFrame, handlers: DataFrame) -> DataFrame:
         "error",
         F.when(
             F.col("hop_kind").isNull(),
-            F.concat(F.lit("No converter handles ."), "src_fmt", F.lit(" → "), "dst_fmt"),
+            catalog.error("no_handler", F.col("src_fmt"), F.col("dst_fmt")),
         ),
     )
 
@@ -232,7 +232,7 @@ def detect_with(manifest: DataFrame, report: DataFrame) -> DataFrame:
     found = _by_format(manifest).join(small_side(report), "fmt", "left")
     return found.withColumn(
         "error",
-        F.when(F.col("direct").isNull(), F.concat(F.lit("Unsupported file type: ."), F.coalesce("ext", F.lit("")))),
+        F.when(F.col("direct").isNull(), catalog.error("unsupported_type", F.col("ext"))),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliograph import catalog
+from foliograph.catalog import error as error_text
 from foliograph.functions.documents import strict_json
 from foliograph.functions.text import trim_space
 from foliograph.functions.timecodes import (
@@ -36,9 +37,9 @@ def plan_trim(specs: DataFrame) -> DataFrame:
     planned = specs.withColumns(bounds)
     s, e, whole = F.col("start_s"), F.col("end_s"), F.col("duration")
     error = (
-        F.when(F.col("_given_start") & s.isNull(), F.concat(F.lit("Invalid time: "), "start"))
-        .when(F.col("_given_end") & e.isNull(), F.concat(F.lit("Invalid time: "), "end"))
-        .when(e <= s, F.lit("End time must be after start time"))
+        F.when(F.col("_given_start") & s.isNull(), error_text("bad_time", F.col("start")))
+        .when(F.col("_given_end") & e.isNull(), error_text("bad_time", F.col("end")))
+        .when(e <= s, error_text("end_before_start"))
     )
     span = F.when(s.isNotNull() & e.isNotNull(), e - s).when(e.isNotNull(), e)
     span = span.when(s.isNotNull(), F.when(whole.isNotNull(), F.greatest(whole - s, F.lit(0.0)))).otherwise(whole)
@@ -144,8 +145,8 @@ def shown_lines(lines: DataFrame) -> DataFrame:
 def failure_message(detail: Column, status: Column) -> Column:
     """What a failed job reports: its last lines or, without any, its exit status."""
     said = trim_space(F.coalesce(detail, F.lit("")))
-    return F.when(said == "", F.concat(F.lit("ffmpeg exited with status "), F.coalesce(status, F.lit(-1)))).otherwise(
-        F.concat(F.lit("ffmpeg failed: "), said)
+    return F.when(said == "", error_text("job_status", F.coalesce(status, F.lit(-1)))).otherwise(
+        error_text("job_failed", said)
     )
 
 

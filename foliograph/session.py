@@ -128,9 +128,13 @@ def widen(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` when it has been measured to be small, else leave the join to AQE.
 
-    The measure reads at most ``max_rows + 1`` rows; above either bound the join shuffles
+    A table that is nothing but literals, as those of the catalog are, has its known size in the plan and
+    is on the driver anyway, so it is not measured. The measure reads at most ``max_rows + 1`` rows; above either bound the join shuffles
     and Spark's skew join splits hot keys.
     """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() == "LocalRelation":
+        return F.broadcast(df) if int(str(plan.stats().sizeInBytes())) <= max_bytes else df
     width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
     return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from foliograph.catalog import error as error_text
 from foliograph.functions.documents import json_error, strict_json
 
 try:
@@ -88,7 +89,7 @@ def decode_documents(df: DataFrame, fmt_col: str, text_col: str) -> DataFrame:
     error = (
         F.when(
             ~F.coalesce(foreign | (fmt == "json"), F.lit(False)),
-            F.concat(F.lit("Unsupported data format: ."), F.coalesce(F.lower(F.col(fmt_col)), F.lit(""))),
+            error_text("unsupported_data", F.lower(F.col(fmt_col))),
         )
         .when(F.col("_sent.problem").isNotNull(), F.col("_sent.problem"))
         .when(fmt == "json", json_error(F.col(text_col), F.col("value")))
