@@ -23,6 +23,8 @@ from foliograph.session import settle
 ORDER = 5  # bytes of context; an n-gram of one byte more has to fit into 63 bits
 MAX_NODES = 1 << 21  # n-grams of all orders a model keeps; beyond it, the rarest of the highest orders go
 HEAD_WORDS = 1 << 19  # words whose counts travel to the tasks; all others are joined
+CHUNK = 1 << 18  # bytes of text worked on at a time
+HELD = 1 << 20  # distinct n-grams and words a task holds before it hands them on
 BLANK, END = 32, 10
 END_WORD = -1  # stands for the end sign among the hashes of words
 
@@ -63,7 +65,7 @@ def grams(stream: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _prepared(texts: list[bytes | None]):
     """Per chunk: (hashes of words, first word of each text, n-grams, first n-gram of each text)."""
-    for _, data, offsets in chunks(texts):
+    for _, data, offsets in chunks(texts, CHUNK):
         low = _LOWER[data]
         starts, ends = spans(low)
         first = np.searchsorted(starts, offsets)
@@ -80,21 +82,29 @@ def _counted(parts: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.nda
 def counts(docs: DataFrame) -> DataFrame:
     """(kind, key, n): how often each n-gram of the full order (kind 0) and each word (kind 1) occurs in ``docs`` (text).
 
-    Tasks count chunk by chunk and hand on what a batch holds; the sums per key are Spark's.
+    Tasks count chunk by chunk, merge, and hand on what they hold when it has grown to a bound and at the end;
+    the sums per key are Spark's.
     """
 
+    def rows(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(key), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            columns = [np.full(len(key[part]), kind, np.int32), key[part], n[part]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
         for batch in batches:
-            found = {0: ([], []), 1: ([], [])}
             for hashes, first, codes, _ in _prepared(batch.column("_text").to_pylist()):
                 for kind, keys in ((0, codes), (1, np.append(hashes, np.full(len(first) - 1, END_WORD)))):
-                    key, n = np.unique(keys, return_counts=True)
-                    found[kind][0].append(key)
-                    found[kind][1].append(n)
-            for kind, (keys, ns) in found.items():
-                if keys:
-                    key, n = _counted(keys, ns)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
+                    held[kind].append(np.unique(keys, return_counts=True))
+                    if sum(len(key) for key, _ in held[kind]) > 2 * HELD:
+                        held[kind] = [_counted(*zip(*held[kind]))]
+                        if len(held[kind][0][0]) > HELD:
+                            yield from rows(kind, *held[kind].pop())
+        for kind, parts in held.items():
+            if parts:
+                yield from rows(kind, *_counted(*zip(*parts)))
 
     seen = docs.select(F.col("text").cast("binary").alias("_text")).mapInArrow(run, "kind int, key long, n long")
     return seen.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -131,7 +141,7 @@ class _Table:
     """Values of sorted keys, found by hashing into open addresses."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.bits = max(4, int(1.4 * len(keys) + 1).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self.index = np.zeros(1 << self.bits, np.int32)
         left = np.arange(len(keys))
@@ -172,7 +182,7 @@ def build(orders: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
         total = sums(n, edges).astype(np.float64)
         kinds = np.diff(edges).astype(np.float64)
         node = np.repeat(np.arange(len(contexts)), np.diff(edges))
-        level = {"keys": keys, "contexts": contexts, "count": np.log10(n - 0.5)}
+        level = {"size": len(keys), "keys": keys, "contexts": contexts, "count": np.log10(n - 0.5).astype(np.float32)}
         level["seen"] = (level["count"] - np.log10(total)[node]).astype(np.float32)
         level["escape"] = (np.log10(kinds / 2) - np.log10(total)).astype(np.float32)
         if lower is None:
@@ -193,29 +203,29 @@ def build(orders: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
 
 
 class Scorer:
-    """Finds n-grams and contexts of a model; made once per worker."""
+    """Finds n-grams and contexts of a model; made once per worker. Takes the sorted keys out of the model."""
 
     def __init__(self, model: list[dict]):
         self.model = model
-        self.grams = [_Table(level["keys"]) for level in model]
-        self.contexts = [_Table(level["contexts"]) for level in model]
+        self.grams = [_Table(level.pop("keys")) for level in model]
+        self.contexts = [_Table(level.pop("contexts")) for level in model]
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """log10 of the probability of the last byte of each n-gram after the others."""
         out = np.zeros(len(codes))
-        if not len(self.model[0]["keys"]):
+        if not self.model[0]["size"]:
             return out - np.log10(256.0)
         left = np.arange(len(codes))
         child = np.full(len(codes), -1)  # the longer context escaped from, if the trie has it
         for order in range(ORDER, -1, -1):
             level, keys = self.model[order], codes[left] & ((1 << 8 * (order + 1)) - 1)
-            if not len(level["keys"]):
+            if not level["size"]:
                 continue  # an order that did not fit; then no longer one did
             found = self.grams[order].find(keys)
             hit = found >= 0
             rows, at, above = left[hit], found[hit], child[hit]
             alone = level["seen"][at]
-            longer = self.model[order + 1] if order < ORDER and len(self.model[order + 1]["keys"]) else level
+            longer = self.model[order + 1] if order < ORDER and self.model[order + 1]["size"] else level
             out[rows] += np.where(above < 0, alone, level["count"][at] - longer["below"][np.maximum(above, 0)])
             left, child, keys = left[~hit], child[~hit], keys[~hit]
             node = self.contexts[order].find(keys >> 8)

@@ -21,7 +21,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(prepare(spark), sf_dir)
+            prepare(spark)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts travel in them
+            return fn(spark, sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
