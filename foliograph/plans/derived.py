@@ -77,7 +77,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_lines_of(events)
 
 
-def log_lines_of(events: DataFrame) -> DataFrame:
+def log_lines_of(events: DataFrame, *keep: str) -> DataFrame:
     n, kind = F.col("event_id"), F.col("event_type")
     micros = F.round(F.col("value") * 1000000).cast("bigint")
     word = dealt([w for w, _ in catalog.STAGES], n)
@@ -95,7 +95,7 @@ def log_lines_of(events: DataFrame) -> DataFrame:
         )
         .otherwise(F.concat(F.lit("ffmpeg not found ("), text(n), F.lit(")")))
     )
-    return events.select(F.col("user_id").alias("job_id"), n.alias("seq"), line.alias("line"))
+    return events.select(F.col("user_id").alias("job_id"), n.alias("seq"), line.alias("line"), *keep)
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,15 +23,18 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     f"WITH {PROGRESS_SQL} SELECT job_id, max(percent) AS percent, count(*) AS reports FROM progress GROUP BY job_id",
 )
 def progress_stream(spark, sf_dir):
-    lines = d.log_lines_of(table_stream(spark, sf_dir, "events"))
-    folder = monitors.drain(monitors.progress_stream(lines, d.durations(spark, sf_dir)), "update", "progress")
+    lines = d.log_lines_of(table_stream(spark, sf_dir, "events"), "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = monitors.progress_stream(lines, d.durations(spark, sf_dir), "ts")
+    folder = monitors.drain(stream, "update", "progress")
     return monitors.latest_progress(spark, folder).withColumn("percent", F.round("percent", 6))
 
 
 @query("k2_token_stream", f"SELECT request_id, md5(text) AS text_md5, done, tokens FROM ({TOKENS_SQL})")
 def token_stream(spark, sf_dir):
     lines = d.token_lines_of(table_stream(spark, sf_dir, "conversations"))
-    folder = monitors.drain(monitors.token_stream(lines), "update", "tokens")
+    # turns arrive an hour apart and against their order, so that windows cut every block
+    arriving = lines.withColumn("at", F.timestamp_seconds(1_000_000 - 3_600 * F.col("seq")))
+    folder = monitors.drain(monitors.token_stream(arriving, "at"), "update", "tokens")
     return monitors.latest_tokens(spark, folder).select("request_id", F.md5("text").alias("text_md5"), "done", "tokens")
 
 

@@ -7,6 +7,7 @@ epoch left there, so a restarted query neither loses nor repeats rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,31 +40,53 @@ def start(
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
+def late_rows(run: StreamingQuery) -> int:
+    """How many rows a watermark has turned away in the batches ``run`` still reports on."""
+    states = [state for batch in run.recentProgress for state in batch["stateOperators"]]
+    return sum(state["numRowsDroppedByWatermark"] for state in states)
+
+
 def drain(stream: DataFrame, mode: str, label: str) -> str:
-    """Run to the end of the present input and return the folder with the epochs."""
+    """Run to the end of the present input and return the folder with the epochs.
+
+    Rows that came too late for the watermark are warned about with their number, not lost in silence.
+    """
     folder = scratch_path(stream.sparkSession, label)
-    start(stream, folder, mode).awaitTermination()
+    run = start(stream, folder, mode)
+    run.awaitTermination()
+    late = late_rows(run)
+    if late:
+        warnings.warn(f"{label}: {late} rows came after the watermark and were dropped", stacklevel=2)
     return folder
 
 
-def progress_stream(lines: DataFrame, durations: DataFrame) -> DataFrame:
-    """Highest percent per job (update mode).
+def progress_stream(
+    lines: DataFrame, durations: DataFrame, arrival: str | None = None, delay: str = "1 hour"
+) -> DataFrame:
+    """Highest percent per job (update mode), with ``arrival`` per job and window of arrival.
 
     The percent grows with the reported time, so the largest time per job is kept as state
-    and the durations are joined after that: a busy job costs one row per map task.
+    and the durations are joined after that: a busy job costs one row per map task. The watermark
+    evicts the windows that have passed, so a stream may run for as long as it likes.
     """
-    micros = lines.select("job_id", out_time_us(F.col("line")).alias("us")).filter(F.col("us").isNotNull())
-    reached = micros.groupBy("job_id").agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("reports"))
+    keys = ["job_id"]
+    if arrival:
+        lines = lines.withWatermark(arrival, delay)
+        keys.append(F.window(arrival, delay).alias("arrived"))
+    micros = lines.withColumn("us", out_time_us(F.col("line"))).filter(F.col("us").isNotNull())
+    reached = micros.groupBy(*keys).agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("reports"))
     known = durations.filter(F.col("duration") > 0)
     percent = ratio_percent(F.col("us") / 1000000.0, F.col("duration"))
-    return reached.join(known, "job_id").select("job_id", percent.alias("percent"), "reports")
+    told = ["job_id", *(["arrived"] if arrival else [])]
+    return reached.join(known, "job_id").select(*told, percent.alias("percent"), "reports")
 
 
 def latest_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """Progress only moves up, so the largest update is the latest one."""
-    return spark.read.parquet(folder).groupBy("job_id").agg(
-        F.max("percent").alias("percent"), F.max("reports").alias("reports")
-    )
+    """Progress only moves up, so the largest update of a job (and window) is the latest one."""
+    updates = spark.read.parquet(folder)
+    keys = [c for c in ("job_id", "arrived") if c in updates.columns]
+    newest = updates.groupBy(*keys).agg(F.max("percent").alias("percent"), F.max("reports").alias("reports"))
+    return newest.groupBy("job_id").agg(F.max("percent").alias("percent"), F.sum("reports").alias("reports"))
 
 
 def token_stream(lines: DataFrame, arrival: str | None = None, delay: str = "1 hour") -> DataFrame:

@@ -26,9 +26,11 @@ def log(spark):
     return spark.createDataFrame(rows, "job_id int, seq long, line string")
 
 
-def test_progress(spark, feed):
+@pytest.mark.parametrize("arrival", [None, "at"])
+def test_progress(spark, feed, arrival):
     known = spark.createDataFrame([(0, 40.0), (1, 60.0), (2, None)], "job_id int, duration double")
-    folder = monitors.drain(monitors.progress_stream(feed(log(spark), 5), known), "update", "t")
+    lines = log(spark).withColumn("at", F.timestamp_seconds(F.col("seq") * 60))
+    folder = monitors.drain(monitors.progress_stream(feed(lines, 5), known, arrival), "update", "t")
     batch = timeline.progress_state(timeline.log_progress(log(spark), known))
     assert {tuple(r) for r in monitors.latest_progress(spark, folder).collect()} == {(r.job_id, r.percent, r.reports) for r in batch.collect()}
     assert spark.read.parquet(folder).select("epoch").distinct().count() == 5
@@ -86,3 +88,12 @@ def test_tokens_of_a_block_that_arrives_out_of_order(spark, feed):
     df = df.withColumn("at", F.timestamp_seconds(F.when(F.col("seq") == 2, 4000).otherwise(F.col("seq") + 9)))
     folder = monitors.drain(monitors.token_stream(feed(df, 1), "at"), "update", "t")
     assert monitors.latest_tokens(spark, folder).first().text == "t1 t2 t3 "
+
+
+def test_late_rows_are_told(spark, feed):
+    rows = [(0, 0, 10_000_000), (0, 3, 9_000_000), (0, 1, 50), (0, 4, 60), (0, 2, 70), (0, 5, 80)]
+    df = spark.createDataFrame([(j, n, f"out_time_us={n + 1}", t) for j, n, t in rows], "job_id int, seq long, line string, t long")
+    known = spark.createDataFrame([(0, 40.0)], "job_id int, duration double")
+    lines = feed(df.withColumn("at", F.timestamp_seconds("t")), 3)
+    with pytest.warns(UserWarning, match="rows came after the watermark"):
+        monitors.drain(monitors.progress_stream(lines, known, "at"), "update", "t")
