@@ -1,16 +1,18 @@
 """SimHash near-duplicates: fingerprints, keys from the binary Golay code, verified links, components.
 
-A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits. Three differing bits fall on three segments in such
-a way that two of them differ in one bit at most. The Golay code of length 23 is perfect: each segment has one codeword
-within three bits, and a segment that differs in one bit has that same codeword within four. So a fingerprint
-is filed under its nearest codewords for each pair of segments, and looks under every codeword within four bits (one
-to six a segment): no pair is missed, and each candidate is verified by its differing bits.
+A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits. Three differing bits fall on them in one of two ways:
+either some segment is equal and one of the others differs in one bit at most, or each differs in exactly one, so that
+of the halves of the first one is equal, and of the last likewise. The Golay code of length 23 is perfect: each
+segment has one codeword within three bits, and a segment that differs in one bit has that same codeword within four.
+A key is what is equal, exactly, with the codeword of the segment that may differ: 30 bits of the fingerprint or more.
+Each fingerprint is filed under its nearest codewords (ten keys) and looks under every codeword within four bits
+(one to six a segment): no pair is missed, and each candidate is verified by its differing bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, permutations, product
 
 import numpy as np
 import pyarrow as pa
@@ -101,8 +103,20 @@ def _codewords(fps: np.ndarray, single: np.ndarray, table: np.ndarray) -> list[n
     return found
 
 
+def _keys(fps: np.ndarray, codes: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Per kind of key an array (fingerprint, codewords of one segment) of keys, -1 where there is none."""
+    segments = [(fps >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64) for first, width in SEGMENTS]
+    halves = [[(0, 12), (12, 11)], [(0, 9), (9, 9)]]
+    equal = [(segments[i], codes[j]) for i, j in permutations(range(3), 2)]
+    for (low, n), (at, m) in product(*halves):
+        part = (segments[0] >> low & (1 << n) - 1) << 9 | segments[2] >> at & (1 << m) - 1
+        equal.append((part, codes[1]))
+    for kind, (same, code) in enumerate(equal):
+        yield np.where(code < 0, -1, kind << 58 | same[:, None] << 23 | code)
+
+
 def golay_keys(fps: DataFrame, every: bool) -> DataFrame:
-    """(key, fp, comp) for ``fps`` (fp, comp): the three keys a fingerprint is filed under, or all that it looks under."""
+    """(key, fp, comp) for ``fps`` (fp, comp): the ten keys a fingerprint is filed under, or all that it looks under."""
     single, table = error_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +126,7 @@ def golay_keys(fps: DataFrame, every: bool) -> DataFrame:
                 fps = part.column("fp").to_numpy().view(np.uint64)
                 comps = part.column("comp").to_numpy()
                 codes = _codewords(fps, single, table)
-                for pair, (i, j) in enumerate(combinations(range(3), 2)):
-                    a, b = (codes[i], codes[j]) if every else (codes[i][:, :1], codes[j][:, :1])
-                    left, right = a[:, :, None], b[:, None, :]
-                    keys = np.where((left < 0) | (right < 0), -1, pair << 46 | left << 23 | right).reshape(len(fps), -1)
+                for keys in _keys(fps, codes if every else [c[:, :1] for c in codes]):
                     rows, places = np.nonzero(keys >= 0)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[rows, places]), pa.array(fps[rows].view(np.int64)), pa.array(comps[rows])],
