@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from foliograph.llm.common import bucket, chunks, repeats, run_hashes, scramble, spans, sums
+from foliograph.llm.common import bucket, chunks, labelled_sample, repeats, run_hashes, scramble, spans, sums
 
 PASSAGE = 64  # words
 HIDDEN = 16
@@ -120,13 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     At most ``sample`` labelled ids are used, those of the smallest digest. NULL labels and ids whose labels
     differ teach nothing; without any label every score is one half.
     """
-    agreed = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
-        F.min("quality").alias("_label"), F.max("quality").alias("_top")
-    )
-    usable = agreed.where((F.col("_label") == F.col("_top")) & (bucket(5) != 0)).withColumn("_h", F.xxhash64("doc_id"))
-    present = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = present.orderBy("_h", "doc_id").limit(sample).select("doc_id", "_label")
-    taught = docs.select("doc_id", F.col("text").cast("binary").alias("_text")).join(F.broadcast(chosen), "doc_id")
+    taught = labelled_sample(docs.select("doc_id", F.col("text").cast("binary").alias("_text")), labels, "quality", sample, bucket(5) != 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                 [batch.column("doc_id"), batch.column("_label"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "x"]
             )
 
-    found = taught.select("doc_id", F.col("_label").cast("int"), "_text").mapInArrow(run, "doc_id long, label int, x array<double>")
+    found = taught.select("doc_id", "_label", "_text").mapInArrow(run, "doc_id long, label int, x array<double>")
     rows = found.toArrow().sort_by([("doc_id", "ascending")])
     passages = [np.array(r.as_py()).reshape(-1, FEATURES) for r in rows.column("x")]
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in passages]))).astype(np.int64)
