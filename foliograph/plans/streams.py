@@ -24,7 +24,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def progress_stream(spark, sf_dir):
     lines = d.log_lines_of(table_stream(spark, sf_dir, "events"), "ts").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = monitors.progress_stream(lines, d.durations(spark, sf_dir), "ts")
+    stream = monitors.progress_stream(lines, d.durations(spark, sf_dir), "ts", "7 days")
     folder = monitors.drain(stream, "update", "progress")
     return monitors.latest_progress(spark, folder).withColumn("percent", F.round("percent", 6))
 
