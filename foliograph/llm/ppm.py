@@ -1,11 +1,14 @@
 """Language-model scoring by prediction by partial matching over bytes, next to a smoothed word count.
 
 A text is the sequence of its lower-case words, each followed by a blank, and an end sign. The trie of byte contexts is kept
-as one sorted table of n-grams per order: its counts give, for every context, the probability of each symbol seen
+as one table of n-grams per order: its counts give, for every context, the probability of each symbol seen
 after it and that of an escape to the context one byte shorter, where the symbols already ruled out are excluded.
 Half a count of each seen symbol goes to the escape (method D).
 Since a symbol seen after a context was also seen after every shorter one, what is excluded below a context depends
 on that context alone, so all of it is worked out once per node.
+
+The trie is a Spark table of any size. Frequent n-grams travel to the tasks with their probability; all others are walked
+down the orders once each, by joins in which a key has 256 rows at most, and joined with the rows that hold them.
 """
 
 from __future__ import annotations
@@ -15,13 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from foliograph.llm.common import bucket, chunks, run_hashes, spans, sums, written
+from foliograph.llm.common import bucket, chunks, run_hashes, spans, sums
 from foliograph.session import settle
 
 ORDER = 5  # bytes of context; an n-gram of one byte more has to fit into 63 bits
-MAX_NODES = 1 << 21  # n-grams of all orders a model keeps; beyond it, the rarest of the highest orders go
+HEAD_GRAMS = 1 << 20  # n-grams of the full order whose probabilities travel to the tasks; all others are joined
 HEAD_WORDS = 1 << 19  # words whose counts travel to the tasks; all others are joined
 CHUNK = 1 << 18  # bytes of text worked on at a time
 HELD = 1 << 20  # distinct n-grams and words a task holds before it hands them on
@@ -125,18 +128,6 @@ def _threshold(bins: dict[int, int], most: int, least: int = 0) -> int:
     return level
 
 
-def _thresholds(bins: dict[tuple, int], most: int) -> list[int]:
-    """A level per order, low orders first: each takes what the budget leaves, and none goes below the one before,
-    so that every suffix of an n-gram that is kept is kept too."""
-    found, level = [], 0
-    for order in range(ORDER + 1):
-        own = {lv: n for (k, lv), n in bins.items() if k == order}
-        level = _threshold(own, most, level)
-        most -= sum(n for lv, n in own.items() if lv >= level)
-        found.append(level)
-    return found
-
-
 class _Table:
     """Values of sorted keys, found by hashing into open addresses."""
 
@@ -203,7 +194,7 @@ def build(orders: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
 
 
 class Scorer:
-    """Finds n-grams and contexts of a model; made once per worker. Takes the sorted keys out of the model."""
+    """The walk over a model held in memory, which ``walked`` does by joins. Takes the sorted keys out of the model."""
 
     def __init__(self, model: list[dict]):
         self.model = model
@@ -220,7 +211,7 @@ class Scorer:
         for order in range(ORDER, -1, -1):
             level, keys = self.model[order], codes[left] & ((1 << 8 * (order + 1)) - 1)
             if not level["size"]:
-                continue  # an order that did not fit; then no longer one did
+                continue
             found = self.grams[order].find(keys)
             hit = found >= 0
             rows, at, above = left[hit], found[hit], child[hit]
@@ -238,52 +229,93 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, most: int = MAX_NODES) -> tuple[list[dict], DataFrame, tuple[int, int]]:
-    """(model, written word counts (key, n), (N, V)) of ``docs`` (text).
+def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int]]:
+    """(n-grams (k, g, n) of each order, contexts (k, x, total, kinds, excluded), word counts (key, n), (N, V)) of ``docs``
+    (text), all written.
 
-    Every text is counted. The n-grams of lower orders are sums over those of the full order, taken before the
-    trie is cut to ``most`` n-grams; only orders that do not fit lose their rarest.
+    Every text is counted, and every n-gram stays. Of a context: how often it was seen, the symbols seen after it, and how
+    often those were seen after the context one byte shorter (NULL for the empty one).
     """
     both = settle(counts(docs))
     vocabulary = settle(both.where("kind = 1").select("key", "n"))
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("g")) for k in range(ORDER + 1)]))
+    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _last(F.col("key"), k + 1).alias("g")) for k in range(ORDER + 1)]))
     nodes = settle(both.where("kind = 0").select(orders.alias("o"), "n").groupBy("o").agg(F.sum("n").alias("n")).select("o.k", "o.g", "n"))
-    floors = F.array(*[F.lit(2**level) for level in _thresholds(_levels(nodes, "k"), most)])
-    kept = nodes.where(F.col("n") >= F.get(floors, F.col("k"))).toArrow()
-    k, g, n = (kept.column(c).to_numpy() for c in ("k", "g", "n"))
-    tables = []
-    for order in range(ORDER + 1):
-        keys, values = g[k == order], n[k == order]
-        by_key = np.argsort(keys)
-        tables.append((keys[by_key], values[by_key]))
-    return build(tables), vocabulary, (int(tokens), int(distinct))
-
-
-def score_texts(docs: DataFrame, fold: int = 5, held: int = 1, most: int = MAX_NODES, head: int = HEAD_WORDS) -> DataFrame:
+    shorter = F.get(F.array(*[_last(F.col("g"), k) for k in range(ORDER + 1)]), F.col("k"))
+    under = nodes.select((F.col("k") + 1).alias("k"), F.col("g").alias("s"), F.col("n").alias("below"))
+    each = nodes.withColumn("s", shorter).join(under, ["k", "s"], "left")
+    of_context = each.groupBy("k", F.shiftright("g", 8).alias("x"))
+    contexts = of_context.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("below").alias("excluded"))
+    return nodes, settle(contexts), vocabulary, (int(tokens), int(distinct))
+
+
+def _last(key: Column, n: int) -> Column:
+    """The last ``n`` bytes of an n-gram."""
+    return key.bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
+
+
+def walked(asked: DataFrame, nodes: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(key, value): log10 of the probability of the last byte of each of the distinct n-grams ``asked`` (key).
+
+    Order by order from the lowest, for the distinct endings of that order: ``value`` is that of a walk that begins there,
+    ``rest`` that of one that has escaped from its context, whose symbols are excluded. Both follow from the ending one
+    byte shorter, so nothing is walked twice, and no key of a join has more than 256 rows.
+    """
+    lower = None
+    for k in range(ORDER + 1):
+        own = asked.select(_last(F.col("key"), k + 1).alias("g")).distinct()
+        seen = nodes.where(F.col("k") == k).select("g", "n")
+        around = contexts.where(F.col("k") == k).drop("k")
+        at = own.join(seen, "g", "left").withColumn("x", F.shiftright("g", 8)).join(around, "x", "left")
+        if lower is None:
+            rest, start = -F.log10(256.0 - F.col("kinds")), F.lit(-float(np.log10(256.0)))
+        else:
+            at = at.withColumn("s", _last(F.col("g"), k)).join(lower, "s", "left")
+            left, kinds = F.col("s_total") - F.col("excluded"), F.col("s_kinds") - F.col("kinds")
+            again = F.when(kinds > 0, F.log10(kinds / 2) - F.log10(left)).otherwise(0.0)  # none: the shorter context has nothing else
+            rest = F.when(F.col("s_n").isNotNull(), F.log10(F.col("s_n") - 0.5) - F.log10(left)).otherwise(again + F.col("s_rest"))
+            start = F.col("s_value")
+        at = at.withColumn("rest", rest)
+        escape = F.log10(F.col("kinds") / 2) - F.log10("total") + F.col("rest")
+        value = F.when(F.col("n").isNotNull(), F.log10(F.col("n") - 0.5) - F.log10("total")).when(F.col("total").isNotNull(), escape).otherwise(start)
+        lower = at.withColumn("value", value).select(
+            F.col("g").alias("s"), *[F.col(c).alias(f"s_{c}") for c in ("n", "total", "kinds", "rest", "value")]
+        )
+    return lower.select(F.col("s").alias("key"), F.col("s_value").alias("value"))
+
+
+def score_texts(docs: DataFrame, fold: int = 5, held: int = 1, most: int = HEAD_GRAMS, head: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs`` (doc_id, text).
 
     Learned from every text outside the fold, scored is every whole text. NULL counts as the empty text, which is one
     end sign. A NULL id falls into the fold of the empty id. Repeated rows count and are scored one by one. An empty table stays
     empty; with nothing to learn from every byte is one of 256. Other columns are ignored.
 
-    Word counts: frequent words travel to the tasks as one table of bounded size; a text's other words are joined with
-    the vocabulary by their hash and summed per row.
+    ``most`` n-grams and ``head`` words, the most frequent ones, travel to the tasks as tables of bounded size; a text's
+    other n-grams and words are joined with the whole trie and vocabulary and summed per row. The bounds do not change a score.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    model, vocabulary, (tokens, distinct) = train(docs.where(bucket(fold) != held), most)
+    nodes, contexts, vocabulary, (tokens, distinct) = train(docs.where(bucket(fold) != held))
     least = 2 ** _threshold({level: n for (level,), n in _levels(vocabulary).items()}, head)
     top = vocabulary.where(F.col("n") >= least).toArrow()
     by_key = np.argsort(top.column("key").to_numpy())
     head_keys, head_counts = top.column("key").to_numpy()[by_key], top.column("n").to_numpy()[by_key]
+    full_order = nodes.where(F.col("k") == ORDER)
+    often = 2 ** _threshold({level: n for (level,), n in _levels(full_order).items()}, most)
+    totals = contexts.where(F.col("k") == ORDER).select("x", "total")
+    frequent = full_order.where(F.col("n") >= often).withColumn("x", F.shiftright("g", 8)).join(totals, "x")
+    grams_top = frequent.select("g", (F.log10(F.col("n") - 0.5) - F.log10("total")).alias("value")).toArrow()
     log_n = np.log10(tokens + 0.5 * (distinct + 1))
-    shared = spark.sparkContext.broadcast({"model": model, "keys": head_keys, "counts": head_counts})
+    shared = spark.sparkContext.broadcast({
+        "grams": grams_top.column("g").to_numpy(), "values": grams_top.column("value").to_numpy(), "keys": head_keys, "counts": head_counts,
+    })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_here = shared.value  # one object per worker: what is made of it serves later tasks too
-        scorer = held_here.setdefault("scorer", None) or Scorer(held_here["model"])
-        held_here["scorer"] = scorer
+        known_grams = held_here.get("table") or _Table(held_here["grams"])
+        held_here["table"] = known_grams
+        values = np.append(held_here["values"], 0.0)  # at -1: joined
         keys, gains = held_here["keys"], np.log10(held_here["counts"] + 0.5)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -311,22 +343,28 @@ def score_texts(docs: DataFrame, fold: int = 5, held: int = 1, most: int = MAX_N
                     rare_owner, rare = rare_owner[by_owner], rare[by_owner]
                 bounds = np.searchsorted(rare_owner, np.arange(n_texts + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(rare))
-                score = sums(scorer.log_probability(codes), code_first)
+                spot = known_grams.find(codes)
+                score = sums(values[spot], code_first)
+                missed = np.concatenate(([0], np.cumsum(spot < 0)))[code_first].astype(np.int32)
+                rare_grams = pa.ListArray.from_arrays(pa.array(missed), pa.array(codes[spot < 0]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(n_texts)), batch.column("doc_id").slice(at, n_texts), pa.array(np.diff(first) + 1),
-                     pa.array(known), pa.array(base), pa.array(score), lists],
-                    names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare"],
+                     pa.array(known), pa.array(base), pa.array(score), lists, rare_grams],
+                    names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare", "rare_grams"],
                 )
                 at, row = at + n_texts, row + n_texts
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, rare array<long>"
+    schema = f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, rare array<long>, rare_grams array<long>"
     rows = settle(docs.select("doc_id", F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema))
     each = rows.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     told = each.join(vocabulary.where(F.col("n") < least), "key", "left")
     gain = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))
     tail = told.groupBy("row").agg(F.sum(gain).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("found"))
-    full = rows.drop("rare").join(tail, "row", "left")
+    others = settle(rows.select("row", F.explode("rare_grams").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")))
+    worth = settle(walked(settle(others.select("key").distinct()), nodes, contexts))
+    gram_tail = others.join(worth, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more_score"))
+    full = rows.drop("rare", "rare_grams").join(tail, "row", "left").join(gram_tail, "row", "left")
     return full.select(
         "doc_id",
         (bucket(fold) == held).alias("held_out"),
@@ -334,5 +372,5 @@ def score_texts(docs: DataFrame, fold: int = 5, held: int = 1, most: int = MAX_N
         (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(log_n))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

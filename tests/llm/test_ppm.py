@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -98,3 +99,15 @@ def test_a_small_budget_still_gives_probabilities(docs):
     found = ppm.score_texts(docs(*rows), most=60, head=2).collect()
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
     assert ppm.score_texts(docs()).count() == 0
+
+
+def test_no_budget_changes_a_score(docs):
+    """Every n-gram that does not travel to the tasks is joined: with a small head, or none, scores are those of the whole trie."""
+    rows = [(i, f"alpha beta{i} gamma" * (1 + i % 3)) for i in range(40)] + [(50, "new zebra words"), (51, None)]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    plain = PlainModel([(t or "").encode() for i, t in rows if not held[i]])
+    streams = {i: stream_of((t or "").encode()) for i, t in rows}
+    want = {i: sum(math.log10(plain.probability(s[:j], s[j])) for j in range(ppm.ORDER, len(s))) for i, s in streams.items()}
+    for most in (0, 60):
+        found = {r["doc_id"]: r["score"] for r in ppm.score_texts(docs(*rows), most=most, head=2).collect()}
+        assert found == pytest.approx(want, abs=1e-6)
