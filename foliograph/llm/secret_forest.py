@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliograph.session import settle
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+SHORTEST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"
+NEAR = 40  # characters on either side of a candidate that tell about it
 # Forms of secrets that need no context, and names that stand before one.
 KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})$"
 NAMES = r"(?i)(token|secret|password|passwd|pwd|api_?key|access_?key|private_?key|auth|bearer|credential)s?$"
@@ -23,8 +25,20 @@ FEATURES = [
 ]
 
 
+def _near(gaps: str, hits: str, i: Column, n: int) -> tuple[Column, Column]:
+    """NEAR characters of the text before and after hit ``i``: of gaps, with hits between them, ``n`` of which are that long."""
+
+    def piece(side, name: str, at: Column) -> Column:
+        return F.coalesce(side(F.get(name, at), F.lit(NEAR)), F.lit(""))
+
+    left = [piece(F.right, name, i - d) for d in range(n, 0, -1) for name in (gaps, hits)] + [piece(F.right, gaps, i)]
+    right = [piece(F.left, gaps, i + 1)] + [piece(F.left, name, i + at) for d in range(1, n + 1) for name, at in ((hits, d), (gaps, d + 1))]
+    return F.right(F.concat(*left), F.lit(NEAR)), F.left(F.concat(*right), F.lit(NEAR))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, secret, left, right) of each candidate: its place in characters from 0, and 40 characters on either side.
+    """(doc_id, start, secret, left, right) of each candidate: its place in characters from 0, and 40 characters on either side,
+    other candidates included.
 
     The text is cut at the candidates once; a place is the length of all that comes before.
     """
@@ -33,14 +47,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     sizes = F.transform("found", lambda x, i: F.length(F.get("parts", i)) + F.length(x))
     ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
     placed = parts.select("doc_id", "found", "parts", ends.alias("ends"))
-    each = placed.select("doc_id", "parts", "ends", F.posexplode_outer("found").alias("i", "secret")).where("secret is not null")
-    return each.select(
-        "doc_id",
-        (F.get("ends", F.col("i")) + F.length(F.get("parts", F.col("i")))).cast("bigint").alias("start"),
-        "secret",
-        F.right(F.get("parts", F.col("i")), F.lit(40)).alias("left"),
-        F.left(F.get("parts", F.col("i") + 1), F.lit(40)).alias("right"),
-    )
+    each = placed.select("doc_id", "found", "parts", "ends", F.posexplode_outer("found").alias("i", "secret")).where("secret is not null")
+    left, right = _near("parts", "found", F.col("i"), -(-NEAR // SHORTEST))
+    start = F.get("ends", F.col("i")) + F.length(F.get("parts", F.col("i")))
+    return each.select("doc_id", start.cast("bigint").alias("start"), "secret", left.alias("left"), right.alias("right"))
 
 
 def frequent_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
