@@ -14,7 +14,12 @@ CANDIDATE = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"
 NEAR = 40  # characters on either side of a candidate that tell about it
 # Forms of secrets that need no context, and names that stand before one.
 KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})$"
-NAMES = r"(?i)(token|secret|password|passwd|pwd|api_?key|access_?key|private_?key|auth|bearer|credential)s?$"
+NAMED = "token|secret|password|passwd|pwd|api_?key|access_?key|private_?key|auth|bearer|credential"
+NAMES = rf"(?i)({NAMED})s?$"
+# What stands before a value of any length: such a name and an assignment, four characters at least; and the value.
+ASSIGNMENT = rf"(?i:{NAMED})[sS]?[\"']?[ \t]*+[:=]{{1,2}}+[ \t]*+[\"']?+"
+VALUE = r"(?<=\")[^\s\"]+|(?<=')[^\s']+|(?<![\"'])[^\s\"'](?:\S*[^\s,;])?"
+ASSIGNED = rf"({ASSIGNMENT})(?=({VALUE})([\s\S]{{0,{NEAR}}}))"
 DICTIONARY = 300  # most frequent words of three letters or more that cover ordinary text
 SAMPLE = 20_000  # labelled findings of each kind a forest is trained on, at most
 TREES, DEPTH = 20, 6
@@ -40,19 +45,47 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, start, secret, left, right) of each candidate: its place in characters from 0, and 40 characters on either side,
     other candidates included.
 
-    The text is cut at the candidates once; a place is the length of all that comes before.
+    Candidates are long runs of the characters secrets are made of, and what is assigned to a telling name, of any length
+    and with any signs but blanks: in quotes up to the same one, else without a comma or semicolon at its end. What is both
+    is one candidate.
     """
-    cut = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found")).where(F.col("found").isNotNull())
-    parts = cut.select("doc_id", "found", F.split("text", CANDIDATE).alias("parts"))
-    sizes = F.transform("found", lambda x, i: F.length(F.get("parts", i)) + F.length(x))
-    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    placed = parts.select("doc_id", "found", "parts", ends.alias("ends"))
-    each = placed.select("doc_id", "found", "parts", "ends", F.posexplode_outer("found").alias("i", "secret")).where("secret is not null")
+    docs = docs.select("doc_id", "text")
+    return _runs(docs).unionByName(_assigned(docs))
+
+
+def _runs(docs: DataFrame) -> DataFrame:
+    """The text is cut at the candidates once; a place is the length of all that comes before."""
+    each = _cut(docs.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))), CANDIDATE, F.col("found"))
     left, right = _near("parts", "found", F.col("i"), -(-NEAR // SHORTEST))
     start = F.get("ends", F.col("i")) + F.length(F.get("parts", F.col("i")))
     return each.select("doc_id", start.cast("bigint").alias("start"), "secret", left.alias("left"), right.alias("right"))
 
 
+def _assigned(docs: DataFrame) -> DataFrame:
+    """The text is cut at names and assignments, so that a value may hold another name. Values that are runs are left out."""
+    some = docs.where(F.col("text").rlike(ASSIGNED))
+    found, values, after = (F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(k)) for k in (1, 2, 3))
+    each = _cut(some.withColumns({"found": found, "values": values, "after": after}), ASSIGNED, F.col("values"))
+    left, _ = _near("parts", "found", F.col("i"), -(-NEAR // 4))
+    own = F.get("found", F.col("i"))
+    return each.where(~F.col("secret").rlike(f"^(?:{CANDIDATE})$")).select(
+        "doc_id",
+        F.get("ends", F.col("i") + 1).cast("bigint").alias("start"),
+        "secret",
+        F.right(F.concat(left, own), F.lit(NEAR)).alias("left"),
+        F.get("after", F.col("i")).alias("right"),
+    )
+
+
+def _cut(hits: DataFrame, pattern: str, secret: Column) -> DataFrame:
+    """A row for each hit ``i`` of ``found``, with the parts of the text between hits and ``ends``, where each hit ends, from 0 on."""
+    parts = hits.where(F.col("found").isNotNull()).withColumn("parts", F.split("text", pattern)).drop("text")
+    sizes = F.transform("found", lambda x, i: F.length(F.get("parts", i)) + F.length(x))
+    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    placed = parts.withColumn("ends", ends)
+    return placed.select("*", F.posexplode_outer(secret).alias("i", "secret")).where("secret is not null")
+
+
 def frequent_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
     """The ``n`` most frequent words of three to eight letters a-z, ties by code point."""
     every = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{3,8}\b"), F.lit(0))).alias("w"))
@@ -72,7 +105,7 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     known = F.regexp_replace(F.lower("secret"), "|".join(ordered), "") if ordered else F.lower("secret")
     pairs = sorted({w[i : i + 2] for w in dictionary for i in range(len(w) - 1)})  # 676 at most
     common = F.regexp_count(F.lower("secret"), F.lit(f"(?=(?:{'|'.join(pairs)}))")) if pairs else F.lit(0)
-    before = F.regexp_extract("left", r"([A-Za-z0-9_-]+)[\"']?\s*[:=]?\s*[\"']?$", 1)
+    before = F.regexp_extract("left", r"([A-Za-z0-9_-]+)[\"']?\s*[:=]*\s*[\"']?$", 1)
     columns = {
         "length": F.length("secret").cast("double"),
         "transitions": F.length(F.regexp_replace(kinds, r"(.)\1*", "x")) / size,
@@ -94,9 +127,10 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
 
 
 def label_by_form(found: DataFrame) -> DataFrame:
-    """``label`` of what can be told without a model: 1 for known forms and for long values assigned to a telling name,
-    0 for runs of letters in one case, numbers and paths; NULL for all else."""
-    sure = F.col("secret").rlike(KNOWN) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1))
+    """``label`` of what can be told without a model: 1 for known forms and for values assigned to a telling name that are long
+    or mix letters and digits, 0 for runs of letters in one case, numbers and paths; NULL for all else."""
+    mixed = (F.col("length") >= SHORTEST) | F.col("secret").rlike("[A-Za-z]")
+    sure = F.col("secret").rlike(KNOWN) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1) & mixed)
     plain = F.col("secret").rlike(r"^[0-9+/_-]+$") | F.col("secret").rlike(r"^[A-Z]?[a-z_-]+$") | F.col("secret").rlike(r"^[A-Z_-]+$") | F.col("secret").rlike(r"^(/?[A-Za-z_-]+)+/?$")
     return found.withColumn("label", F.when(sure, 1.0).when(plain, 0.0))
 

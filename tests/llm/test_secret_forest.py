@@ -66,3 +66,33 @@ def test_neighbours_reach_across_other_candidates(docs):
         assert (r["left"], r["right"]) == (text[max(0, r["start"] - 40) : r["start"]], text[end : end + 40])
     told = sf.label_by_form(sf.with_features(sf.candidates(table.where("doc_id < 2")), [])).where("start > 0 and secret not like 'abc%'")
     assert [(r["named"], r["label"]) for r in told.collect()] == [(1.0, 1.0)] * 2
+
+
+def test_values_of_any_length_and_signs_after_a_telling_name(docs):
+    texts = {
+        0: ('password = "hunter2!Xy"', ["hunter2!Xy"]),
+        1: ("ü DB_PASSWORD=s3cr3tPa55, next", ["s3cr3tPa55"]),
+        2: ("{'pwd': 'a\"b;c1'}", ['a"b;c1']),
+        3: ("x?token=ab1&password=q9", ["ab1&password=q9", "q9"]),
+        4: ("Passwords are long. The tokenizer = x, password hints, pwd: ", []),
+        5: ('token = "abcdefghijklmnop1"', ["abcdefghijklmnop1"]),
+        6: ("api_key: abcdefghijklmnop!q " + "z" * 50, ["abcdefghijklmnop", "abcdefghijklmnop!q", "z" * 50]),
+        7: (None, []),
+    }
+    got = {i: [] for i in texts}
+    for r in sf.candidates(docs(*[(i, t) for i, (t, _) in texts.items()])).collect():
+        text, start, end = texts[r["doc_id"]][0], r["start"], r["start"] + len(r["secret"])
+        assert (text[start:end], r["left"], r["right"]) == (r["secret"], text[max(0, start - 40) : start], text[end : end + 40])
+        got[r["doc_id"]].append(r["secret"])
+    assert {i: sorted(s) for i, s in got.items()} == {i: s for i, (_, s) in texts.items()}
+
+
+def test_short_passwords_are_found_and_plain_values_are_not(docs):
+    rng = random.Random(7)
+    letters, rows = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", rows_of()
+    secrets = {i: "".join(rng.choice(letters) for _ in range(5)) + rng.choice("!#%") + str(rng.randrange(10, 99)) + rng.choice(letters) for i in range(1000, 1060)}
+    rows += [(i, f'the password = "{s}" of alpha') for i, s in secrets.items()]
+    rows += [(i, f'the {rng.choice(["password", "tokens"])}: {rng.choice(["string", "required", "optional", "512", "300"])} of alpha') for i in range(2000, 2060)]
+    rows += [(3000, 'password = "hunter2!Xy"'), (3001, "DB_PASSWORD=s3cr3tPa55")]
+    found = {(r["doc_id"], r["secret"]) for r in sf.scan(docs(*rows)).collect() if r["doc_id"] >= 1000}
+    assert found == {*secrets.items(), (3000, "hunter2!Xy"), (3001, "s3cr3tPa55")}
