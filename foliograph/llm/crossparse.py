@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from foliograph.llm.common import bucket, chunks
 
 TRAIN_BYTES = 30_000  # text a language is learned from, at most
-ALL_BYTES = 120_000  # the same over all languages, which share it evenly
+TABLE_BYTES = 120_000  # the same over the languages of one table of automata; more languages take more tables
 TRAIN_DOCS = 60  # documents of a language that are read for it, at most
 LONG_DOC = 6_000  # characters; longer documents are read for training only if others do not suffice
 PIECE = 512  # bytes parsed from the root on; a longer text is parsed in pieces
@@ -111,22 +111,23 @@ def phrases(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return counts
 
 
-def identify(model: dict, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
+def identify(models: list[dict], texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
     """(language, score) of each lower-cased text. Phrases are normalised to bits a byte: phrases times the bits of
     a place in the training text, over the length. The lowest wins, the first by name if equal."""
-    names, scores = [], []
+    names, scores, langs = [], [], [lang for model in models for lang in model["langs"]]
     for _, data, offsets in chunks(texts):
         letters, bounds = plain(data, offsets)
-        cost = phrases(model, letters, bounds) * model["bits"][:, None] / np.maximum(1, np.diff(bounds))
+        cost = np.concatenate([phrases(m, letters, bounds) * m["bits"][:, None] for m in models]) / np.maximum(1, np.diff(bounds))
         best = cost.min(0)
-        names += [model["langs"][i] for i in cost.argmin(0)]
+        names += [langs[i] for i in cost.argmin(0)]
         scores.append(1 / ((np.maximum(best, 1e-9) / np.maximum(cost, 1e-9)) ** 8).sum(0))
     return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def train(docs: DataFrame, each: int = TRAIN_BYTES, together: int = ALL_BYTES, n_docs: int = TRAIN_DOCS) -> dict:
+def train(docs: DataFrame, each: int = TRAIN_BYTES, together: int = TABLE_BYTES, n_docs: int = TRAIN_DOCS) -> list[dict]:
     """Automata of ``docs`` (doc_id, text, lang) outside the held-out fold: per language the documents of the smallest
-    digest, long ones last, up to a number of documents and of bytes. Languages are few and named by the labels."""
+    digest, long ones last, up to a number of documents and of bytes, however many languages there are. They are named by the labels; in the order of
+    their names they fill tables of ``together`` bytes of text."""
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (bucket(3) != 1))
     sized = taught.select("lang", F.xxhash64("doc_id", "text").alias("_key"), (F.length("text") > LONG_DOC).alias("_long"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_key"))
@@ -134,16 +135,17 @@ def train(docs: DataFrame, each: int = TRAIN_BYTES, together: int = ALL_BYTES, n
     keyed = docs.where(bucket(3) != 1).withColumn("_key", F.xxhash64("doc_id", "text"))
     texts = keyed.join(F.broadcast(chosen), ["lang", "_key"]).select("lang", "_long", "_key", F.lower("text").cast("binary").alias("t"))
     rows = texts.groupBy("lang", "_long", "_key").agg(F.first("t").alias("t")).toArrow().to_pylist()
-    langs = {r["lang"] for r in rows}
-    limit = min(each, together // max(1, len(langs)))
     found: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["_long"], r["_key"])):
         found.setdefault(row["lang"], []).append(row["t"])
-    learned = {}
+    groups: list[dict[str, np.ndarray]] = []
     for lang, parts in found.items():
         letters, _ = plain(np.frombuffer(b"\n".join(parts), np.uint8), np.array([0, sum(map(len, parts)) + len(parts) - 1]))
-        learned[lang] = letters[:limit]
-    return build(learned)
+        letters = letters[:each]
+        if not groups or sum(map(len, groups[-1].values())) + len(letters) > together:
+            groups.append({})
+        groups[-1][lang] = letters
+    return [build(learned) for learned in groups]
 
 
 def predict_language(docs: DataFrame, **options) -> DataFrame:
@@ -153,8 +155,8 @@ def predict_language(docs: DataFrame, **options) -> DataFrame:
     language was learned. Rows without lang teach nothing; repeated rows are judged one by one. An empty table stays
     empty. Other columns are ignored.
     """
-    model = train(docs.select("doc_id", "text", "lang"), **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    models = train(docs.select("doc_id", "text", "lang"), **options)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
     schema = StructType([*docs.select("doc_id").schema.fields, StructField("has", LongType()), StructField("lang", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +166,7 @@ def predict_language(docs: DataFrame, **options) -> DataFrame:
 
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     asked = docs.select("doc_id", has.cast("bigint").alias("has"), F.lower("text").cast("binary").alias("_text"))
-    judged = asked.mapInArrow(run, schema) if model["langs"] else asked.select("doc_id", F.lit(0).alias("has"), F.lit("").alias("lang"), F.lit(0.0).alias("score"))
+    judged = asked.mapInArrow(run, schema) if models else asked.select("doc_id", F.lit(0).alias("has"), F.lit("").alias("lang"), F.lit(0.0).alias("score"))
     known = F.col("has") == 1
     return judged.select(
         "doc_id",

@@ -53,3 +53,14 @@ def test_edges(docs):
     assert all(0 <= r["score"] <= 1 for r in found) and len(found) == len(rows)
     assert crossparse.predict_language(docs()).count() == 0
     assert [r["lang_pred"] for r in crossparse.predict_language(docs((1, "words", None, None))).collect()] == ["und"]
+
+
+def test_other_labels_leave_an_automaton_as_it_is(docs):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join("".join(rng.choice(list("abcde" if i % 2 else "defgh"), 6)) for _ in range(300)), None, "xa" if i % 2 else "yb") for i in range(40)]
+    rare = [(100 + i, f"odd label {i}", None, f"zz{i}") for i in range(40)]
+    few, many = crossparse.train(docs(*rows), each=2000, together=4000), crossparse.train(docs(*rows, *rare), each=2000, together=4000)
+    bits = [{lang: b for m in models for lang, b in zip(m["langs"], m["bits"])} for models in (few, many)]
+    assert len(few) == 1 and len(many) > 1 and bits[0].items() <= bits[1].items()
+    one, several = ({r["doc_id"]: r for r in crossparse.predict_language(docs(*rows, *rare), each=2000, together=t).collect()} for t in (10**6, 2000))
+    assert one == several
