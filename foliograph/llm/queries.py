@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliograph.llm import attention, crossparse, decision_list, decontaminate, line_dedup, mixing, ppm, secret_forest, simhash, url_rules
+from foliograph.llm import attention, crossparse, decision_list, decontaminate, line_dedup, mixing, ppm, prefix_trie, secret_forest, simhash, url_rules
 from foliograph.llm.common import table
-from foliograph.session import prepare
+from foliograph.session import prepare, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,3 +93,9 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secret_forest")
 def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op12_prefix_trie", prefix_trie.SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(*prefix_trie.share_heads(settle(turns)))
