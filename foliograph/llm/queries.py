@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliograph.llm import attention, crossparse, decision_list, decontaminate, line_dedup, mixing, ppm, prefix_trie, secret_forest, simhash, url_rules
+from foliograph.llm import attention, crossparse, decision_list, decontaminate, line_dedup, mixing, ppm, prefix_trie, secret_forest, simhash, url_rules, whitening
 from foliograph.llm.common import table
 from foliograph.session import prepare, settle
 
@@ -99,3 +99,8 @@ def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     return prefix_trie.trie(*prefix_trie.share_heads(settle(turns)))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
