@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliograph.llm import attention, crossparse, decision_list, decontaminate, line_dedup, mixing, ppm, prefix_trie, secret_forest, simhash, url_rules, whitening
+from foliograph.llm import attention, crossparse, decision_list, decontaminate, line_dedup, mixing, ppm, prefix_trie, secret_forest, simhash, toxicity, url_rules, whitening
 from foliograph.llm.common import table
 from foliograph.session import prepare, settle
 
@@ -104,3 +104,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
