@@ -338,14 +338,17 @@ def detect(spark, sf_dir):
 
 @query(
     "h5_blocked_pairs",
-    f"""WITH {d.MANIFEST_SQL}
+    f"""WITH RECURSIVE {d.MANIFEST_SQL}, {d.EDGES_SQL}, usable AS (SELECT * FROM edges WHERE cond = 'always'),
+    {d.routes_sql("usable", 22)},
+    wanted AS (SELECT fmt, target_fmt FROM manifest UNION ALL SELECT fmt, 'toml' FROM manifest)
     SELECT fmt, target_fmt, count(*) AS items, fmt = 'csv' AND target_fmt = 'toml' AS blocked,
-      CASE WHEN fmt = 'csv' AND target_fmt = 'toml' THEN 'csv>json>toml' END AS excluded_route
-    FROM manifest GROUP BY ALL""",
+      CASE WHEN fmt = 'csv' AND target_fmt = 'toml' THEN any_value(array_to_string(route, '>')) END AS excluded_route
+    FROM wanted LEFT JOIN routes ON fmt = src_fmt AND target_fmt = dst_fmt GROUP BY fmt, target_fmt""",
 )
 def blocked_pairs(spark, sf_dir):
-    """Requests per pair of formats, and the route the exclusion list takes from them."""
-    items = d.manifest(spark, sf_dir).groupBy("ext", "target").agg(F.count(F.lit(1)).alias("n"))
+    """Requests per pair of formats, and the route the exclusion list takes from them. Each file is asked for in its target and in TOML."""
+    asked = F.explode(F.array("target", F.lit("toml"))).alias("target")
+    items = d.manifest(spark, sf_dir).select("ext", asked).groupBy("ext", "target").agg(F.count(F.lit(1)).alias("n"))
     asked = (
         items.select(paths.normalize_ext(F.col("ext")).alias("src_fmt"), paths.normalize_ext(F.col("target")).alias("dst_fmt"), "n")
         .groupBy("src_fmt", "dst_fmt")

@@ -166,3 +166,9 @@ def test_format_params(spark):
     got = {r.ext: (r.reader, r.writer) for r in routing.format_params(plan, catalog.format_params(spark), F.col("ext"), ["reader", "writer"]).collect()}
     assert got["txt"] == ("markdown", "plain") and got["png"] == (None, None)
     assert all(got[e][0] == got[e][1] for e in ["md", "tex", "latex", "typst", "epub", "pdf"])
+
+
+def test_the_excluded_route_is_known_with_its_tie(spark):
+    every = {(r.src_fmt, r.dst_fmt): r.route for r in routing.catalog_all_routes(spark).collect()}
+    assert every["csv", "toml"] == ["csv", "yaml", "toml"]
+    assert set(every) - set(routes_of(spark, (catalog.ALWAYS,))) == {("csv", "toml")}
