@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from foliograph.session import settle
+from foliograph.session import scratch_path, settle
 
 SHORTEST = 16
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"
@@ -20,14 +20,17 @@ NAMES = rf"(?i)({NAMED})s?$"
 ASSIGNMENT = rf"(?i:{NAMED})[sS]?[\"']?[ \t]*+[:=]{{1,2}}+[ \t]*+[\"']?+"
 VALUE = r"(?<=\")[^\s\"]+|(?<=')[^\s']+|(?<![\"'])[^\s\"'](?:\S*[^\s,;])?"
 ASSIGNED = rf"({ASSIGNMENT})(?=({VALUE})([\s\S]{{0,{NEAR}}}))"
-DICTIONARY = 300  # most frequent words of three letters or more that cover ordinary text
+PLACEHOLDER = "^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"
+SHARE = 1 / 2000  # words of three to eight letters that are so much of all of them are ordinary text, so 2,000 words at most
+SEEDS = 200  # examples of each made-up form
 SAMPLE = 20_000  # labelled findings of each kind a forest is trained on, at most
 TREES, DEPTH = 20, 6
 ACCEPT = 0.5
 
-FEATURES = [
-    "length", "transitions", "common_pairs", "distinct", "digits", "capitals", "signs", "coverage", "vowels", "in_path", "assigned", "quoted", "named", "plain_left", "plain_right",
-]
+CHARACTERS = ["length", "transitions", "common_pairs", "distinct", "digits", "capitals", "signs", "coverage", "vowels", "in_path"]
+WORDS = ["words_left", "words_right"]
+CONTEXT = ["assigned", "quoted", "named", "plain_left", "plain_right"]  # what labels without findings are made of
+FEATURES = [*CHARACTERS, *WORDS, *CONTEXT]
 
 
 def _near(gaps: str, hits: str, i: Column, n: int) -> tuple[Column, Column]:
@@ -86,11 +89,12 @@ def _cut(hits: DataFrame, pattern: str, secret: Column) -> DataFrame:
     return placed.select("*", F.posexplode_outer(secret).alias("i", "secret")).where("secret is not null")
 
 
-def frequent_words(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
-    """The ``n`` most frequent words of three to eight letters a-z, ties by code point."""
+def frequent_words(docs: DataFrame, share: float = SHARE) -> list[str]:
+    """The words of three to eight letters a-z that make up at least ``share`` of all such words, so 1 / ``share`` words at most."""
     every = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{3,8}\b"), F.lit(0))).alias("w"))
-    top = every.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(n)
-    return [r["w"] for r in top.collect()]
+    counts = settle(every.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return sorted(r["w"] for r in counts.where(F.col("n") >= share * total).select("w").collect())
 
 
 def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
@@ -105,6 +109,12 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     known = F.regexp_replace(F.lower("secret"), "|".join(ordered), "") if ordered else F.lower("secret")
     pairs = sorted({w[i : i + 2] for w in dictionary for i in range(len(w) - 1)})  # 676 at most
     common = F.regexp_count(F.lower("secret"), F.lit(f"(?=(?:{'|'.join(pairs)}))")) if pairs else F.lit(0)
+    covered = "|".join(ordered) or "(?!)"
+
+    def plain(side: str) -> Column:
+        letters = F.lower(F.regexp_replace(side, r"\s", ""))
+        return (F.length(letters) - F.length(F.regexp_replace(letters, covered, ""))) / F.greatest(F.length(letters), F.lit(1))
+
     before = F.regexp_extract("left", r"([A-Za-z0-9_-]+)[\"']?\s*[:=]*\s*[\"']?$", 1)
     columns = {
         "length": F.length("secret").cast("double"),
@@ -117,6 +127,8 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
         "coverage": (size - F.length(known)) / size,
         "vowels": share("[aeiouAEIOU]"),
         "in_path": (F.col("secret").contains("/") | F.col("left").rlike(r"[/.\\]$") | F.col("right").rlike(r"^[/.][A-Za-z]")).cast("double"),
+        "words_left": plain("left"),
+        "words_right": plain("right"),
         "assigned": F.col("left").rlike(r"[:=]\s*[\"']?$").cast("double"),
         "quoted": F.col("left").rlike(r"[\"']$").cast("double"),
         "named": before.rlike(NAMES).cast("double"),
@@ -126,46 +138,72 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     return found.withColumns({name: F.coalesce(value, F.lit(0.0)) for name, value in columns.items()})
 
 
-def label_by_form(found: DataFrame) -> DataFrame:
-    """``label`` of what can be told without a model: 1 for known forms and for values assigned to a telling name that are long
-    or mix letters and digits, 0 for runs of letters in one case, numbers and paths; NULL for all else."""
-    mixed = (F.col("length") >= SHORTEST) | F.col("secret").rlike("[A-Za-z]")
-    sure = F.col("secret").rlike(KNOWN) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1) & mixed)
-    plain = F.col("secret").rlike(r"^[0-9+/_-]+$") | F.col("secret").rlike(r"^[A-Z]?[a-z_-]+$") | F.col("secret").rlike(r"^[A-Z_-]+$") | F.col("secret").rlike(r"^(/?[A-Za-z_-]+)+/?$")
-    return found.withColumn("label", F.when(sure, 1.0).when(plain, 0.0))
+def label_by_context(found: DataFrame) -> DataFrame:
+    """``label`` of what its surroundings tell: 1 for what is assigned to a telling name, 0 for what stands between blanks and after
+    no name; NULL for all else, and for a word or number after such a name, which may be a placeholder. The forms that services
+    give their keys are 1 wherever they stand."""
+    told = (F.col("named") == 1) & (F.col("assigned") == 1) & ~F.col("secret").rlike(PLACEHOLDER)
+    prose = (F.col("named") == 0) & (F.col("assigned") == 0) & (F.col("plain_left") == 1) & (F.col("plain_right") == 1)
+    return found.withColumn("label", F.when(F.col("secret").rlike(KNOWN) | told, 1.0).when(prose, 0.0))
+
+
+def seeds(spark: SparkSession, dictionary: list[str]) -> DataFrame:
+    """Made-up findings of both labels, so that no corpus lacks one: digests, random letters and short passwords against numbers,
+    ordinary words, words joined to names, and paths. They have no surroundings."""
+    digest = F.sha2(F.concat(F.lit("seed "), F.col("id").cast("string")).cast("binary"), 512)
+    signs = F.translate(F.base64(F.unhex(digest)), "+/=", "Zq7")
+    size, kind = (F.col("id") % 25).cast("int"), (F.col("id") % 4).cast("int")
+    listed = F.lit([w for w in dictionary] or ["example", "value", "name"])
+
+    def word(at: int) -> Column:
+        return F.element_at(listed, (F.pmod(F.xxhash64(F.col("id"), F.lit(at)), F.size(listed)) + 1).cast("int"))
+
+    def joined(sign: Column | str) -> Column:
+        return F.concat_ws(sign, *[word(i) for i in range(4)])
+
+    sign = F.element_at(F.lit(["!", "#", "%", "."]), kind + 1)
+    secret = [F.left(digest, 16 + 8 * kind), F.left(signs, 16 + size), F.concat(F.left(signs, 4 + kind), sign, F.right(signs, F.lit(3)), F.right(F.translate(digest, "abcdef", ""), F.lit(2)))]
+    plain = [F.left(F.translate(digest, "abcdef", ""), 3 + size), word(0), joined(""), joined("_"), F.concat(F.lit("/"), joined("/"))]
+    forms = [F.struct(v.alias("secret"), F.lit(label).alias("label")) for values, label in ((secret, 1.0), (plain, 0.0)) for v in values]
+    return spark.range(SEEDS).select(F.explode(F.array(*forms)).alias("s")).select("s.*", F.lit("").alias("left"), F.lit("").alias("right"))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
+def train(labelled: DataFrame, features: list[str], sample: int = SAMPLE) -> RandomForestClassificationModel:
     """A forest on ``labelled`` findings (features and label 0 or 1): of each kind those of the smallest digest, up to ``sample``.
 
-    None if one of the kinds is missing: then nothing can be told apart.
+    The forest is saved to the shared folder and read again: a fitted one holds its session, which cannot be sent to executors.
     """
-    told = labelled.where("label is not null").select(*FEATURES, "label", F.xxhash64("secret", "left", "right").alias("_h"))
-    kinds = [told.where(F.col("label") == k).orderBy("_h", *FEATURES).limit(sample) for k in (0.0, 1.0)]
+    told = labelled.where("label is not null").select(*features, "label", F.xxhash64("secret", "left", "right").alias("_h"))
+    kinds = [told.where(F.col("label") == k).orderBy("_h", *features).limit(sample) for k in (0.0, 1.0)]
     rows = settle(kinds[0].unionByName(kinds[1]))
-    if rows.select("label").distinct().count() < 2:
-        return None
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, featureSubsetStrategy="sqrt")
-    return forest.fit(vectors.select("features", "label"))
+    saved = scratch_path(labelled.sparkSession, "forest")
+    forest.fit(vectors.select("features", "label")).save(saved)
+    return RandomForestClassificationModel.load(saved)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, accept: float = ACCEPT) -> DataFrame:
     """(doc_id, start, secret, score) of the secrets in ``docs`` (doc_id, text): every candidate the forest does not reject.
 
-    ``labelled`` findings (the columns of ``candidates`` and label) train the forest; without them the findings that
-    their form decides do. Whole texts are searched. NULL and empty texts have no candidate; repeated rows give
-    repeated findings; ids are carried as they are. If the labels are of one kind only, nothing is removed and the score
-    is NULL. Other columns are ignored, and an empty table gives an empty table.
+    ``labelled`` findings (the columns of ``candidates`` and label) train the forest by all features. Without them the findings are labelled
+    by what stands before and after, made-up ones are added, and the forest sees what no label was made of: the characters and how ordinary
+    the words nearby are. Made-up findings also stand for a label that ``labelled`` lacks. Whole texts are searched. NULL and empty texts
+    have no candidate; repeated rows give repeated findings; ids are carried as they are. Other columns are ignored, and an empty table
+    gives an empty table.
     """
     docs = docs.select("doc_id", "text")
     dictionary = frequent_words(docs)
     found = settle(with_features(candidates(docs), dictionary))
-    taught = label_by_form(found) if labelled is None else with_features(labelled, dictionary)
-    model = train(taught)
-    kept = ["doc_id", "start", "secret"]
-    if model is None:
-        return found.select(*kept, F.lit(None).cast("double").alias("score"))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
-    judged = model.transform(vectors).withColumn("score", vector_to_array("probability")[1])
-    return judged.where(F.col("score") >= accept).select(*kept, F.round("score", 6).alias("score"))
+    made = with_features(seeds(docs.sparkSession, dictionary), dictionary)
+    if labelled is None:
+        features = [*CHARACTERS, *WORDS]
+        taught = label_by_context(found).select(*made.columns).unionByName(made)
+    else:
+        features, given = FEATURES, with_features(labelled, dictionary).select(*made.columns)
+        present = [r["label"] for r in given.select("label").distinct().collect()]
+        taught = given.unionByName(made.where(~F.col("label").isin(present) if present else F.lit(True)))
+    model = train(taught, features)
+    judged = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(found))
+    scored = judged.withColumn("score", vector_to_array("probability")[1])
+    return scored.where(F.col("score") >= accept).select("doc_id", "start", "secret", F.round("score", 6).alias("score"))
