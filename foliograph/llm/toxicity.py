@@ -106,7 +106,7 @@ def log_count_ratios(sample: DataFrame) -> DataFrame:
                     counts[k] += np.bincount(gram[label[owner] == k], minlength=1 << BITS)
         used = np.flatnonzero(counts.any(0))
         for some in np.array_split(used, max(1, len(used) >> 14)):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["gram", "no", "yes"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some], pa.int64()), pa.array(counts[1, some], pa.int64())], names=["gram", "no", "yes"])
 
     kinds = sample.agg(*[F.count_if(F.col("label") == k) for k in (0, 1)]).first()
     counted = sample.mapInArrow(run, "gram long, no long, yes long").groupBy("gram").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
