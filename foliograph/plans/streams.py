@@ -23,18 +23,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     f"WITH {PROGRESS_SQL} SELECT job_id, max(percent) AS percent, count(*) AS reports FROM progress GROUP BY job_id",
 )
 def progress_stream(spark, sf_dir):
-    lines = d.log_lines_of(table_stream(spark, sf_dir, "events"), "ts").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = monitors.progress_stream(lines, d.durations(spark, sf_dir), "ts", "7 days")
-    folder = monitors.drain(stream, "update", "progress")
+    lines = d.log_lines_of(table_stream(spark, sf_dir, "events"))
+    stream = monitors.progress_stream(lines, d.durations(spark, sf_dir))
+    folder = monitors.drain(stream, "update", "progress", monitors.merge_progress)
     return monitors.latest_progress(spark, folder).withColumn("percent", F.round("percent", 6))
 
 
 @query("k2_token_stream", f"SELECT request_id, md5(text) AS text_md5, done, tokens FROM ({TOKENS_SQL})")
 def token_stream(spark, sf_dir):
     lines = d.token_lines_of(table_stream(spark, sf_dir, "conversations"))
-    # turns arrive an hour apart and against their order, so that windows cut every block
-    arriving = lines.withColumn("at", F.timestamp_seconds(1_000_000 - 3_600 * F.col("seq")))
-    folder = monitors.drain(monitors.token_stream(arriving, "at"), "update", "tokens")
+    folder = monitors.drain(monitors.token_stream(lines), "update", "tokens")
     return monitors.latest_tokens(spark, folder).select("request_id", F.md5("text").alias("text_md5"), "done", "tokens")
 
 
@@ -47,7 +45,7 @@ def token_stream(spark, sf_dir):
 def tail_stream(spark, sf_dir):
     lines = shown_lines(d.log_lines_of(table_stream(spark, sf_dir, "events")))
     folder = monitors.tail_stream(lines, catalog.ERROR_TAIL_LINES, ["job_id"], ["seq"])
-    return monitors.latest_tail(spark, folder)
+    return monitors.latest_tail(spark, folder, lines.schema)
 
 
 @query("k4_manifest_stream", "SELECT DISTINCT concat('/in/', l_orderkey, '/', l_linenumber) AS path FROM lineitem")
@@ -55,5 +53,5 @@ def manifest_stream(spark, sf_dir):
     files = table_stream(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("/in/"), "l_orderkey", F.lit("/"), "l_linenumber").alias("path")
     )
-    folder = monitors.drain(monitors.manifest_stream(files), "append", "manifest")
+    folder = monitors.drain(monitors.manifest_stream(files), "append", "manifest", monitors.merge_files)
     return monitors.latest_files(spark, folder)

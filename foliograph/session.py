@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # JSON objects with a repeated key keep the last value, map building likewise.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # state of streams on disk, with lists and timers
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -1,169 +1,280 @@
 """Streams of log lines, tokens and arriving files.
 
-State that matters is kept small per key and its updates are written per epoch to a
-folder all executors reach. Writing an epoch replaces what an interrupted run of the same
-epoch left there, so a restarted query neither loses nor repeats rows.
+No row is ever too late: what evicts state is the clock of the stream itself, the time a row was taken in, and that only moves
+forward. State that was evicted too soon costs a second part of the same key, which the readers (``latest_...``) put together, so
+that a stream ends where its batch twin ends whatever the order of files and batches. Results go to an ``EpochStore``, whose
+parts stay few; buffers that are state by nature are read from the state store.
 """
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from foliograph.functions.timecodes import out_time_us, ratio_percent
-from foliograph.operators.ranks import last_rows, seq_block
-from foliograph.operators.timeline import TOKEN_BLOCK, join_blocks, token_rows
+from foliograph.operators.timeline import token_rows
 from foliograph.session import scratch_path
+from foliograph.streaming.store import EpochStore
 
+Merge = Callable[[DataFrame], DataFrame]
+CLOCK = "1 second"  # how far timers lag behind the clock
 
-def epoch_writer(folder: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+SCHEMAS = {
+    "progress": "job_id string, seen timestamp, percent double, reports long",
+    "tokens": "request_id string, pairs array<struct<seq: bigint, token: string>>, done boolean, tokens long",
+    "files": "path string",
+}
 
-    return write
 
+def start(stream: DataFrame, folder: str, mode: str, merge: Merge | None = None, once: bool = True) -> StreamingQuery:
+    """Run ``stream`` into the store at ``folder``; with ``once`` it ends when all present input is read."""
+    store = EpochStore(stream.sparkSession, folder, merge)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").foreachBatch(store.write)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
 
-def start(
-    stream: DataFrame, folder: str, mode: str, once: bool = True, write: Callable[[DataFrame, int], None] | None = None
-) -> StreamingQuery:
-    """Run ``stream`` into ``folder``; with ``once`` it ends when all present input is read.
 
-    An empty epoch -1 makes the folder readable before the first batch.
-    """
-    spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/epoch=-1")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}-progress")
-    writer = writer.foreachBatch(write or epoch_writer(folder))
-    return writer.trigger(availableNow=True).start() if once else writer.start()
+def drain(stream: DataFrame, mode: str, label: str, merge: Merge | None = None) -> str:
+    """Run to the end of the present input and return the folder of the store."""
+    folder = scratch_path(stream.sparkSession, label)
+    start(stream, folder, mode, merge).awaitTermination()
+    return folder
 
 
-def late_rows(run: StreamingQuery) -> int:
-    """How many rows a watermark has turned away in the batches ``run`` still reports on."""
-    states = [state for batch in run.recentProgress for state in batch["stateOperators"]]
-    return sum(state["numRowsDroppedByWatermark"] for state in states)
+def clocked(stream: DataFrame, delay: str) -> DataFrame:
+    """Add ``_seen``, the time a row was taken in, as the watermark."""
+    return stream.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", delay)
 
 
-def drain(stream: DataFrame, mode: str, label: str) -> str:
-    """Run to the end of the present input and return the folder with the epochs.
+def state_rows(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """The rows of list state ``name`` after the last batch, with their key; None before the first one."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place = fs.Path(f"{folder}/progress/commits")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place) or not any(f.getPath().getName().isdigit() for f in files.listStatus(place)):
+        return None
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/progress").select("key.*", "list_element.*")
 
-    Rows that came too late for the watermark are warned about with their number, not lost in silence.
-    """
-    folder = scratch_path(stream.sparkSession, label)
-    run = start(stream, folder, mode)
-    run.awaitTermination()
-    late = late_rows(run)
-    if late:
-        warnings.warn(f"{label}: {late} rows came after the watermark and were dropped", stacklevel=2)
-    return folder
+
+# --- progress ---------------------------------------------------------------------------
 
 
-def progress_stream(
-    lines: DataFrame, durations: DataFrame, arrival: str | None = None, delay: str = "1 hour"
-) -> DataFrame:
-    """Highest percent per job (update mode), with ``arrival`` per job and window of arrival.
+def progress_stream(lines: DataFrame, durations: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Highest percent per job and window of ``delay`` (update mode); a window that has passed is evicted.
 
     The percent grows with the reported time, so the largest time per job is kept as state
-    and the durations are joined after that: a busy job costs one row per map task. The watermark
-    evicts the windows that have passed, so a stream may run for as long as it likes.
+    and the durations are joined after that: a busy job costs one row per map task.
     """
-    keys = ["job_id"]
-    if arrival:
-        lines = lines.withWatermark(arrival, delay)
-        keys.append(F.window(arrival, delay).alias("arrived"))
     micros = lines.withColumn("us", out_time_us(F.col("line"))).filter(F.col("us").isNotNull())
-    reached = micros.groupBy(*keys).agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("reports"))
+    window = F.window("_seen", delay)
+    reached = clocked(micros, delay).groupBy("job_id", window.alias("window")).agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("reports"))
     known = durations.filter(F.col("duration") > 0)
     percent = ratio_percent(F.col("us") / 1000000.0, F.col("duration"))
-    told = ["job_id", *(["arrived"] if arrival else [])]
-    return reached.join(known, "job_id").select(*told, percent.alias("percent"), "reports")
+    return reached.join(known, "job_id").select("job_id", F.col("window.start").alias("seen"), percent.alias("percent"), "reports")
+
+
+def merge_progress(updates: DataFrame) -> DataFrame:
+    """Progress and reports only move up, so the largest update of a job and window is its latest one."""
+    return updates.groupBy("job_id", "seen").agg(F.max("percent").alias("percent"), F.max("reports").alias("reports"))
 
 
 def latest_progress(spark: SparkSession, folder: str) -> DataFrame:
-    """Progress only moves up, so the largest update of a job (and window) is the latest one."""
-    updates = spark.read.parquet(folder)
-    keys = [c for c in ("job_id", "arrived") if c in updates.columns]
-    newest = updates.groupBy(*keys).agg(F.max("percent").alias("percent"), F.max("reports").alias("reports"))
+    """Where each job stands: highest percent and number of reports."""
+    newest = EpochStore(spark, folder, merge_progress).read(StructType.fromDDL(SCHEMAS["progress"]))
     return newest.groupBy("job_id").agg(F.max("percent").alias("percent"), F.sum("reports").alias("reports"))
 
 
-def token_stream(lines: DataFrame, arrival: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Tokens per block of each request (update mode). State is one block's tokens; with an
-    ``arrival`` column the watermark evicts blocks that stopped growing. A block whose lines
-    arrive in several windows comes out in several parts, which ``latest_tokens`` sorts as one."""
-    if arrival:
-        lines = lines.withWatermark(arrival, delay)
-    tokens = token_rows(lines)
-    keys = ["request_id", seq_block(F.col("seq"), TOKEN_BLOCK).alias("block")]
-    if arrival:
-        keys.append(F.window(arrival, delay).alias("arrived"))
-    return tokens.groupBy(*keys).agg(
-        F.collect_list(F.when(F.col("token").isNotNull(), F.struct("seq", "token"))).alias("pairs"),
-        F.max("is_done").alias("done"),
-        F.count("token").alias("tokens"),
-    )
+# --- tokens -----------------------------------------------------------------------------
+
+
+def _set_timer(handle: StatefulProcessorHandle, wait: int | None) -> None:
+    """The key's only timer, ``wait`` milliseconds from now; none without. The watermark it waits for follows the clock."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    if wait is not None:
+        handle.registerTimer(int(time.time() * 1000) + wait)
+
+
+class _OpenReplies(StatefulProcessor):
+    """Tokens of each request until it is done; then they are told as one part and forgotten.
+
+    A request that does not close within ``seconds`` is told as a part that is not done. Tokens that come after the end of their
+    request open it again and end up in such a part.
+    """
+
+    def __init__(self, seconds: float):
+        self.wait = max(1, int(seconds * 1000))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pairs = handle.getListState("pairs", "seq long, token string")
+
+    def _part(self, key, pairs: list, done: bool) -> pd.DataFrame:
+        self.pairs.clear()
+        told = [{"seq": s, "token": t} for s, t in pairs if t is not None]
+        return pd.DataFrame({"request_id": [key[0]], "pairs": [told], "done": [done], "tokens": [len(told)]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done, known = False, self.pairs.exists()
+        for batch in rows:
+            seqs = [None if pd.isna(s) else int(s) for s in batch["seq"]]
+            texts = [None if pd.isna(t) else str(t) for t in batch["token"]]
+            self.pairs.appendList(list(zip(seqs, texts)))
+            done |= bool(batch["is_done"].any())
+        if done:
+            yield self._part(key, list(self.pairs.get()), True)
+            if known:
+                _set_timer(self.handle, None)
+        elif not known:
+            _set_timer(self.handle, self.wait)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.pairs.exists():
+            yield self._part(key, list(self.pairs.get()), False)
+
+    def close(self) -> None:
+        pass
+
+
+def token_stream(lines: DataFrame, wait: float = 3600.0) -> DataFrame:
+    """Replies of NDJSON lines (request_id, seq, line), each as one part when its ``done`` arrives.
+
+    State is the tokens of requests that are open; after ``wait`` seconds an open request is told as it is.
+    """
+    tokens = clocked(token_rows(lines).select("request_id", "seq", "token", "is_done"), CLOCK)
+    kind = StructType([f for f in tokens.schema.fields if f.name == "request_id"])
+    for field in StructType.fromDDL(SCHEMAS["tokens"]).fields[1:]:
+        kind = kind.add(field)
+    return tokens.groupBy("request_id").transformWithStateInPandas(_OpenReplies(wait), kind, "Update", "EventTime")
+
+
+def open_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """(request_id, seq, token) of requests that are still open, out of the state."""
+    rows = state_rows(spark, folder, "pairs")
+    return spark.createDataFrame([], "request_id string, seq long, token string") if rows is None else rows
+
+
+def late_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts that no ``done`` has closed: requests that never ended, and what came after an end."""
+    return EpochStore(spark, folder).read(StructType.fromDDL(SCHEMAS["tokens"])).filter(~F.col("done"))
 
 
 def latest_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Reply per request: the newest version of each block, joined in order."""
-    versions = spark.read.parquet(folder)
-    keys = [c for c in ("request_id", "block", "arrived") if c in versions.columns]
-    newest = versions.groupBy(*keys).agg(
-        F.max_by(F.struct("pairs", "done", "tokens"), "epoch").alias("b")
+    """Reply per request so far: closed parts, late ones and what is open, joined in order."""
+    told = EpochStore(spark, folder).read(StructType.fromDDL(SCHEMAS["tokens"]))
+    pending = open_tokens(spark, folder).select(
+        "request_id",
+        F.when(F.col("token").isNotNull(), F.array(F.struct("seq", "token"))).otherwise(F.array().cast(told.schema["pairs"].dataType)).alias("pairs"),
+        F.lit(False).alias("done"),
+        F.col("token").isNotNull().cast("bigint").alias("tokens"),
     )
-    blocks = newest.groupBy("request_id", "block").agg(
-        F.array_sort(F.flatten(F.collect_list("b.pairs"))).alias("pairs"),
-        F.max("b.done").alias("done"),
-        F.sum("b.tokens").alias("tokens"),
+    parts = told.unionByName(pending).groupBy("request_id").agg(
+        F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max("done").alias("done"), F.sum("tokens").alias("tokens")
     )
-    first = F.get("pairs", F.lit(0))["seq"]
-    part = F.array_join(F.col("pairs.token"), "")
-    return join_blocks(blocks.select("request_id", first.alias("first_seq"), part.alias("part"), "done", "tokens"))
+    return parts.select("request_id", F.array_join("pairs.token", "").alias("text"), "done", "tokens")
 
 
-def tail_writer(folder: str, n: int, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Keep the last n lines per job as a snapshot: each epoch merges the snapshot of the
-    epoch before with its own lines, so at most n lines per job are carried on."""
+# --- last lines -------------------------------------------------------------------------
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        previous = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/epoch={epoch - 1}")
-        kept = last_rows(previous.unionByName(batch), keys, order, n).drop("tail_pos")
-        kept.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
-    return write
+class _LastRows(StatefulProcessor):
+    """The last ``n`` rows of each key by their order, as a list that never grows beyond that."""
 
+    def __init__(self, n: int, keys: list[str], places: int, ttl: float | None):
+        self.n, self.keys, self.places = n, keys, [f"tail_o{i}" for i in range(places)]
+        self.wait = None if ttl is None else max(1, int(ttl * 1000))
 
-def tail_stream(lines: DataFrame, n: int, keys: list[str], order: list[str], label: str = "tail") -> str:
-    """Run a bounded last-n buffer over the present input; returns the snapshot folder."""
-    folder = scratch_path(lines.sparkSession, label)
-    start(lines, folder, "append", write=tail_writer(folder, n, keys, order)).awaitTermination()
-    return folder
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kind = ", ".join([*[f"{p} long" for p in self.places], "tail_row string"])
+        self.handle, self.tail = handle, handle.getListState("tail", kind)
+
+    def _order(self, row: tuple):
+        return [(v is not None, v or 0) for v in row[:-1]]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = list(self.tail.get())
+        for batch in rows:
+            columns = [[None if pd.isna(v) else int(v) for v in batch[p]] for p in self.places]
+            kept = sorted([*kept, *zip(*columns, batch["tail_row"])], key=self._order)[-self.n :]
+        self.tail.put(kept)
+        if self.wait is not None:
+            _set_timer(self.handle, self.wait)
+        told = pd.DataFrame({k: [v] for k, v in zip(self.keys, key)})
+        yield told.assign(kept=len(kept))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.tail.clear()
+        yield pd.DataFrame({k: [v] for k, v in zip(self.keys, key)}).assign(kept=0)
+
+    def close(self) -> None:
+        pass
+
+
+def _as_long(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    return F.col(name).cast("bigint")
 
 
-def latest_tail(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the newest snapshot."""
-    snapshots = spark.read.parquet(folder)
-    newest = snapshots.agg(F.max("epoch").alias("epoch")).first()[0]
-    return snapshots.filter(F.col("epoch") == F.lit(newest)).drop("epoch")
+def _thin(n: int, keys: list[str], places: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ordered = batch.sort_values(places, kind="stable", na_position="first")
+            yield ordered.groupby(keys, dropna=False, sort=False).tail(n)
 
+    return run
 
-def manifest_stream(files: DataFrame, arrival: str | None = None, delay: str = "1 day", spread: int = 32) -> DataFrame:
-    """Arriving files, each path once. Without ``arrival`` for good, with it within ``delay``,
-    which bounds the state.
+
+def tail_stream(lines: DataFrame, n: int, keys: list[str], order: list[str], label: str = "tail", ttl: float | None = None) -> str:
+    """Keep the last ``n`` rows per key as state, for the present input; returns the folder of the stream.
+
+    ``order`` columns are numbers or times. Each batch is thinned to n rows per key and task before it is shuffled, reads and writes the state of
+    its own keys alone, and tells how many rows each of them has. A key that stays silent for
+    ``ttl`` seconds is forgotten.
+    """
+    places = [f"tail_o{i}" for i in range(len(order))]
+    rows = lines.select(*keys, *[_as_long(lines, c).alias(p) for c, p in zip(order, places)], F.to_json(F.struct(*lines.columns)).alias("tail_row"))
+    thin = rows.mapInPandas(_thin(n, keys, places), rows.schema)
+    kind = StructType([rows.schema[k] for k in keys]).add("kept", "long")
+    timed, mode = (thin, "None") if ttl is None else (clocked(thin, CLOCK), "EventTime")
+    kept = timed.groupBy(*keys).transformWithStateInPandas(_LastRows(n, keys, len(places), ttl), kind, "Update", mode)
+    return drain(kept, "update", label)
+
+
+def latest_tail(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """The buffered rows of all keys, read from the state; ``schema`` is that of the lines."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = state_rows(spark, folder, "tail")
+    if rows is None:
+        return spark.createDataFrame([], kind)
+    return rows.select(F.from_json("tail_row", kind).alias("r")).select("r.*")
+
+
+# --- arriving files ---------------------------------------------------------------------
+
+
+def manifest_stream(files: DataFrame, delay: str = "1 day", spread: int = 32) -> DataFrame:
+    """Arriving files, each path once within ``delay``, which bounds the state; a later copy is told again and merged by ``latest_files``.
 
     Copies are first dropped per path and salt, so the copies of one path are not all
     sent to the same task.
     """
-    salted = files.withColumn("_salt", F.spark_partition_id() % spread)
-    if arrival is None:
-        return salted.dropDuplicates(["path", "_salt"]).dropDuplicates(["path"]).drop("_salt")
-    marked = salted.withWatermark(arrival, delay)
-    return (
-        marked.dropDuplicatesWithinWatermark(["path", "_salt"]).dropDuplicatesWithinWatermark(["path"]).drop("_salt")
-    )
+    salted = clocked(files.withColumn("_salt", F.spark_partition_id() % spread), delay)
+    return salted.dropDuplicatesWithinWatermark(["path", "_salt"]).dropDuplicatesWithinWatermark(["path"]).drop("_salt", "_seen")
+
+
+def merge_files(files: DataFrame) -> DataFrame:
+    """One row per path."""
+    rest = [c for c in files.columns if c != "path"]
+    if not rest:
+        return files.distinct()
+    return files.groupBy("path").agg(F.min(F.struct(*rest)).alias("r")).select("path", "r.*")
 
 
-def latest_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder).drop("epoch")
+def latest_files(spark: SparkSession, folder: str, schema: StructType | str = SCHEMAS["files"]) -> DataFrame:
+    return EpochStore(spark, folder, merge_files).read(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
