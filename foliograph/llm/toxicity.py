@@ -15,10 +15,10 @@ from foliograph.llm.common import bucket, scramble
 from foliograph.session import settle
 
 ORDERS = (3, 4, 5, 6)  # characters
-BITS = 20  # n-grams are told apart by a hash of so many bits
+BITS = 22  # n-grams are told apart by a hash of so many bits
 SAMPLE = 5_000  # labelled documents of each label a model is trained on, at most
 TELLING = 15.0  # chi-square of an n-gram and the label from which on it is a feature
-FEATURES = 1 << 13  # features, at most: those that tell most
+FEATURES = 1 << 13  # features, at most: those that tell most; their number is sent as 16 bits
 LEAST = 3  # documents a feature is in
 SMOOTH = 1.0
 PENALTY = 0.0003
@@ -30,11 +30,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 def _hashed(texts: list[str]) -> np.ndarray:
     """Number of the text and hash of the n-gram, in one number, for each n-gram of some texts."""
-    padded = [f" {t} " for t in texts]
-    letters = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = np.where((letters >= 9) & (letters <= 13), np.uint32(32), letters)
-    ends = np.cumsum([len(t) for t in padded])
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
+    sizes = [len(t) for t in texts]
+    ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(texts)), sizes)
     left = ends[owner] - np.arange(len(letters))  # characters up to the end of the text
     code, rolling, keys = letters.astype(np.uint64) + np.uint64(1), np.zeros(len(letters), np.uint64), []
     for n in range(1, max(ORDERS) + 1):
@@ -49,7 +48,7 @@ def _hashed(texts: list[str]) -> np.ndarray:
 def grams(texts: list[str | None], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text numbers, n-gram numbers) of whole texts, some texts at a time, a pair once. ``wanted`` marks the n-grams that count.
 
-    A long text is hashed in pieces that overlap, and only the numbers found so far are kept of it.
+    A text begins and ends with a blank. A long one is hashed in pieces that overlap, and only the numbers found so far are kept of it.
     """
 
     def pairs(some: list[str]) -> np.ndarray:
@@ -63,7 +62,7 @@ def grams(texts: list[str | None], wanted: np.ndarray | None = None) -> Iterator
         text, stop, size = texts[at] or "", at + 1, len(texts[at] or "")
         if size > PIECE:
             lap = max(ORDERS) - 1
-            text, found = text.lower(), np.zeros(0, np.int64)
+            text, found = f" {text.lower()} ", np.zeros(0, np.int64)
             for begin in range(0, len(text), PIECE):
                 inner = text[max(0, begin - lap) : begin + PIECE]
                 found = np.union1d(found, pairs([inner]))
@@ -72,7 +71,7 @@ def grams(texts: list[str | None], wanted: np.ndarray | None = None) -> Iterator
             while stop < len(texts) and size + len(texts[stop] or "") <= PIECE:
                 size += len(texts[stop] or "")
                 stop += 1
-            keys = pairs([(t or "").lower() for t in texts[at:stop]])
+            keys = pairs([f" {(t or '').lower()} " for t in texts[at:stop]])
             yield at + (keys >> BITS), keys & (1 << BITS) - 1
         at = stop
 
@@ -103,7 +102,8 @@ def log_count_ratios(sample: DataFrame) -> DataFrame:
             label = batch.column("label").to_numpy()
             for owner, gram in grams(batch.column("text").to_pylist()):
                 for k in (0, 1):
-                    counts[k] += np.bincount(gram[label[owner] == k], minlength=1 << BITS)
+                    some, times = np.unique(gram[label[owner] == k], return_counts=True)
+                    counts[k, some] += times.astype(np.int32)
         used = np.flatnonzero(counts.any(0))
         for some in np.array_split(used, max(1, len(used) >> 14)):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some], pa.int64()), pa.array(counts[1, some], pa.int64())], names=["gram", "no", "yes"])
@@ -122,25 +122,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
 
     Documents weigh as much as those of their label that they stand for. Where one label is missing all texts score as the other one; without labels 0.
     """
-    weights = np.zeros(1 << BITS)
+    weights = np.zeros(1 << BITS, np.float32)
     rows, stands = labelled(docs, labels, sample)
     if set(stands) != {0, 1}:
         return weights, 40.0 if stands.get(1) else -40.0
     ratios = sorted(log_count_ratios(rows).collect())
     vocabulary, scale = np.array([r["gram"] for r in ratios], np.int64), np.array([r["ratio"] for r in ratios])
-    place = np.full(1 << BITS, -1, np.int32)
+    place = np.full(1 << BITS, -1, np.int16)
     place[vocabulary] = np.arange(len(vocabulary))
     shared = docs.sparkSession.sparkContext.broadcast((place, scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, scale = shared.value
         for batch in batches:
-            own = [np.zeros(0, np.int32)] * batch.num_rows
+            own = [np.zeros(0, np.int16)] * batch.num_rows
             for owner, gram in grams(batch.column("text").to_pylist(), place >= 0):
                 texts, first = np.unique(owner, return_index=True)
                 for i, found in zip(texts, np.split(place[gram], first[1:])):
                     own[i] = np.sort(found)
-            columns = [batch.column("label"), pa.array(own, pa.list_(pa.int32())), pa.array([scale[o] for o in own], pa.list_(pa.float64()))]
+            columns = [batch.column("label"), pa.array([o.astype(np.int32) for o in own], pa.list_(pa.int32())), pa.array([scale[o] for o in own], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["label", "at", "ratio"])
 
     width = len(vocabulary) + 1  # one that no text has, if none tells anything
