@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tomllib
 
 import pandas as pd
@@ -37,16 +36,47 @@ def _beyond(text: Column) -> Column:
     return F.octet_length(text) > PARSER_BYTES
 
 
+# Steps that leave of a text only what its grammar is made of: escapes become a letter, which is wrong outside of strings, strings and
+# other scalars one sign each, and blanks go. No step has a loop that backtracks.
+_STRING, _SCALAR = "\x01", "\x02"
+_STEPS = [
+    (r'\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})', "x"),
+    (r'"[^"\\\x00-\x1f]*+"', _STRING),
+    (r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+|true|false|null", _SCALAR),
+    (r"[ \t\n\r]++", ""),
+]
+_INNERMOST = r"\[(?:[\x01\x02](?:,[\x01\x02])*+)?+\]|\{(?:\x01:[\x01\x02](?:,\x01:[\x01\x02])*+)?+\}"
+DEPTH = 1000  # as deep as the JVM's parser goes
+
+
+def is_json_by_reduction(text: Column) -> Column:
+    """Strict validity of a text of any size: the innermost lists and objects become scalars until nothing but one is left."""
+    bare = text
+    for pattern, sign in _STEPS:
+        bare = F.regexp_replace(bare, pattern, sign)
+
+    def once(state: Column, _: Column) -> Column:
+        less = F.regexp_replace(state["t"], _INNERMOST, _SCALAR)
+        changed = F.struct(less.alias("t"), F.length(state["t"]).alias("n"))
+        return F.when(F.length(state["t"]) < state["n"], changed).otherwise(state)
+
+    first = F.struct(bare.alias("t"), (F.length(bare) + 1).alias("n"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), first, once)
+    return ~text.rlike(r"[\x01\x02]") & last["t"].isin(_STRING, _SCALAR)
+
+
 def is_json(text: Column) -> Column:
-    """Strict validity of the whole text; NULL where the parser could not read a text for its size."""
+    """Strict validity of the whole text. Texts that the parser cannot read for their size are reduced instead."""
     intact = _intact(_sealed(text), text)
-    return F.when(intact, True).when(F.coalesce(_beyond(text), F.lit(False)), F.lit(None)).otherwise(F.lit(False))
+    large = F.coalesce(_beyond(text), F.lit(False))
+    return F.when(intact, True).when(large, is_json_by_reduction(text)).otherwise(F.lit(False))
 
 
 def json_error(text: Column, value: Column) -> Column:
-    """Why ``strict_json`` of the text gave no value, NULL when it did."""
+    """Why ``strict_json`` of the text gave no value, NULL when it did. A valid document may be too large for a value."""
+    too_large = _beyond(text) & is_json_by_reduction(text)
     return F.when(
-        value.isNull(), F.when(_beyond(text), F.lit("JSON document too large")).otherwise(F.lit("Invalid JSON"))
+        value.isNull(), F.when(too_large, F.lit("JSON document too large")).otherwise(F.lit("Invalid JSON"))
     )
 
 
@@ -125,23 +155,13 @@ def toml_shaped(text: Column) -> Column:
     return F.when(possible, F.exists(F.split(text, "\n"), shaped)).otherwise(F.lit(False))
 
 
-def _refuse(constant: str) -> None:
-    raise ValueError(constant)
-
-
 @F.pandas_udf(StringType())
 def _format_of(texts: pd.Series) -> pd.Series:
-    """``toml`` or, for a text that begins like JSON and is over the limits of the JVM's parser, ``json``."""
+    """``toml`` where a text is a TOML document."""
 
     def named(text: str | None) -> str | None:
         if text is None:
             return None
-        if text.lstrip()[:1] in ("{", "[") and len(text.encode()) > PARSER_BYTES:
-            try:
-                json.loads(text, parse_constant=_refuse, parse_int=str, parse_float=str)
-                return "json"
-            except (ValueError, RecursionError):
-                pass
         try:
             tomllib.loads(text.replace("\r\n", "\n"))
         except (tomllib.TOMLDecodeError, RecursionError, ValueError):
@@ -155,14 +175,13 @@ def sniff_format(text: Column) -> Column:
     """json, xml, toml or txt, in this order of preference.
 
     Everything but the TOML parse runs in the JVM; only texts that passed the line test
-    and none of the earlier formats, and texts too large for the JVM's JSON parser, travel to
-    Python, all others as NULL.
+    and none of the earlier formats travel to Python, all others as NULL.
     """
     bare = trim_space(text)
     braced = bare.startswith("{") | bare.startswith("[")
     parsed = F.when(braced, F.coalesce(is_json(text), F.lit(False))).otherwise(F.lit(False))
     xml = bare.startswith("<") & bare.endswith(">") & F.contains(bare, F.lit("</"))
-    candidate = F.when((bare != "") & ~parsed & ~xml & ((braced & _beyond(text)) | toml_shaped(text)), text)
+    candidate = F.when((bare != "") & ~parsed & ~xml & toml_shaped(text), text)
     return (
         F.when(bare == "", "txt")
         .when(parsed, "json")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 
@@ -21,6 +22,7 @@ PROMPT_HEAD = (
     "Leave every other line as it is.\n\n"
 )
 PROMPT_TAIL = "\n\nFixed:"
+ANSWER_BOUND = 16  # characters a token of the budget stands for, at most
 
 
 def chunk_text(
@@ -90,37 +92,53 @@ def prompt(chunk: Column) -> Column:
     return F.concat(F.lit(PROMPT_HEAD), chunk, F.lit(PROMPT_TAIL))
 
 
-def rewriter(fn: Callable[[pd.Series], pd.Series]):
-    """``fn`` as an Arrow function. Where it raises, rows are tried one by one and those
-    that raise again answer NULL, which the acceptance gate turns into the original."""
+def rewriter(fn: Callable[..., pd.Series]):
+    """``fn`` as an Arrow function of the asked texts and their budgets. Where it raises, rows are tried one by one and those
+    that raise again answer NULL, which the acceptance gate turns into the original.
+
+    Whatever ``fn`` answers, no more than ``ANSWER_BOUND`` budgets of characters leave the task: longer answers are NULL.
+    """
+
+    def bounded(answers: pd.Series, budgets: pd.Series) -> pd.Series:
+        fits = [isinstance(a, str) and len(a) <= ANSWER_BOUND * b for a, b in zip(answers, budgets)]
+        return pd.Series([a if ok else None for a, ok in zip(answers, fits)], dtype=object)
+
+    try:
+        takes_budget = len(inspect.signature(fn).parameters) > 1
+    except (TypeError, ValueError):  # no Python function
+        takes_budget = False
+    ask = fn if takes_budget else lambda texts, budgets: fn(texts)
 
     @F.pandas_udf(StringType())
-    def answers(texts: pd.Series) -> pd.Series:
+    def answers(texts: pd.Series, budgets: pd.Series) -> pd.Series:
+        budgets = budgets.fillna(0).astype("int64")
         try:
-            return fn(texts)
+            return bounded(ask(texts, budgets), budgets)
         except Exception:
-            return pd.Series([_single(fn, text) for text in texts], dtype=object)
+            single = [_single(ask, text, budget) for text, budget in zip(texts, budgets)]
+            return bounded(pd.Series(single, dtype=object), budgets)
 
     return answers
 
 
-def _single(fn: Callable[[pd.Series], pd.Series], text: str | None) -> str | None:
+def _single(ask: Callable[..., pd.Series], text: str | None, budget: int) -> str | None:
     try:
-        return fn(pd.Series([text])).iloc[0]
+        return ask(pd.Series([text]), pd.Series([budget])).iloc[0]
     except Exception:
         return None
 
 
 def rewrite_chunks(
-    chunks: DataFrame, fn: Callable[[pd.Series], pd.Series], asked: str = "chunk", partitions: int | None = None
+    chunks: DataFrame, fn: Callable[..., pd.Series], asked: str = "chunk", partitions: int | None = None
 ) -> DataFrame:
-    """Add ``rewritten`` and ``accepted``. ``fn`` sees the column ``asked``.
+    """Add ``rewritten`` and ``accepted``. ``fn`` sees the column ``asked`` and, if it takes a second argument, the budget of each
+    chunk: how many tokens it may answer with.
 
     With ``partitions`` the chunks are spread over that many tasks first, which pays when
     ``fn`` is slow and few texts hold most chunks.
     """
     spread = chunks.repartition(partitions, "chunk") if partitions else chunks
-    answered = spread.withColumn("_answer", rewriter(fn)(F.col(asked)))
+    answered = spread.withColumn("_answer", rewriter(fn)(F.col(asked), rewrite_budget(F.col("chunk"))))
     gate = answered.withColumn("_gate", accept_rewrite(F.col("chunk"), F.col("_answer")))
     return gate.withColumn("rewritten", F.col("_gate.text")).withColumn(
         "accepted", F.col("_gate.accepted")
@@ -129,19 +147,17 @@ def rewrite_chunks(
 
 def rewrite_corpus(
     df: DataFrame,
-    fn: Callable[[pd.Series], pd.Series],
+    fn: Callable[..., pd.Series],
     keys: list[str],
     max_chars: int = CHUNK_CHARS,
     with_prompt: bool = True,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Clean, chunk, rewrite and put together the column ``text``: one shuffle in all."""
+    """Clean, chunk, rewrite and put together the column ``text``: one shuffle in all. ``fn`` is asked as in ``rewrite_chunks``."""
     cleaned = df.select(*keys, balance_tags(sanitize_br(F.col("text"))).alias("text"))
     chunks = chunk_text(cleaned, max_chars)
     if with_prompt:
-        chunks = chunks.withColumn("prompt", prompt(F.col("chunk"))).withColumn(
-            "budget", rewrite_budget(F.col("chunk"))
-        )
+        chunks = chunks.withColumn("prompt", prompt(F.col("chunk")))
     asked = "prompt" if with_prompt else "chunk"
     rewritten = rewrite_chunks(chunks, fn, asked, partitions)
     return reassemble(rewritten, keys, chunk="rewritten")

@@ -237,9 +237,15 @@ def reassemble(spark, sf_dir):
     return joined.select("doc_id", F.md5("text").alias("text_md5"))
 
 
-def replace_of(texts: pd.Series) -> pd.Series:
-    """A stand-in for a model: a fixed replacement, wrapped the way answers come."""
-    return "Fixed: " + texts.str.replace(" of ", " in ", regex=False)
+def replace_of(prompts: pd.Series, budgets: pd.Series) -> pd.Series:
+    """A stand-in for a model: it finds the text in its prompt, replaces something and wraps the answer the way answers come.
+    Every third text it repeats until its budget is spent."""
+
+    def answer(asked: str, budget: int) -> str:
+        text = asked.removeprefix(chunks.PROMPT_HEAD).removesuffix(chunks.PROMPT_TAIL).replace(" of ", " in ")
+        return "Fixed: " + ((text * 3)[:budget] if len(text) % 3 == 0 else text)
+
+    return pd.Series([answer(a, b) for a, b in zip(prompts, budgets)], dtype=object)
 
 
 REWRITE_SQL = d.DOCS_SQL.replace("docs AS", "plain AS").replace("\n)", "\n)") + """,
@@ -247,7 +253,8 @@ docs AS (SELECT doc_id, regexp_replace(concat(text, repeat('</sup>', greatest(
     len(regexp_extract_all(text, '<sup>')) - len(regexp_extract_all(text, '</sup>')), 0)), repeat('</sub>', greatest(
     len(regexp_extract_all(text, '<sub>')) - len(regexp_extract_all(text, '</sub>')), 0))),
   '<br ?/>|<BR ?/>|<br>|<BR>', ' ', 'g') AS text FROM plain)"""
-ANSWER = f"trim(replace(chunk, ' of ', ' in '), {SPACES})"
+REPLACED = "replace(chunk, ' of ', ' in ')"
+ANSWER = f"trim(CASE WHEN length(chunk) % 3 = 0 THEN left(repeat({REPLACED}, 3), greatest(2 * length(chunk), 256)) ELSE {REPLACED} END, {SPACES})"
 
 
 @query(
@@ -258,7 +265,7 @@ ANSWER = f"trim(replace(chunk, ' of ', ' in '), {SPACES})"
     SELECT doc_id, md5(string_agg(chunk, concat(chr(10), chr(10)) ORDER BY pos)) AS text_md5 FROM answered GROUP BY doc_id""",
 )
 def rewrite_corpus(spark, sf_dir):
-    done = chunks.rewrite_corpus(d.fenced_documents(spark, sf_dir), replace_of, ["doc_id"], with_prompt=False)
+    done = chunks.rewrite_corpus(d.fenced_documents(spark, sf_dir), replace_of, ["doc_id"])
     return done.select("doc_id", F.md5("text").alias("text_md5"))
 
 
