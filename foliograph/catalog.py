@@ -206,6 +206,9 @@ ERROR_RULES = [
 # --- fixed values: attributes a page takes from its ancestors ---
 INHERITED_KEYS = ["MediaBox", "Resources", "Rotate", "CropBox"]
 
+# --- fixed values: the nodes a merged document gets ---
+PAGES_NODE, CATALOG_NODE = "Pages", "Catalog"
+
 # --- fixed values: settings defaults ---
 SETTING_DEFAULTS = {"jpeg_quality": 75, "avif_quality": 65, "max_concurrent": 4, "output_mode": "clipboard"}
 

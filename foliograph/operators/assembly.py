@@ -6,14 +6,15 @@ is set on pages only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from foliograph.catalog import ERRORS, INHERITED_KEYS
+from foliograph.catalog import CATALOG_NODE, ERRORS, INHERITED_KEYS, PAGES_NODE
 from foliograph.operators.hierarchy import resolve_parents, take_from_parents
 from foliograph.operators.ranks import ordinals, seq_block, sum_before
 from foliograph.session import per_key, settle
 
 TOO_FEW = ERRORS["too_few"]
+VALUE_PLACES = 1 << 32  # places of one column of references
 
 
 def global_rank(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
@@ -34,32 +35,50 @@ def renumber_objects(objects: DataFrame, keys: list[str]) -> DataFrame:
     return global_rank(objects, keys, "obj_id", "new_id")
 
 
-def rewrite_refs(objects: DataFrame, id_map: DataFrame, keys: list[str]) -> DataFrame:
+def _token_places(name: str, first: int) -> Column:
+    inside = F.transform(name, lambda t, i: F.struct((i + first).alias("at"), t["ref"].alias("old")))
+    return F.filter(inside, lambda e: e["old"].isNotNull())
+
+
+def _renewed_tokens(name: str, first: int) -> Column:
+    def renewed(t: Column, i: Column) -> Column:
+        ref = F.coalesce(F.try_element_at("_tokens", (i + first).cast("bigint")), t["ref"])
+        return F.struct(t["text"].alias("text"), ref.alias("ref"))
+
+    return F.transform(name, renewed)
+
+
+def rewrite_refs(objects: DataFrame, id_map: DataFrame, keys: list[str], values: list[str] | None = None) -> DataFrame:
     """Replace ``refs`` and ``parent_id`` by new ids; a reference to nothing keeps its old id.
 
-    ``id_map`` holds (keys, doc_seq, obj_id, new_id). One join serves both: the parent travels
-    as the reference at place -1. Regrouping is by object, whose references were one value.
+    ``id_map`` holds (keys, doc_seq, obj_id, new_id). ``values`` are columns whose values hold references too, as lists of tokens
+    (text, ref). One join serves all: each reference travels with its place, the parent's being -1, that of a token
+    behind its column's number. Regrouping is by object, whose references were one value.
     """
-    same = [*keys, "doc_seq"]
-    links = F.concat(
-        F.when(F.col("parent_id").isNotNull(), F.array(F.struct(F.lit(-1).alias("at"), F.col("parent_id").alias("old"))))
-        .otherwise(F.array().cast("array<struct<at:int,old:bigint>>")),
-        F.transform(
-            F.coalesce("refs", F.array().cast("array<bigint>")), lambda r, i: F.struct(i.alias("at"), r.alias("old"))
-        ),
-    )
+    same, values = [*keys, "doc_seq"], values or []
+    entry = "array<struct<at:bigint,old:bigint>>"
+    places = [
+        F.when(F.col("parent_id").isNotNull(), F.array(F.struct(F.lit(-1).cast("bigint").alias("at"), F.col("parent_id").alias("old")))),
+        F.transform("refs", lambda r, i: F.struct(i.cast("bigint").alias("at"), r.alias("old"))),
+    ]
+    places += [_token_places(name, k * VALUE_PLACES) for k, name in enumerate(values, 1)]
+    links = F.concat(*[F.coalesce(p.cast(entry), F.array().cast(entry)) for p in places])
     opened = objects.select(*same, "new_id", F.inline(links))
     target = id_map.select(*same, F.col("obj_id").alias("old"), F.col("new_id").alias("mapped"))
     mapped = opened.join(target, [*same, "old"], "left").select(
         *same, "new_id", "at", F.coalesce("mapped", "old").alias("ref")
     )
-    regrouped = mapped.groupBy(*same, "new_id").agg(
+    found = [
         F.max(F.when(F.col("at") == -1, F.col("ref"))).alias("new_parent_id"),
-        F.array_sort(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "ref"))))["ref"].alias("new_refs"),
-    )
-    joined = objects.join(regrouped, [*same, "new_id"], "left")
+        F.array_sort(F.collect_list(F.when(F.col("at").between(0, VALUE_PLACES - 1), F.struct("at", "ref"))))["ref"].alias("new_refs"),
+    ]
+    if values:
+        found.append(F.map_from_entries(F.collect_list(F.when(F.col("at") >= VALUE_PLACES, F.struct("at", "ref")))).alias("_tokens"))
+    joined = objects.join(mapped.groupBy(*same, "new_id").agg(*found), [*same, "new_id"], "left")
     empty = F.array().cast("array<bigint>")
-    return joined.withColumn("new_refs", F.coalesce("new_refs", empty))
+    renewed = {"new_refs": F.coalesce("new_refs", empty)}
+    renewed |= {name: _renewed_tokens(name, k * VALUE_PLACES) for k, name in enumerate(values, 1)}
+    return joined.withColumns(renewed).drop("_tokens")
 
 
 def union_documents(pools: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -95,7 +114,8 @@ def merge_documents(
     """(objects, pages, summary) of each merge.
 
     objects: ``new_id``, rewritten references, inherited attributes on pages, and every
-    page's parent pointing at the new page root. pages: the page list in input order, as
+    page's parent pointing at the new page root. Attributes are texts or lists of tokens (text, ref), whose
+    references are renumbered like any other, inherited ones too. pages: the page list in input order, as
     rows with a ``position``. summary: counts, the ids of the new root nodes, or an error
     for merges of fewer than two documents, which yield no objects and pages.
     """
@@ -105,22 +125,50 @@ def merge_documents(
 
     # everything below reads this one table
     numbered = settle(renumber_objects(pool, keys))
-    linked = rewrite_refs(numbered, numbered, keys).join(valid, keys)
     is_page = F.col("page_no").isNotNull()
     attributes = [a for a in attributes if a in objects.columns]
+    tokens = [a for a in attributes if objects.schema[a].dataType.typeName() == "array"]
+    filled = numbered
     if attributes:
         scope = [*keys, "doc_seq"]
         parents = resolve_parents(numbered.withColumnRenamed("obj_id", "node_id"), attributes, scope)
         own = {f"_own_{a}": F.col(a) for a in attributes}
-        filled = take_from_parents(linked.withColumns(own), parents, attributes, scope)
+        filled = take_from_parents(numbered.withColumns(own), parents, attributes, scope)
         # an inherited value goes onto pages only, all other nodes keep what they had
-        linked = filled.withColumns(
+        filled = filled.withColumns(
             {a: F.when(is_page, F.col(a)).otherwise(F.col(f"_own_{a}")) for a in attributes}
         ).drop(*own)
-    merged = linked.withColumn(
-        "new_parent_id", F.when(is_page, F.col("pages_root")).otherwise(F.col("new_parent_id"))
-    ).drop("pages_root")
+    merged = (
+        rewrite_refs(filled, numbered, keys, tokens)
+        .join(valid, keys)
+        .withColumn("new_parent_id", F.when(is_page, F.col("pages_root")).otherwise(F.col("new_parent_id")))
+        .drop("pages_root")
+    )
     pages = global_rank(numbered.filter(is_page), keys, "page_no", "position").select(
         *keys, "position", "doc_seq", F.col("new_id").alias("page_id")
     )
     return merged, pages, summary
+
+
+def added_nodes(pages: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """The two nodes a merge makes: the page root, whose references are the pages in order, and the catalog, which refers to the root.
+
+    A root's page list is one value of its document, as it is in the file.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("position", "page_id")))["page_id"]
+    kids = pages.groupBy(*keys).agg(listed.alias("kids"))
+    made = summary.filter(F.col("error").isNull()).join(kids, keys, "left")
+    none = F.array().cast("array<bigint>")
+    root = F.struct(
+        F.lit(PAGES_NODE).alias("kind"), F.col("pages_root").alias("new_id"), F.coalesce("kids", none).alias("new_refs"), F.col("pages").alias("count")
+    )
+    top = F.struct(
+        F.lit(CATALOG_NODE).alias("kind"), F.col("catalog_id").alias("new_id"), F.array("pages_root").alias("new_refs"), F.lit(None).cast("bigint").alias("count")
+    )
+    return made.select(*keys, F.inline(F.array(root, top)))
+
+
+def merged_pool(objects: DataFrame, keys: list[str], attributes: list[str] = INHERITED_KEYS) -> DataFrame:
+    """All nodes of each merged document: the renumbered objects (``kind`` NULL) and the page root and catalog made for it."""
+    merged, pages, summary = merge_documents(objects, keys, attributes)
+    return merged.unionByName(added_nodes(pages, summary, keys), allowMissingColumns=True)

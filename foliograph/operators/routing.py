@@ -8,6 +8,7 @@ computed per format is computed on the dimension and joined once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,6 +17,9 @@ from foliograph.functions.paths import normalize_ext, output_path
 from foliograph.session import settle, settle_counting, small_side
 
 
+DELTAS = 4  # rounds whose pairs are read one beside the other
+
+
 def usable_edges(edges: DataFrame, caps: list[str]) -> DataFrame:
     """Edges whose capability is present."""
     return edges.filter(F.col("cond").isin(caps))
@@ -57,7 +61,8 @@ def min_cost_paths(
     Costs are relaxed to a fixpoint first and only then routes of more than ``max_hops``
     are dropped. Among equally cheap routes the one whose last but one node is nearer
     to the source wins, then the one with the larger name.
-    Each round joins only the pairs that got cheaper in the round before.
+    Each round joins only the pairs that got cheaper in the round before and writes only those it makes cheaper;
+    what is known is their union, put together every few rounds.
     """
     step, wrong = settle_counting(
         edges.filter(F.col("src_fmt") != F.col("dst_fmt"))
@@ -71,24 +76,26 @@ def min_cost_paths(
     hop = small_side(hop)
 
     first = step if sources is None else step.filter(F.col("src_fmt").isin(sources))
-    best = fresh = first
+    pair = ["src_fmt", "dst_fmt"]
+    found, fresh = [first], first
     while True:
+        best = reduce(DataFrame.unionByName, found).groupBy(*pair).agg(F.min("cost").alias("cost"))
+        if len(found) > DELTAS:
+            best = settle(best)
+            found = [best]
         longer = (
             fresh.join(hop, F.col("dst_fmt") == F.col("via"))
             .filter(F.col("src_fmt") != F.col("next"))
-            .select("src_fmt", F.col("next").alias("dst_fmt"), (F.col("cost") + F.col("price")).alias("cost"))
-        )
-        known = best.select("src_fmt", "dst_fmt", "cost", F.col("cost").alias("old"))
-        cheaper = F.col("old").isNull() | (F.col("cost") < F.col("old"))
-        merged, improved = settle_counting(
-            known.unionByName(longer.withColumn("old", F.lit(None).cast("bigint")))
-            .groupBy("src_fmt", "dst_fmt")
-            .agg(F.min("cost").alias("cost"), F.min("old").alias("old")),
-            cheaper,
+            .groupBy("src_fmt", F.col("next").alias("dst_fmt"))
+            .agg(F.min(F.col("cost") + F.col("price")).alias("cost"))
         )
-        best, fresh = merged.drop("old"), merged.filter(cheaper).drop("old")
+        known = best.withColumnRenamed("cost", "old")
+        cheaper = longer.join(known, pair, "left").filter(F.col("old").isNull() | (F.col("cost") < F.col("old")))
+        fresh, improved = settle_counting(cheaper.select(*pair, "cost"), F.lit(True))
         if not improved:
             break
+        found.append(fresh)
+    best = settle(best)
 
     reached = best.select("src_fmt", F.col("dst_fmt").alias("via"), F.col("cost").alias("to_via"))
     start = first.select("src_fmt", F.col("src_fmt").alias("via"), F.lit(0).cast("bigint").alias("to_via")).distinct()

@@ -58,26 +58,45 @@ sizes AS (SELECT merge_id, count(DISTINCT doc_seq) AS documents, count(*) AS n,
 
 ANCESTORS_SQL = """
 chain AS (
-  SELECT merge_id, doc_seq, obj_id, parent_id AS up, "MediaBox" AS box, "Resources" AS res FROM objects
+  SELECT merge_id, doc_seq, obj_id, parent_id AS up, "MediaBox" AS box, "Resources" AS res, CASE WHEN "Resources" IS NOT NULL THEN ref END AS res_ref FROM objects
   UNION ALL
-  SELECT c.merge_id, c.doc_seq, c.obj_id, o.parent_id, coalesce(c.box, o."MediaBox"), coalesce(c.res, o."Resources")
+  SELECT c.merge_id, c.doc_seq, c.obj_id, o.parent_id, coalesce(c.box, o."MediaBox"), coalesce(c.res, o."Resources"),
+         CASE WHEN c.res IS NOT NULL THEN c.res_ref WHEN o."Resources" IS NOT NULL THEN o.ref END
   FROM chain c JOIN objects o ON c.merge_id = o.merge_id AND c.doc_seq = o.doc_seq AND c.up = o.obj_id
 ),
-resolved AS (SELECT merge_id, doc_seq, obj_id, box, res FROM chain WHERE up IS NULL)"""
+resolved AS (SELECT merge_id, doc_seq, obj_id, box, res, res_ref FROM chain WHERE up IS NULL)"""
 
 
 @query(
     "d4_merge_objects",
-    f"""WITH RECURSIVE {MERGE_SQL}, {ANCESTORS_SQL}
-    SELECT l.merge_id, l.new_id, CASE WHEN page_no IS NOT NULL THEN n + 1 ELSE parent_new END AS new_parent_id,
-      CASE WHEN page_no IS NOT NULL THEN box ELSE "MediaBox" END AS "MediaBox",
-      CASE WHEN page_no IS NOT NULL THEN res ELSE "Resources" END AS "Resources"
-    FROM linked l JOIN sizes s ON l.merge_id = s.merge_id
-    JOIN resolved r ON l.merge_id = r.merge_id AND l.doc_seq = r.doc_seq AND l.obj_id = r.obj_id WHERE documents >= 2""",
+    f"""WITH RECURSIVE {MERGE_SQL}, {ANCESTORS_SQL},
+    pool AS (
+      SELECT l.merge_id, l.new_id, NULL AS kind, CASE WHEN l.page_no IS NOT NULL THEN n + 1 ELSE parent_new END AS new_parent_id,
+        CASE WHEN l.page_no IS NOT NULL THEN box ELSE l."MediaBox" END AS "MediaBox",
+        CASE WHEN l.page_no IS NOT NULL THEN res || ' ' || coalesce(t.new_id::VARCHAR, '') WHEN l."Resources" IS NOT NULL THEN concat(l."Resources", ' ', ref_new) END AS "Resources",
+        NULL AS count, CASE WHEN l.ref IS NULL THEN '' ELSE concat(ref_new, ',2') END AS refs
+      FROM linked l JOIN sizes s ON l.merge_id = s.merge_id
+      JOIN resolved r ON l.merge_id = r.merge_id AND l.doc_seq = r.doc_seq AND l.obj_id = r.obj_id
+      LEFT JOIN objects t ON t.merge_id = l.merge_id AND t.doc_seq = l.doc_seq AND t.obj_id = r.res_ref WHERE documents >= 2
+      UNION ALL
+      SELECT l.merge_id, n + 1, 'Pages', NULL, NULL, NULL, pages, coalesce(string_agg(new_id::VARCHAR, ',' ORDER BY doc_seq, page_no), '')
+      FROM linked l JOIN sizes s ON l.merge_id = s.merge_id WHERE documents >= 2 AND page_no IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT merge_id, n + 1, 'Pages', NULL, NULL, NULL, pages, '' FROM sizes WHERE documents >= 2 AND pages = 0
+      UNION ALL SELECT merge_id, n + 2, 'Catalog', NULL, NULL, NULL, NULL, (n + 1)::VARCHAR FROM sizes WHERE documents >= 2)
+    SELECT merge_id, new_id, kind, new_parent_id, "MediaBox", nullif("Resources", '') AS "Resources", count, md5(refs) AS refs_md5 FROM pool""",
 )
 def merge_objects(spark, sf_dir):
-    merged, _, _ = assembly.merge_documents(d.objects(spark, sf_dir), KEY)
-    return merged.select("merge_id", "new_id", "new_parent_id", "MediaBox", "Resources")
+    """Resources are tokens: a text and a reference to the object that the node itself refers to."""
+    pool = d.objects(spark, sf_dir)
+    token = F.struct(F.col("Resources").alias("text"), F.lit(None).cast("bigint").alias("ref"))
+    link = F.struct(F.lit(None).cast("string").alias("text"), F.get("refs", F.lit(0)).alias("ref"))
+    pool = pool.withColumn("Resources", F.when(F.col("Resources").isNotNull(), F.array(token, link)))
+    merged = assembly.merged_pool(pool, KEY)
+    told = F.transform("Resources", lambda t: F.coalesce(t["text"], t["ref"].cast("string"), F.lit("")))
+    return merged.select(
+        "merge_id", "new_id", "kind", "new_parent_id", "MediaBox", F.array_join(told, " ").alias("Resources"), "count",
+        F.md5(F.array_join(F.col("new_refs").cast("array<string>"), ",")).alias("refs_md5"),
+    )
 
 
 @query(

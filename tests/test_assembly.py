@@ -31,6 +31,21 @@ def test_merge(spark):
     assert (totals[2].pages, totals[2].error) == (None, "Need at least 2 PDFs to merge")
 
 
+def test_merged_pool_has_root_and_catalog_and_renumbers_inside_values(spark):
+    """Page 3 inherits a value of node 1 that refers to node 2 and to nothing; page 4 has its own."""
+    kind = "merge_id int, doc_seq long, obj_id long, parent_id long, page_no long, refs array<long>, Resources array<struct<text:string,ref:bigint>>"
+    values = {1: [("<<", None), (None, 2), (None, 77), (">>", None)], 4: [(None, 4)]}
+    rows = [(*r[:6], values.get(r[2]) if r[1] == 0 else None) for r in TWO]
+    got = assembly.merged_pool(spark.createDataFrame(rows, kind), ["merge_id"], ["Resources"]).collect()
+    plain = {(r.doc_seq, r.obj_id): [tuple(t) for t in r.Resources] if r.Resources else r.Resources for r in got if r.kind is None}
+    assert plain[0, 1] == plain[0, 3] == [("<<", None), (None, 2), (None, 77), (">>", None)] and plain[0, 4] == [(None, 4)] and plain[0, 2] is None
+    made = {r.kind: (r.merge_id, r.new_id, r.new_refs, r["count"], r.new_parent_id) for r in got if r.kind}
+    assert made == {"Pages": (1, 8, [3, 4, 6, 7], 4, None), "Catalog": (1, 9, [8], None, None)}
+    moved = [(m, d + 3, *r) for m, d, *r in rows if m == 1] + [(1, 0, 1, None, None, None, None)]  # one document with one object in front
+    late = assembly.merged_pool(spark.createDataFrame(moved, kind), ["merge_id"], ["Resources"]).collect()
+    assert {r.obj_id: [t.ref for t in r.Resources or []] for r in late if r.doc_seq == 3}[3] == [None, 3, 77, None]
+
+
 def test_renumber_matches_a_loop(spark):
     rng = random.Random(1)
     rows = list({(rng.choice([1, 1, 1, 2]), rng.randint(0, 300), rng.randint(0, 10**6)) for _ in range(3000)})

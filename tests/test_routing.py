@@ -172,3 +172,33 @@ def test_the_excluded_route_is_known_with_its_tie(spark):
     every = {(r.src_fmt, r.dst_fmt): r.route for r in routing.catalog_all_routes(spark).collect()}
     assert every["csv", "toml"] == ["csv", "yaml", "toml"]
     assert set(every) - set(routes_of(spark, (catalog.ALWAYS,))) == {("csv", "toml")}
+
+
+def test_rounds_write_only_what_got_cheaper(spark, monkeypatch):
+    """A long chain with ever cheaper detours: the same costs as a plain search, and no round writes all pairs again."""
+    rng = random.Random(11)
+    rows = [(f"n{i}", f"n{i + 1}", rng.randrange(1, 9)) for i in range(24)] + [(f"n{i}", f"n{j}", 3 * (j - i) + 9) for i in range(20) for j in (i + 3, i + 5) if j < 25]
+    written = []
+    plain = routing.settle_counting
+
+    def counting(df, flag):
+        out = plain(df, flag)
+        written.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(routing, "settle_counting", counting)
+    found = routing.min_cost_paths(spark.createDataFrame(rows, "src_fmt string, dst_fmt string, cost int"), max_hops=30)
+    costs = {(r.src_fmt, r.dst_fmt): r.cost for r in found.collect()}
+    nexts = {}
+    for a, b, c in rows:
+        nexts.setdefault(a, {})[b] = min(c, nexts.get(a, {}).get(b, c))
+    for a in nexts:
+        best, queue = {a: 0}, [(0, a)]
+        while queue:
+            c, at = heapq.heappop(queue)
+            for b, step in nexts.get(at, {}).items():
+                if c + step < best.get(b, 10**9):
+                    best[b] = c + step
+                    heapq.heappush(queue, (c + step, b))
+        assert {b: c for (s, b), c in costs.items() if s == a} == {b: c for b, c in best.items() if b != a}
+    assert len(written) > 10 and written[-1] == 0 and max(written[6:]) < len(costs) / 2
