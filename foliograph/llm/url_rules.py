@@ -15,9 +15,8 @@ RULES = [
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 ]
-SUPPORT = 0.005  # of the labelled URLs
+LEAST = 15  # labelled URLs a mined rule holds for, whatever the size of the tables
 CONFIDENCE = 0.9
-LONGEST = 3  # tokens of a mined rule
 MARK = "\x00"  # begins a label among the tokens; never begins a token of a URL
 
 
@@ -58,27 +57,38 @@ def tokens() -> Column:
     return F.array_distinct(named)
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
+def mine(labelled: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
     """(tokens, verdict, confidence, n) of the rules mined from ``labelled`` (tokens, verdict).
 
     FP-growth counts the combinations of tokens and verdicts. A combination with a verdict is a rule if its share of the
     combination without it reaches ``confidence``. A rule is dropped if one of fewer tokens, all among its own,
-    says the same with no less confidence. Their number is bounded by the support, not by the input.
+    says the same with no less confidence. Rules have any number of tokens. Before mining, tokens that alone are rules without exception leave
+    the rows: whatever they are combined with would be dropped.
     """
-    items = labelled.where("verdict is not null").select(F.array_union("tokens", F.array(F.concat(F.lit(MARK), F.col("verdict")))).alias("items"))
-    none = labelled.sparkSession.createDataFrame([], "tokens array<string>, verdict string, confidence double, n long")
-    if items.isEmpty():
-        return none
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).freqItemsets
+    rows, n = written(labelled.where("verdict is not null").select("tokens", "verdict"))
+    if not n:
+        return labelled.sparkSession.createDataFrame([], "tokens array<string>, verdict string, confidence double, n long")
+    told = rows.select("verdict", F.explode("tokens").alias("x")).groupBy("x").agg(
+        F.min("verdict").alias("verdict"), F.max("verdict").alias("other"), F.count(F.lit(1)).alias("n")
+    )
+    sure = settle(told.where((F.col("verdict") == F.col("other")) & (F.col("n") >= least)).select("x", "verdict", "n"))
+    listed = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "verdict", F.explode_outer("tokens").alias("x"))
+    left = listed.join(sure.select("x"), "x", "left_anti").groupBy("row", "verdict").agg(F.collect_list("x").alias("tokens"))
+    items = settle(left.select(F.array_union("tokens", F.array(F.concat(F.lit(MARK), F.col("verdict")))).alias("items")))
+    # a share a little lower than the count, so that rounding loses no rule; the count is applied below
+    share = min(1.0, max(least - 0.5, 0.5) / max(1, items.count()))
+    sets = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items).freqItemsets
     split = sets.select(
         F.array_sort(F.filter("items", lambda x: ~x.startswith(MARK))).alias("tokens"),
         F.filter("items", lambda x: x.startswith(MARK)).alias("mark"),
         F.col("freq").alias("n"),
-    ).where((F.size("tokens") >= 1) & (F.size("tokens") <= longest))
+    ).where((F.size("tokens") >= 1) & (F.col("n") >= least))
     counted = settle(split)
     alone = counted.where(F.size("mark") == 0).select("tokens", F.col("n").alias("all"))
     marked = counted.where(F.size("mark") == 1).select("tokens", F.substring(F.element_at("mark", 1), 2, 1 << 20).alias("verdict"), "n")
-    rules = settle(marked.join(alone, "tokens").withColumn("confidence", F.col("n") / F.col("all")).where(F.col("confidence") >= confidence))
+    combined = marked.join(alone, "tokens").withColumn("confidence", F.col("n") / F.col("all")).where(F.col("confidence") >= confidence)
+    single = sure.select(F.array("x").alias("tokens"), "verdict", F.lit(1.0).alias("confidence"), "n")
+    rules = settle(combined.select("tokens", "verdict", "confidence", "n").unionByName(single))
     wider = rules.select(F.col("tokens").alias("t"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.explode("tokens").alias("x"))
     narrow = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("x"))
     covered = (F.size("t") < F.size("tokens")) & (F.size(F.array_except("t", "tokens")) == 0) & (F.col("c") >= F.col("confidence"))
@@ -87,7 +97,8 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
 
 
 def best_match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tokens, verdict): for each distinct token set of ``urls`` the surest mined rule that fits, longer ones before shorter ones.
+    """(tokens, verdict): for each distinct token set of ``urls`` the surest mined rule that fits; of equally sure ones the longest, then the
+    last by its tokens and verdict.
 
     Rules stand in an inverted index under the rarest of their tokens; a token set looks only under its own tokens.
     """
@@ -99,7 +110,8 @@ def best_match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     index, n = written(rarest)
     fits = each.join(small(index, n), "x").where(F.size(F.array_except("wanted", "tokens")) == 0)
     rank = F.struct("confidence", F.size("wanted").alias("s"), "wanted", "verdict")
-    return fits.groupBy("tokens").agg(F.max(rank).alias("best")).select("tokens", F.col("best.verdict").alias("mined"))
+    # written, so that the join below shuffles both sides and a token set with very many URLs is split
+    return settle(fits.groupBy("tokens").agg(F.max(rank).alias("best")).select("tokens", F.col("best.verdict").alias("mined")))
 
 
 def judge_urls(
