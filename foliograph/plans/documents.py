@@ -29,14 +29,22 @@ def text_documents(spark, sf_dir):
     return read.select(doc.alias("doc_id"), F.md5("content").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
 
 
-@query("a3_csv_records", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(text) AS text_md5 FROM documents")
+@query(
+    "a3_csv_records",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(text) AS text_md5, NULL AS error FROM documents
+    UNION ALL SELECT NULL, NULL, NULL, NULL, concat('CSV rows whose fields do not match the header: ', count(*)) FROM labels HAVING count(*) > 0""",
+)
 def csv_records(spark, sf_dir):
-    """Documents through the CSV sink and back: quotes, commas and line breaks inside texts."""
+    """Documents through the CSV sink and back, with quotes, commas and line breaks inside texts, beside a file of ragged rows."""
     columns = ["doc_id", "lang", "text", "source"]
     folder = scratch_path(spark, "csv")
-    files.write_csv(table(spark, sf_dir, "documents").select(*columns), folder)
-    back = files.read_csv_records(spark, folder, columns).filter("error IS NULL")
-    return back.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+    files.write_csv(table(spark, sf_dir, "documents").select(*columns), f"{folder}/good")
+    rows = table(spark, sf_dir, "labels").select(F.concat_ws(",", "doc_id", F.coalesce("quality", F.lit(0))).alias("value"), F.lit(1).alias("at"))
+    top = rows.limit(1).select(F.lit(",".join(columns)).alias("value"), F.lit(0).alias("at"))
+    # one file, its header first
+    top.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{folder}/ragged")
+    back = files.split_csv_records(spark, f"{folder}/*", columns)
+    return back.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"), "error")
 
 
 VALIDITY_SQL = """

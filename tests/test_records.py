@@ -1,5 +1,7 @@
 """Document values: decoding, records, flattening, batch conversion, files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,30 @@ def test_ragged_files_give_an_error_row(spark, tmp_path):
     rows = files.read_csv_records(spark, str(tmp_path), ["k", "v"]).collect()
     assert sorted((r.k, r.v) for r in rows if r.error is None) == [("1", "x\ny"), ("2", "z")]
     assert [r.file.rsplit("/", 1)[1] for r in rows if r.error] == ["b.csv"]
+
+
+def test_csv_files_in_many_splits(spark, tmp_path):
+    """Files cut anywhere, inside quotes too, give the rows of a reader that takes each file whole."""
+    rng = random.Random(12)
+    cells = ["", "a", "b,c", 'say "x"', "two\nlines", '"', "\n\n", "end\r\nhere", "ü" * 40, '",\n"', " x "]
+    rows = [(str(i), rng.choice(cells), rng.choice(cells) * rng.randrange(1, 4)) for i in range(600)]
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in '",\n\r') else c
+    for k in range(2):
+        part = rows[k::2]
+        (tmp_path / f"part{k}.csv").write_bytes(("h,k,l\r\n" + "\r\n".join(",".join(map(quoted, r)) for r in part) + "\r\n").encode())
+    (tmp_path / "ragged.csv").write_text('h,k,l\n1,2,3\n1,2\n"a\nb",2,3,4\n')
+    (tmp_path / "other.csv").write_text("h,x,l\n1,2,3\n")
+    (tmp_path / "open.csv").write_text('h,k,l\n1,"2,3\n4,5,6\n')
+    (tmp_path / "empty.csv").write_text("h,k,l\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = files.split_csv_records(spark, str(tmp_path / "*.csv"), ["h", "k", "l"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    plain = sorted((h, k.replace("\r\n", "\n"), l.replace("\r\n", "\n")) for h, k, l in rows)
+    assert sorted((r.h, r.k, r.l) for r in got if r.error is None) == plain
+    errors = {r.file.rsplit("/", 1)[1]: r.error for r in got if r.error}
+    assert errors == {"ragged.csv": files.CSV_RAGGED + "2", "other.csv": files.CSV_HEADER, "open.csv": files.CSV_OPEN}
+    whole = files.read_csv_records(spark, str(tmp_path / "part*.csv"), ["h", "k", "l"]).collect()
+    assert sorted((r.h, r.k, r.l) for r in whole) == plain
