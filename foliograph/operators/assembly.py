@@ -119,15 +119,25 @@ def merge_documents(
     rows with a ``position``. summary: counts, the ids of the new root nodes, or an error
     for merges of fewer than two documents, which yield no objects and pages.
     """
+    numbered, summary = _numbered(objects, keys)
+    pages = global_rank(numbered.filter(F.col("page_no").isNotNull()), keys, "page_no", "position").select(
+        *keys, "position", "doc_seq", F.col("new_id").alias("page_id")
+    )
+    return _merged(numbered, summary, keys, attributes), pages, summary
+
+
+def _numbered(objects: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The written objects of valid merges with ``new_id``, and the summary; all else reads these two tables."""
     summary = settle(merge_summary(objects, keys))
-    valid = summary.filter(F.col("error").isNull()).select(*keys, "pages_root")
-    pool = objects.join(valid.select(*keys), keys, "left_semi")
+    valid = summary.filter(F.col("error").isNull()).select(*keys)
+    return settle(renumber_objects(objects.join(valid, keys, "left_semi"), keys)), summary
 
-    # everything below reads this one table
-    numbered = settle(renumber_objects(pool, keys))
+
+def _merged(numbered: DataFrame, summary: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
+    valid = summary.filter(F.col("error").isNull()).select(*keys, "pages_root")
     is_page = F.col("page_no").isNotNull()
-    attributes = [a for a in attributes if a in objects.columns]
-    tokens = [a for a in attributes if objects.schema[a].dataType.typeName() == "array"]
+    attributes = [a for a in attributes if a in numbered.columns]
+    tokens = [a for a in attributes if numbered.schema[a].dataType.typeName() == "array"]
     filled = numbered
     if attributes:
         scope = [*keys, "doc_seq"]
@@ -138,25 +148,21 @@ def merge_documents(
         filled = filled.withColumns(
             {a: F.when(is_page, F.col(a)).otherwise(F.col(f"_own_{a}")) for a in attributes}
         ).drop(*own)
-    merged = (
+    return (
         rewrite_refs(filled, numbered, keys, tokens)
         .join(valid, keys)
         .withColumn("new_parent_id", F.when(is_page, F.col("pages_root")).otherwise(F.col("new_parent_id")))
         .drop("pages_root")
     )
-    pages = global_rank(numbered.filter(is_page), keys, "page_no", "position").select(
-        *keys, "position", "doc_seq", F.col("new_id").alias("page_id")
-    )
-    return merged, pages, summary
 
 
-def added_nodes(pages: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+def added_nodes(numbered: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """The two nodes a merge makes: the page root, whose references are the pages in order, and the catalog, which refers to the root.
 
     A root's page list is one value of its document, as it is in the file.
     """
-    listed = F.array_sort(F.collect_list(F.struct("position", "page_id")))["page_id"]
-    kids = pages.groupBy(*keys).agg(listed.alias("kids"))
+    listed = F.array_sort(F.collect_list(F.struct("doc_seq", "page_no", "new_id")))["new_id"]
+    kids = numbered.filter(F.col("page_no").isNotNull()).groupBy(*keys).agg(listed.alias("kids"))
     made = summary.filter(F.col("error").isNull()).join(kids, keys, "left")
     none = F.array().cast("array<bigint>")
     root = F.struct(
@@ -170,5 +176,6 @@ def added_nodes(pages: DataFrame, summary: DataFrame, keys: list[str]) -> DataFr
 
 def merged_pool(objects: DataFrame, keys: list[str], attributes: list[str] = INHERITED_KEYS) -> DataFrame:
     """All nodes of each merged document: the renumbered objects (``kind`` NULL) and the page root and catalog made for it."""
-    merged, pages, summary = merge_documents(objects, keys, attributes)
-    return merged.unionByName(added_nodes(pages, summary, keys), allowMissingColumns=True)
+    numbered, summary = _numbered(objects, keys)
+    merged = _merged(numbered, summary, keys, attributes)
+    return merged.unionByName(added_nodes(numbered, summary, keys), allowMissingColumns=True)

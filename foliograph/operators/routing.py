@@ -17,7 +17,7 @@ from foliograph.functions.paths import normalize_ext, output_path
 from foliograph.session import settle, settle_counting, small_side
 
 
-DELTAS = 4  # rounds whose pairs are read one beside the other
+DELTAS = 6  # rounds whose pairs are read one beside the other
 
 
 def usable_edges(edges: DataFrame, caps: list[str]) -> DataFrame:
