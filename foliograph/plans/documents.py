@@ -139,9 +139,9 @@ def read_lines(spark, sf_dir):
     """Log lines written as text files and read back as a stream of arriving files."""
     folder = scratch_path(spark, "lines")
     d.log_lines(spark, sf_dir).select(F.concat_ws("\t", "job_id", "line")).write.text(folder)
-    arrived = monitors.drain(files.read_lines(spark, folder, stream=True), "append", "arrived")
+    arrived = monitors.drained(files.read_lines(spark, folder, stream=True), "arrived")
     line = F.split("line", "\t", 2)
-    read = spark.read.parquet(arrived).select(line[0].cast("bigint").alias("job_id"), line[1].alias("line"))
+    read = arrived.select(line[0].cast("bigint").alias("job_id"), line[1].alias("line"))
     return read.groupBy("job_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line")).alias("chars"))
 
 

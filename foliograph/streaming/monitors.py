@@ -45,6 +45,11 @@ def drain(stream: DataFrame, mode: str, label: str, merge: Merge | None = None)
     return folder
 
 
+def drained(stream: DataFrame, label: str) -> DataFrame:
+    """The rows of an append stream up to the end of the present input."""
+    return EpochStore(stream.sparkSession, drain(stream, "append", label)).read(stream.schema)
+
+
 def clocked(stream: DataFrame, delay: str) -> DataFrame:
     """Add ``_seen``, the time a row was taken in, as the watermark."""
     return stream.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", delay)
