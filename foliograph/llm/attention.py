@@ -142,8 +142,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """``docs`` (doc_id, text and others) with held_out, score and predicted, by a model trained on ``labels``.
 
     Only the text is an input of a score; each text is scored as a whole, by passages of 64 words. NULL and empty texts
-    are one empty passage. Rows that repeat an id are scored one by one; a NULL id is never a label and never held out
-    unless the empty text falls into that fold. Columns of the three names are replaced. An empty table stays empty.
+    are one empty passage. Rows that repeat an id are scored one by one; a NULL id is never a label and counts
+    as the empty text when folds are drawn, so it is held out. Columns of the three names are replaced. An empty table stays empty.
     """
     docs = docs.drop("held_out", "score", "predicted")
     model = train(docs, labels, sample)
