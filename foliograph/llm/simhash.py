@@ -7,6 +7,9 @@ segment has one codeword within three bits, and a segment that differs in one bi
 A key is what is equal, exactly, with the codeword of the segment that may differ: 30 bits of the fingerprint or more.
 Each fingerprint is filed under its nearest codewords (ten keys) and looks under every codeword within four bits
 (one to six a segment): no pair is missed, and each candidate is verified by its differing bits.
+
+Texts of a similarity of 0.8 can differ in a dozen bits, where a fingerprint alone singles out too little. ``keep_one``
+therefore files a text under the codewords of each segment together with least shingles, and verifies on the shingles.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from foliograph.llm.common import row_key
+from foliograph.llm.common import row_key, run_hashes, scramble, spans
 from foliograph.llm.graphs import components
 from foliograph.session import per_key, settle
 
@@ -186,14 +190,169 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# --- near copies beyond three bits -------------------------------------------------------
+
+WIDTH, SIMILARITY = 5, 0.8
+BANDS = 6
+_RNG = np.random.Generator(np.random.PCG64(9))
+_ORDERS = _RNG.integers(0, 2**63, 2 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = _RNG.integers(0, 2**63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
+LONG_WORD = 1 << 16
+
+
+def _word_hashes(text: bytes | None, block: int = 1 << 15) -> np.ndarray:
+    data = np.frombuffer((text or b"").lower() + b" ", np.uint8)
+    starts, ends = spans(data)
+    hashes = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), block):
+        a, b = starts[at : at + block], ends[at : at + block]
+        if (b - a).max() > LONG_WORD:
+            hashes[at : at + block] = [xxhash.xxh64_intdigest(data[i:j], 42) for i, j in zip(a.tolist(), b.tolist())]
+        else:
+            hashes[at : at + block] = run_hashes(data[a[0] : b[-1]], a - a[0], b - a[0])
+    return hashes
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The distinct shingles of ``WIDTH`` lower-case words, hashed; the whole sequence where there are fewer words."""
+    hashes = _word_hashes(text)
+    width = min(WIDTH, len(hashes))
+    if not width:
+        return hashes
+    n = len(hashes) - width + 1
+    mixed = np.full(n, width, np.uint64)
+    for j in range(width):
+        mixed += hashes[j : j + n] * _PLACES[j]
+    return np.unique(scramble(mixed))
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """A number per band, made of the least shingle in each of two orders."""
+    least = np.array([(shingles * a).min() for a in _ORDERS])
+    return scramble(least[:BANDS] * _ORDERS[:BANDS] + least[BANDS:])
+
+
+def _majority(hashes: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """The bits that are set in over half the ``hashes``, as one number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), block):
+        bits = np.unpackbits(hashes[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def with_sketch(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, fp, and of the set of five-word shingles the digest ``sid``, size ``n``, SimHash ``fp5`` and ``bands``."""
+    schema = docs.select(*keep).schema.add("fp", "long", False).add("sid", "long").add("n", "long").add("fp5", "long").add("bands", ArrayType(LongType()))
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sids, sizes, others, bands = [], [], [], [], []
+            for x in batch.column("_text"):
+                text = x.as_py()
+                shingles = shingle_set(text)
+                fps.append(_fingerprint(text))
+                sizes.append(len(shingles))
+                others.append(int(_majority(shingles).view(np.int64)))
+                sids.append(int(shingles.sum(dtype=np.uint64).view(np.int64)))
+                bands.append(_bands(shingles).view(np.int64).tolist() if len(shingles) else [])
+            columns = [batch.column(k) for k in keep]
+            columns += [pa.array(numbers, pa.int64()) for numbers in (fps, sids, sizes, others)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.list_(pa.int64()))], names=names)
+
+    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
+
+
+def _shared_bands(units: DataFrame) -> DataFrame:
+    """(band, sid, fp, fp5, n, comp) of the bands that units of more than one component have."""
+    every = units.select(F.explode("bands").alias("band"), "sid", "fp", "fp5", "n", "comp")
+    spread = per_key(every, ["band"], F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return every.join(spread.where("low != high").select("band"), "band", "left_semi")
+
+
+def _fuzzy_keys(shared: DataFrame) -> DataFrame:
+    """(key, sid, fp, n, comp): each band with every codeword within four bits of each segment of both fingerprints."""
+    single, table = error_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                bands = part.column("band").to_numpy().view(np.uint64)
+                both = [part.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp5")]
+                for segment, code in enumerate(code for fps in both for code in _codewords(fps, single, table)):
+                    rows, places = np.nonzero(code >= 0)
+                    keys = scramble(bands[rows] + scramble((code[rows, places] << 3 | segment).astype(np.uint64)))
+                    columns = [pa.array(part.column(c).to_numpy()[rows]) for c in ("sid", "fp", "n", "comp")]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *columns], names=["key", "sid", "fp", "n", "comp"])
+
+    return shared.select("band", "sid", "fp", "fp5", "n", "comp").mapInArrow(run, "key long, sid long, fp long, n long, comp long")
+
+
+def _sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, fp, hs): the shingles of each of ``wanted`` (sid, fp, _key), from one of its texts."""
+    texts = keyed.join(wanted, "_key").select("sid", "fp", F.col("text").cast("binary").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                hs = pa.array([shingle_set(one.column("_text")[0].as_py()).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([one.column("sid"), one.column("fp"), hs], names=["sid", "fp", "hs"])
+
+    found = texts.mapInArrow(run, "sid long, fp long, hs array<long>")
+    return per_key(found, ["sid", "fp"], F.first("hs").alias("hs"))
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, units: DataFrame) -> DataFrame:
+    """(u, v): components of the ``pairs`` whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
+    pairs = settle(pairs.distinct())
+    ends = pairs.select("sid", "fp").unionByName(pairs.select(F.col("sid2").alias("sid"), F.col("fp2").alias("fp"))).distinct()
+    sets = settle(_sets(keyed, units.join(ends, ["sid", "fp"]).select("sid", "fp", "_key")))
+    both = pairs.join(sets, ["sid", "fp"]).join(sets.toDF("sid2", "fp2", "hs2"), ["sid2", "fp2"])
+    common = F.size(F.array_intersect("hs", "hs2"))
+    similar = common >= SIMILARITY * (F.size("hs") + F.size("hs2") - common)
+    return both.where(similar).select(F.least("comp", "comp2").alias("v"), F.greatest("comp", "comp2").alias("u")).distinct()
+
+
+def text_components(rows: DataFrame, keyed: DataFrame, comps: DataFrame) -> DataFrame:
+    """``comps`` (fp, comp) merged where texts have five-word shingles of a similarity of 0.8 or more.
+
+    Texts are candidates if they share a band (the least shingle in two orders) and, under it, a codeword within four
+    bits of a segment of either fingerprint (three-word and five-word shingles), so that a band of a frequent passage is split. Stars around one text of
+    a key come first, then pairs whose components still differ; all are verified on their whole shingle sets.
+    """
+    some = per_key(rows.where("n > 0"), ["sid", "fp"], F.min(F.struct("_key", "n", "fp5", "bands")).alias("one"))
+    units = settle(some.join(comps, "fp").select("sid", "fp", "one.*", "comp"))
+    keys = settle(_fuzzy_keys(_shared_bands(units)))
+    fits = (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2"))
+    wanted = ["sid", "fp", "comp", "sid2", "fp2", "comp2"]
+    other = ["sid2", "fp2", "n2", "comp2"]
+    hubs = per_key(keys, ["key"], F.min(F.struct("sid", "fp", "n", "comp")).alias("hub"))
+    hubs = hubs.select("key", *[F.col(f"hub.{c[:-1]}").alias(c) for c in other])
+    first = settle(components(_verified(keys.join(hubs, "key").where(fits).select(*wanted), keyed, units)).toDF("comp", "top"))
+    now = settle(keys.join(first, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top"))
+    pairs = now.join(now.toDF("comp2", "key", "sid2", "fp2", "n2"), "key").where(fits & (F.col("comp") < F.col("comp2")))
+    second = components(_verified(pairs.select(*wanted), keyed, units)).toDF("top", "last")
+    named = comps.join(first, "comp", "left").withColumn("top", F.coalesce("top", "comp")).join(second, "top", "left")
+    return named.select("fp", F.coalesce("last", "top").alias("comp"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near duplicates: of each component the row of the smallest doc_id stays, one if it is repeated."""
-    keyed = docs.withColumn("_key", row_key())
-    rows = settle(with_fingerprint(keyed, ["doc_id", "_key"]))
+    """``docs`` (doc_id, text and others) without the near duplicates: of each component the row of the smallest doc_id stays.
+
+    Texts are linked if their fingerprints differ in three bits or fewer, or if their sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more (``text_components``). Texts without words, NULL ones included, are one component. Rows that
+    repeat id and text count as one; a NULL id stays only where its component has no other. Columns may have any
+    names. An empty table gives an empty table.
+    """
+    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text", row_key().alias("_key"))
+    rows = settle(with_sketch(keyed, ["doc_id", "_key"]))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("_key"))).alias("best")
     distinct = settle(per_key(rows, ["fp"], best))
-    comps = fingerprint_components(distinct.select("fp"))
-    kept = distinct.join(comps, "fp").groupBy("comp").agg(F.min("best").alias("best")).select("best._key")
-    joined = keyed.join(kept, "_key", "left_semi")
-    first = joined.dropDuplicates(["_key"])
-    return first.drop("_key")
+    comps = settle(fingerprint_components(distinct.select("fp")))
+    wide = text_components(rows, keyed, comps)
+    kept = distinct.join(wide, "fp").groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best._key").alias("_k"), F.col("best.doc_id").alias("_id"))
+    same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_key", "doc_id"]).select("_row.*")

@@ -21,7 +21,7 @@ from compare import compare, connect  # noqa: E402
 from test_decontaminate import shingles  # noqa: E402
 from test_line_dedup import brute_force as dedup_lines  # noqa: E402
 from test_mixing import targets_by_rounds, words_of  # noqa: E402
-from test_simhash import plain_components  # noqa: E402
+from test_simhash import plain_groups  # noqa: E402
 
 ROOT = "/root/testdata/sf0.001"
 WITH_SECRETS = "/root/testdata/sf0.01"  # the smaller tables hold none
@@ -33,8 +33,8 @@ def test_run_against_plain_stages(spark):
     accepted = [(r["doc_id"], r["text"], r["source"]) for r in scored.where("predicted = 1").collect()]
     source = {d: s for d, _, s in accepted}
     texts = dict(dedup_lines(accepted, 10))
-    groups = plain_components(texts.items())
-    single = {d: t for d, t in texts.items() if groups[d][1] == d}
+    groups = plain_groups(list(texts.items()))
+    single = {d: t for d, t in texts.items() if groups[d] == d}
     items = [shingles(r["text"]) for r in table(spark, ROOT, "benchmark", "text").collect()]
     clean = {d: t for d, t in single.items() if not any(s and len(s & shingles(t)) >= 0.8 * len(s) for s in items)}
     sizes = defaultdict(int)

@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from foliograph.llm import simhash
 from foliograph.llm.graphs import components
@@ -34,6 +36,27 @@ def plain_components(rows):
     return {i: (f"{fps[i]:016x}", find(i)) for i in ids}
 
 
+def similar(a, b, width=5):
+    """Five-word Jaccard similarity of two texts, the whole sequence where there are fewer words."""
+    sets = []
+    for text in (a, b):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        sets.append({tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1 if w else 0))})
+    return len(sets[0] & sets[1]) / max(len(sets[0] | sets[1]), 1)
+
+
+def plain_groups(rows):
+    """{id: smallest id} over links of three bits or a similarity of 0.8."""
+    top = {i: c for i, (_, c) in plain_components(rows).items()}
+    rows = sorted(rows)
+    for i, (a, s) in enumerate(rows):
+        for b, t in rows[:i]:
+            if top[a] != top[b] and similar(s, t) >= 0.8:
+                low, high = sorted((top[a], top[b]))
+                top = {k: low if v == high else v for k, v in top.items()}
+    return top
+
+
 def test_every_pattern_of_four_bits_has_its_codeword():
     single, table = simhash.error_table()
     counts = (table >= 0).sum(1)
@@ -94,6 +117,58 @@ def test_one_of_each_group_stays(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 9]
 
 
+def test_near_copies_beyond_three_bits(docs):
+    rng = random.Random(11)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((40, 150, 600)))]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 8):  # single words, or a run of them, replaced
+            copy = list(base)
+            if k % 2:
+                for _ in range(max(1, len(base) * k // 400)):
+                    copy[rng.randrange(len(copy))] = f"new{rng.randrange(9999)}"
+            else:
+                at, n = rng.randrange(len(base) - 4), len(base) * k // 60
+                copy[at : at + n] = [f"other{rng.randrange(9999)}" for _ in range(n)]
+            rows.append((10 * g + k, " ".join(copy)))
+    want = {i for i, c in plain_groups(rows).items() if i == c}
+    far = {i for i, (_, c) in plain_components(rows).items() if i == c}
+    got = [r["doc_id"] for r in simhash.keep_one(docs(*rows)).collect()]
+    # nothing goes that should stay; of what should go, keys may miss a few at the threshold itself
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len(rows) - len(got) >= 0.98 * (len(rows) - len(want)) and len(want) < 0.7 * len(far)
+
+
+def test_a_shared_passage_is_no_near_copy(docs):
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(60)) + " " + passage) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].replace("p30", "p31")) for i in range(0, 300, 3)]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(*rows)).collect()) == list(range(300))
+
+
+def test_kept_rows_keep_all_columns(docs):
+    few = docs((1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, ""), (5, "x"), (5, "y"), (None, "y"))
+    for name in ("_key", "_id", "_k", "fp", "n", "sid", "bands", "_row", "comp"):
+        few = few.withColumn(name, F.col("doc_id").cast("string"))
+    kept = simhash.keep_one(few)
+    assert kept.columns == few.columns
+    assert sorted((r["doc_id"], r["text"], r["_key"], r["n"]) for r in kept.collect()) == [
+        (1, "a b c d e f g", "1", "1"), (3, None, "3", "3"), (5, "x", "5", "5"), (5, "y", "5", "5")
+    ]
+    assert simhash.keep_one(docs()).count() == 0
+
+
+def test_shingles_of_odd_texts():
+    assert len(simhash.shingle_set(None)) == len(simhash.shingle_set(b" \n\t")) == 0
+    assert len(simhash.shingle_set(b"one")) == 1 and simhash.shingle_set(b"A b").tolist() == simhash.shingle_set(b"a\n b ").tolist()
+    words = [b"w%d" % (i % 70001) for i in range(200000)]
+    assert len(simhash.shingle_set(b" ".join(words))) == 70001
+    long = b"a b " + b"x" * 100000 + b" c d e"
+    assert len(simhash.shingle_set(long)) == 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
