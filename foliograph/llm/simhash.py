@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from foliograph.llm.common import row_key, run_hashes, scramble, spans
+from foliograph.llm.common import run_hashes, scramble, small, spans, written
 from foliograph.llm.graphs import components
 from foliograph.session import per_key, settle
 
@@ -292,7 +292,8 @@ def _fuzzy_keys(shared: DataFrame) -> DataFrame:
 
 def _sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, fp, hs): the shingles of each of ``wanted`` (sid, fp, _key), from one of its texts."""
-    texts = keyed.join(wanted, "_key").select("sid", "fp", F.col("text").cast("binary").alias("_text"))
+    wanted, n = written(wanted)
+    texts = keyed.join(small(wanted, n), "_key").select("sid", "fp", F.col("text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,12 +348,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeat id and text count as one; a NULL id stays only where its component has no other. Columns may have any
     names. An empty table gives an empty table.
     """
-    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text", row_key().alias("_key"))
+    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.struct("doc_id", F.xxhash64("text").alias("h")).alias("_key"))
     rows = settle(with_sketch(keyed, ["doc_id", "_key"]))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("_key"))).alias("best")
     distinct = settle(per_key(rows, ["fp"], best))
     comps = settle(fingerprint_components(distinct.select("fp")))
     wide = text_components(rows, keyed, comps)
-    kept = distinct.join(wide, "fp").groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best._key").alias("_k"), F.col("best.doc_id").alias("_id"))
-    same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_key", "doc_id"]).select("_row.*")
+    kept = distinct.join(wide, "fp").groupBy("comp").agg(F.min("best").alias("best")).select("best._key")
+    # a struct is never NULL, so rows with a NULL id are joined like any other
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
