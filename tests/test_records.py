@@ -179,3 +179,14 @@ def test_csv_files_in_many_splits(spark, tmp_path):
     assert errors == {"ragged.csv": files.CSV_RAGGED + "2", "other.csv": files.CSV_HEADER, "open.csv": files.CSV_OPEN}
     whole = files.read_csv_records(spark, str(tmp_path / "part*.csv"), ["h", "k", "l"]).collect()
     assert sorted((r.h, r.k, r.l) for r in whole) == plain
+
+
+def test_texts_as_files_without_a_folder_each(spark, tmp_path):
+    """Rows that repeat a key get a file each, and all files lie in one folder."""
+    rows = [(i, f"line\n{i}") for i in range(40)] + [(7, "again"), (8, None)]
+    folder = str(tmp_path / "texts")
+    named = files.write_texts(spark.createDataFrame(rows, "id long, text string"), "id", "text", folder)
+    read = files.text_documents(spark, folder, "*.txt").withColumn("file_no", files.file_number(F.col("path")))
+    got = sorted((r.id, r.content) for r in named.join(read, "file_no").collect())
+    assert got == sorted((i, (text or "") + "\n") for i, text in rows)
+    assert not [d for d in (tmp_path / "texts").iterdir() if d.is_dir()]
