@@ -51,20 +51,33 @@ def dehyphenate(text: Column) -> Column:
     return F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2")
 
 
-def clean_candidate(candidate: Column) -> Column:
-    """Drop the code fence and the ``Fixed:`` label an answer may be wrapped in."""
-    bare = F.regexp_replace(trim_space(candidate), r"^(?:```markdown)*(?:```)*", "")
-    bare = trim_space(F.regexp_replace(bare, r"(?:```)+$", ""))
-    return trim_space(F.regexp_replace(bare, r"^Fixed:", ""))
+def clean_candidate(candidate: Column, original: Column | None = None) -> Column:
+    """Drop the code fence and the ``Fixed:`` label an answer may be wrapped in.
+
+    With ``original``, fences that it begins with itself are no wrapper, and a fence at the end is one only if one was dropped in front.
+    """
+    bare = trim_space(candidate)
+    lead, tail = r"^(?:```markdown)*(?:```)*", r"(?:```)+$"
+    opened, closed = F.regexp_replace(bare, lead, ""), lambda c: F.regexp_replace(c, tail, "")
+    if original is None:
+        bare = closed(opened)
+    else:
+        own, wrapper = trim_space(original), F.regexp_extract(bare, lead, 0)
+        wrapped = (wrapper != "") & (wrapper != F.regexp_extract(own, lead, 0))
+        bare = F.when(wrapped, closed(opened)).otherwise(bare)
+    return trim_space(F.regexp_replace(trim_space(bare), r"^Fixed:", ""))
 
 
 def rewrite_budget(original: Column) -> Column:
     return F.greatest(F.char_length(original) * 2, F.lit(256))
 
 
-def accept_rewrite(original: Column, candidate: Column) -> Column:
-    """struct(text, accepted): the cleaned candidate if its length is plausible, else the original."""
-    cleaned = clean_candidate(candidate)
+def accept_rewrite(original: Column, candidate: Column, own_fences: bool = False) -> Column:
+    """struct(text, accepted): the cleaned candidate if its length is plausible, else the original.
+
+    With ``own_fences`` fences that wrap nothing stay.
+    """
+    cleaned = clean_candidate(candidate, original if own_fences else None)
     size, limit = F.char_length(cleaned), F.char_length(original)
     fits = (size > 0) & (size <= limit * 2) & (size >= F.floor(limit * 3 / 10))
     fits = F.coalesce(fits, F.lit(False))

@@ -132,14 +132,14 @@ def rewrite_chunks(
     chunks: DataFrame, fn: Callable[..., pd.Series], asked: str = "chunk", partitions: int | None = None
 ) -> DataFrame:
     """Add ``rewritten`` and ``accepted``. ``fn`` sees the column ``asked`` and, if it takes a second argument, the budget of each
-    chunk: how many tokens it may answer with.
+    chunk: how many tokens it may answer with. Fences that do not wrap the whole answer are kept.
 
     With ``partitions`` the chunks are spread over that many tasks first, which pays when
     ``fn`` is slow and few texts hold most chunks.
     """
     spread = chunks.repartition(partitions, "chunk") if partitions else chunks
     answered = spread.withColumn("_answer", rewriter(fn)(F.col(asked), rewrite_budget(F.col("chunk"))))
-    gate = answered.withColumn("_gate", accept_rewrite(F.col("chunk"), F.col("_answer")))
+    gate = answered.withColumn("_gate", accept_rewrite(F.col("chunk"), F.col("_answer"), own_fences=True))
     return gate.withColumn("rewritten", F.col("_gate.text")).withColumn(
         "accepted", F.col("_gate.accepted")
     ).drop("_answer", "_gate")

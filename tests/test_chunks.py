@@ -84,3 +84,21 @@ def test_fences_behind_any_blank(spark):
     for r in chunks.chunk_text(df, 600).collect():
         sizes.setdefault(r.id, []).append(len(r.chunk))
     assert sizes[0] == sizes[1]
+
+
+def test_fences_of_the_chunk_itself_stay(spark):
+    """Only a fence that wraps an answer goes, not the one a chunk begins or ends with."""
+    texts = ["text\n\n```", "```\ncode\n```", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, chunk string")
+    told = lambda fn: [r.rewritten for r in chunks.rewrite_chunks(df, fn).orderBy("id").collect()]
+    assert told(lambda t: t) == texts
+    assert told(lambda t: "Fixed: " + t) == texts
+    assert told(lambda t: "```markdown\n" + t + "\n```") == texts
+
+
+def test_an_answer_is_not_cut_to_an_accepted_length(spark):
+    """What a repeated text begins with again is no closing fence: the answer is too long and the chunk stays."""
+    text = "```\n" + "a" * 122
+    df = spark.createDataFrame([(0, text)], "id int, chunk string")
+    row = chunks.rewrite_chunks(df, lambda t: "Fixed: " + (t * 3).str[:256]).first()
+    assert (row.rewritten, row.accepted) == (text, False)
