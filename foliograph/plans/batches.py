@@ -18,12 +18,11 @@ from foliograph.sources import files
     "SELECT page_id, strlen(html) + 1 AS length, 'txt' AS ext FROM pages",
 )
 def file_manifest(spark, sf_dir):
-    """Pages written as files, one in a folder of its own each, and listed."""
+    """Pages written as a file each and listed."""
     folder = scratch_path(spark, "pages")
-    table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
-    found = files.file_manifest(spark, folder, "*.txt")
-    page = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint")
-    return found.select(page.alias("page_id"), "length", "ext")
+    named = files.write_texts(table(spark, sf_dir, "pages"), "page_id", "html", folder)
+    found = files.file_manifest(spark, folder, "*.txt").select(files.file_number(F.col("path")).alias("file_no"), "length", "ext")
+    return named.join(found, "file_no").select("page_id", "length", "ext")
 
 
 @query(
