@@ -20,7 +20,7 @@ from itertools import combinations, permutations, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from foliograph.llm.common import run_hashes, scramble, small, spans, written
@@ -306,23 +306,42 @@ def _sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return per_key(found, ["sid", "fp"], F.first("hs").alias("hs"))
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, units: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): components of the ``pairs`` whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more."""
-    pairs = settle(pairs.distinct())
-    ends = pairs.select("sid", "fp").unionByName(pairs.select(F.col("sid2").alias("sid"), F.col("fp2").alias("fp"))).distinct()
-    sets = settle(_sets(keyed, units.join(ends, ["sid", "fp"]).select("sid", "fp", "_key")))
     both = pairs.join(sets, ["sid", "fp"]).join(sets.toDF("sid2", "fp2", "hs2"), ["sid2", "fp2"])
     common = F.size(F.array_intersect("hs", "hs2"))
     similar = common >= SIMILARITY * (F.size("hs") + F.size("hs2") - common)
     return both.where(similar).select(F.least("comp", "comp2").alias("v"), F.greatest("comp", "comp2").alias("u")).distinct()
 
 
+def _prefix_pairs(open_units: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of ``open_units`` (sid, fp, n, comp) of different components that can reach ``SIMILARITY``; no such pair is missed.
+
+    Shingles are ordered by how many of these texts have them, rare ones first. Similar sets meet in the first ninth of the smaller one and
+    the first fifth of the larger one, and where they first meet both have enough left to reach the overlap they need. Texts
+    that share much, but not enough, differ in rare shingles, which come before those they share.
+    """
+    opened = open_units.join(sets, ["sid", "fp"]).select("sid", "fp", "n", "comp", F.explode("hs").alias("h"))
+    shared = per_key(opened, ["h"], F.count(F.lit(1)).alias("texts"))
+    inside = Window.partitionBy("sid", "fp").orderBy("texts", "h")
+    placed = opened.join(shared, "h").withColumn("at", F.row_number().over(inside) - 1)
+    first = settle(placed.where((F.col("at") <= (1 - SIMILARITY) * F.col("n") + 1) & (F.col("texts") > 1)).drop("texts"))
+    short = first.where(F.col("at") <= (1 - 2 * SIMILARITY / (1 + SIMILARITY)) * F.col("n") + 1)
+    larger = first.toDF(*["h" if c == "h" else f"{c}2" for c in first.columns])
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    ordered = F.struct("n", "sid", "fp") < F.struct(F.col("n2").alias("n"), F.col("sid2").alias("sid"), F.col("fp2").alias("fp"))
+    reach = (F.col("comp") != F.col("comp2")) & ordered & (most >= SIMILARITY * (F.col("n") + F.col("n2") - most))
+    met = short.hint("shuffle_hash").join(larger, (short["h"] == larger["h"]) & reach)
+    return met.select("sid", "fp", "comp", "sid2", "fp2", "comp2").distinct()
+
+
 def text_components(rows: DataFrame, keyed: DataFrame, comps: DataFrame) -> DataFrame:
     """``comps`` (fp, comp) merged where texts have five-word shingles of a similarity of 0.8 or more.
 
     Texts are candidates if they share a band (the least shingle in two orders) and, under it, a codeword within four
     bits of a segment of either fingerprint (three-word and five-word shingles), so that a band of a frequent passage is split. Stars around one text of
-    a key come first, then pairs whose components still differ; all are verified on their whole shingle sets.
+    a key come first; texts of keys whose components still differ then meet by their rarest shingles (``_prefix_pairs``), because
+    texts that share a key without being similar would come out as all their pairs. All are verified on their whole shingle sets.
     """
     some = per_key(rows.where("n > 0"), ["sid", "fp"], F.min(F.struct("_key", "n", "fp5", "bands")).alias("one"))
     units = settle(some.join(comps, "fp").select("sid", "fp", "one.*", "comp"))
@@ -332,10 +351,15 @@ def text_components(rows: DataFrame, keyed: DataFrame, comps: DataFrame) -> Data
     other = ["sid2", "fp2", "n2", "comp2"]
     hubs = per_key(keys, ["key"], F.min(F.struct("sid", "fp", "n", "comp")).alias("hub"))
     hubs = hubs.select("key", *[F.col(f"hub.{c[:-1]}").alias(c) for c in other])
-    first = settle(components(_verified(keys.join(hubs, "key").where(fits).select(*wanted), keyed, units)).toDF("comp", "top"))
+    stars = settle(keys.join(hubs, "key").where(fits).select(*wanted).distinct())
+    ends = stars.select("sid", "fp").unionByName(stars.select(F.col("sid2").alias("sid"), F.col("fp2").alias("fp"))).distinct()
+    sets = settle(_sets(keyed, units.join(ends, ["sid", "fp"]).select("sid", "fp", "_key")))
+    first = settle(components(_verified(stars, sets)).toDF("comp", "top"))
     now = settle(keys.join(first, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top"))
-    pairs = now.join(now.toDF("comp2", "key", "sid2", "fp2", "n2"), "key").where(fits & (F.col("comp") < F.col("comp2")))
-    second = components(_verified(pairs.select(*wanted), keyed, units)).toDF("top", "last")
+    spread = per_key(now, ["key"], F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+    open_units = settle(now.join(spread, "key", "left_semi").select("sid", "fp", "n", "comp").distinct())
+    sets = settle(_sets(keyed, units.join(open_units, ["sid", "fp"]).select("sid", "fp", "_key")))
+    second = components(_verified(settle(_prefix_pairs(open_units, sets)), sets)).toDF("top", "last")
     named = comps.join(first, "comp", "left").withColumn("top", F.coalesce("top", "comp")).join(second, "top", "left")
     return named.select("fp", F.coalesce("last", "top").alias("comp"))
 

@@ -174,3 +174,16 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_texts_that_share_much_but_not_enough_make_no_pairs(spark):
+    """All pairs of a crowd at a similarity of 0.6 would be 1,225; those that are similar are found among few candidates."""
+    common = list(range(1000, 1075))
+    crowd = {i: common + [5000 + 100 * i + k for k in range(25)] for i in range(50)}
+    crowd[90] = crowd[7][:-2] + [1, 2]
+    rows = [(i, i, len(hs), i) for i, hs in crowd.items()]
+    units = spark.createDataFrame(rows, "sid long, fp long, n long, comp long")
+    sets = spark.createDataFrame([(i, i, hs) for i, hs in crowd.items()], "sid long, fp long, hs array<long>")
+    pairs = simhash._prefix_pairs(units, sets)
+    assert {(r.sid, r.sid2) for r in pairs.collect()} == {(7, 90)}
+    assert [(r.u, r.v) for r in simhash._verified(pairs, sets).collect()] == [(90, 7)]
