@@ -190,3 +190,19 @@ def test_texts_as_files_without_a_folder_each(spark, tmp_path):
     got = sorted((r.id, r.content) for r in named.join(read, "file_no").collect())
     assert got == sorted((i, (text or "") + "\n") for i, text in rows)
     assert not [d for d in (tmp_path / "texts").iterdir() if d.is_dir()]
+
+
+def test_lines_of_one_split_are_added_up_in_many_blocks(spark, tmp_path, monkeypatch):
+    """No task adds up a whole split: a file of one split is cut into blocks of ``LINES``."""
+    seen, add_up = [], files.sum_before
+
+    def watched(df, keys, order, block, value, name):
+        seen.append(df.select(*keys, *[b.alias(f"b{i}") for i, b in enumerate(block)]).distinct().count())
+        return add_up(df, keys, order, block, value, name)
+
+    monkeypatch.setattr(files, "LINES", 100)
+    monkeypatch.setattr(files, "sum_before", watched)
+    (tmp_path / "a.csv").write_text("n,t\n" + "".join(f'{i},"x\ny"\n' for i in range(500)))
+    back = files.split_csv_records(spark, str(tmp_path / "*.csv"), ["n", "t"])
+    assert sorted((int(r.n), r.t, r.error) for r in back.collect()) == [(i, "x\ny", None) for i in range(500)]
+    assert min(seen) > 5
