@@ -86,3 +86,13 @@ def test_objects_of_one_merge(spark, skew_settings):
         hot(F.col("id"), 1000).alias("merge_id"), (F.col("id") % 7).alias("doc_seq"), F.col("id").alias("obj_id"))
     rows, plan = final_plan(assembly.renumber_objects(pool, ["merge_id"]))
     assert rows == ROWS and "SortMergeJoin(skew=true)" in plan
+
+
+def test_tasks_after_a_shuffle_follow_its_size(spark):
+    """Four partitions asked for: what one task gets is bounded by bytes, not a quarter of all rows."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    try:
+        wide = spark.range(2_000_000, numPartitions=4).selectExpr("unhex(sha2(string(id), 256)) AS h").distinct()
+        assert wide.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
