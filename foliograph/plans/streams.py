@@ -53,5 +53,5 @@ def manifest_stream(spark, sf_dir):
     files = table_stream(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("/in/"), "l_orderkey", F.lit("/"), "l_linenumber").alias("path")
     )
-    folder = monitors.drain(monitors.manifest_stream(files), "append", "manifest", monitors.merge_files)
+    folder = monitors.drain(monitors.manifest_stream(files), "append", "manifest", monitors.merge_files, fold=True)
     return monitors.latest_files(spark, folder)

@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -31,17 +32,17 @@ SCHEMAS = {
 }
 
 
-def start(stream: DataFrame, folder: str, mode: str, merge: Merge | None = None, once: bool = True) -> StreamingQuery:
+def start(stream: DataFrame, folder: str, mode: str, merge: Merge | None = None, once: bool = True, fold: bool = False) -> StreamingQuery:
     """Run ``stream`` into the store at ``folder``; with ``once`` it ends when all present input is read."""
-    store = EpochStore(stream.sparkSession, folder, merge)
+    store = EpochStore(stream.sparkSession, folder, merge, fold)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").foreachBatch(store.write)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
-def drain(stream: DataFrame, mode: str, label: str, merge: Merge | None = None) -> str:
+def drain(stream: DataFrame, mode: str, label: str, merge: Merge | None = None, fold: bool = False) -> str:
     """Run to the end of the present input and return the folder of the store."""
     folder = scratch_path(stream.sparkSession, label)
-    start(stream, folder, mode, merge).awaitTermination()
+    start(stream, folder, mode, merge, fold=fold).awaitTermination()
     return folder
 
 
@@ -263,14 +264,21 @@ def latest_tail(spark: SparkSession, folder: str, schema: StructType | str) -> D
 # --- arriving files ---------------------------------------------------------------------
 
 
-def manifest_stream(files: DataFrame, delay: str = "1 day", spread: int = 32) -> DataFrame:
-    """Arriving files, each path once within ``delay``, which bounds the state; a later copy is told again and merged by ``latest_files``.
+def _first_of_path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(~batch.column("path").to_pandas().duplicated().to_numpy()))
 
-    Copies are first dropped per path and salt, so the copies of one path are not all
-    sent to the same task.
+
+def manifest_stream(files: DataFrame, delay: str | None = None) -> DataFrame:
+    """Arriving files, for a store that folds by path: ``merge_files`` with ``fold``.
+
+    The store drops the copies, within an epoch as it is written and across epochs as parts are merged or read, so nothing is kept as
+    state and no path is forgotten. For readers of the stream itself, ``delay`` tells each path once within that time. That costs a row
+    of state per path; the copies are thinned in their own tasks first, so those of one path are not all sent to the same task.
     """
-    salted = clocked(files.withColumn("_salt", F.spark_partition_id() % spread), delay)
-    return salted.dropDuplicatesWithinWatermark(["path", "_salt"]).dropDuplicatesWithinWatermark(["path"]).drop("_salt", "_seen")
+    if delay is None:
+        return files
+    return clocked(files.mapInArrow(_first_of_path, files.schema), delay).dropDuplicatesWithinWatermark(["path"]).drop("_seen")
 
 
 def merge_files(files: DataFrame) -> DataFrame:

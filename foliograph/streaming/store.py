@@ -19,10 +19,13 @@ KEPT = 3  # manifests, for readers that still use an older one
 
 
 class EpochStore:
-    """The parts below ``folder``; ``merge`` folds a union of parts into fewer rows of the same columns."""
+    """The parts below ``folder``; ``merge`` folds a union of parts into fewer rows of the same columns.
 
-    def __init__(self, spark: SparkSession, folder: str, merge: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.folder, self.merge = spark, folder.rstrip("/"), merge or (lambda df: df)
+    With ``fold`` the rows of an epoch are merged before they are written, for streams that tell a key more than once an epoch.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, merge: Callable[[DataFrame], DataFrame] | None = None, fold: bool = False):
+        self.spark, self.folder, self.merge, self.fold = spark, folder.rstrip("/"), merge or (lambda df: df), fold
         self._files = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -42,9 +45,9 @@ class EpochStore:
             stream.close()
 
     def current(self) -> dict:
-        """The newest manifest: epoch, schema and parts (level and folder)."""
+        """The newest manifest: epoch, schema, parts (level and folder) and whether each part was merged when it was written."""
         names = self._manifests()
-        return self._load(names[-1]) if names else {"epoch": -1, "schema": None, "parts": []}
+        return self._load(names[-1]) if names else {"epoch": -1, "schema": None, "parts": [], "folded": True}
 
     def _commit(self, manifest: dict) -> None:
         name = f"{manifest['epoch']:012d}.json"
@@ -74,14 +77,16 @@ class EpochStore:
         if epoch <= now["epoch"]:
             return
         name = f"parts/epoch-{epoch}"
-        batch.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        rows = self.merge(batch) if self.fold else batch
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         parts, level = [*now["parts"], [0, name]], 0
         while len(full := [p for at, p in parts if at == level]) >= FAN:
             merged = f"parts/level-{level + 1}-{epoch}"
             self.merge(self._parts(full, batch.schema)).write.mode("overwrite").parquet(f"{self.folder}/{merged}")
             parts = [p for p in parts if p[0] != level] + [[level + 1, merged]]
             level += 1
-        self._commit({"epoch": epoch, "schema": batch.schema.jsonValue(), "parts": parts})
+        folded = self.fold and now.get("folded", False)
+        self._commit({"epoch": epoch, "schema": batch.schema.jsonValue(), "parts": parts, "folded": folded})
         self._expire()
 
     def read(self, schema: StructType | None = None) -> DataFrame:
@@ -89,4 +94,5 @@ class EpochStore:
         now = self.current()
         if not now["parts"]:
             return self.spark.createDataFrame([], schema)
-        return self.merge(self._parts([p for _, p in now["parts"]], StructType.fromJson(now["schema"])))
+        rows = self._parts([p for _, p in now["parts"]], StructType.fromJson(now["schema"]))
+        return rows if len(now["parts"]) == 1 and now.get("folded", False) else self.merge(rows)

@@ -129,6 +129,32 @@ def test_manifest(spark, feed, delay):
     assert sorted(got) == sorted({p for p, _ in rows})
 
 
+def test_manifest_folded_by_the_store(spark, feed):
+    """No state; each epoch is told without copies, and copies of other epochs go as the parts are read. NULL is a path."""
+    rows = [(None if n % 11 == 5 else f"/p{n % 11}", None if n % 3 else 2**60 + n, n) for n in range(220)]
+    df = spark.createDataFrame(rows, "path string, size long, seq long")
+    folder = scratch_path(spark, "t")
+    query = monitors.start(monitors.manifest_stream(feed(df, 4, F.floor(F.col("seq") / 55))), folder, "append", monitors.merge_files, fold=True)
+    query.awaitTermination()
+    assert len(query.recentProgress) == 4 and all(not p["stateOperators"] for p in query.recentProgress)
+    parts = [p for _, p in store.EpochStore(spark, folder).current()["parts"]]
+    assert [spark.read.parquet(f"{folder}/{p}").count() for p in parts] == [11] * 4
+    got = rows_of(monitors.latest_files(spark, folder, df.schema))
+    assert len(got) == 11 and {p for p, _, _ in got} == {p for p, _, _ in rows} and got <= set(rows)
+
+
+def test_manifest_told_once(spark, feed):
+    """With ``delay`` the stream itself tells each path once, by one state, and leaves the other columns as they are."""
+    rows = [(None if n % 11 == 5 else f"/p{n % 11}", None if n % 3 else 2**60 + n, n) for n in range(220)]
+    df = spark.createDataFrame(rows, "path string, size long, seq long")
+    folder = scratch_path(spark, "t")
+    query = monitors.start(monitors.manifest_stream(feed(df, 4, F.floor(F.col("seq") / 55)), "1 day"), folder, "append")
+    query.awaitTermination()
+    assert {len(p["stateOperators"]) for p in query.recentProgress} == {1}
+    told = [tuple(r) for r in store.EpochStore(spark, folder).read().collect()]
+    assert len(told) == 11 and {p for p, _, _ in told} == {p for p, _, _ in rows} and set(told) <= set(rows)
+
+
 def test_no_input(spark, tmp_path):
     (tmp_path / "none").mkdir()
     lines = spark.readStream.schema("job_id int, seq long, line string").parquet(str(tmp_path / "none"))
@@ -149,6 +175,22 @@ def test_a_repeated_epoch_changes_nothing(spark):
     assert kept.read().count() == 1
 
 
+def test_only_a_folded_part_is_read_as_it_is(spark):
+    """One part that was merged when it was written is not merged again; one that was not, or several, are."""
+    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "path string")
+    plain, folded = scratch_path(spark, "t"), scratch_path(spark, "t")
+    store.EpochStore(spark, plain).write(rows, 0)
+    store.EpochStore(spark, folded, monitors.merge_files, fold=True).write(rows, 0)
+    shuffled = lambda df: "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    for folder in (plain, folded):
+        assert sorted(r.path for r in monitors.latest_files(spark, folder).collect()) == ["a", "b"]
+    assert shuffled(monitors.latest_files(spark, plain)) and not shuffled(monitors.latest_files(spark, folded))
+    store.EpochStore(spark, folded).write(rows, 1)  # by a writer that does not fold
+    assert sorted(r.path for r in monitors.latest_files(spark, folded).collect()) == ["a", "b"]
+    store.EpochStore(spark, plain, monitors.merge_files, fold=True).write(rows, 1)
+    assert store.EpochStore(spark, plain).current()["folded"] is False
+
+
 def test_an_epoch_that_broke_off_is_replaced(spark):
     folder = scratch_path(spark, "t")
     rows = spark.createDataFrame([("a",), ("b",)], "path string")
