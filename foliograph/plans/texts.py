@@ -90,7 +90,8 @@ mixed AS (
       WHEN t LIKE '<%' AND t LIKE '%>' AND t LIKE '%</%' THEN 'xml' WHEN k = 2 THEN 'toml' ELSE 'txt' END AS format FROM bare""",
 )
 def sniff_format(spark, sf_dir):
-    n, body = F.col("doc_id"), F.col("text")
+    """Texts dealt one of six forms, and pages. A text that is NULL counts as empty."""
+    n, body = F.col("doc_id"), F.coalesce("text", F.lit(""))
     mixed = (
         F.when(n % 6 == 0, F.to_json(F.struct(n.alias("id"), body.alias("text"))))
         .when(n % 6 == 1, F.concat(F.lit('<?xml version="1.0"?><d>'), body, F.lit("</d>\n")))
@@ -100,7 +101,7 @@ def sniff_format(spark, sf_dir):
         .otherwise(body)
     )
     docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.concat(F.lit("d"), n).alias("id"), mixed.alias("text"))
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.coalesce("html", F.lit("")).alias("text"))
     return docs.unionByName(pages).select("id", documents.sniff_format(F.col("text")).alias("format"))
 
 

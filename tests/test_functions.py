@@ -160,6 +160,13 @@ def test_sniff(apply):
     assert apply(documents.sniff_format, [None]) == [None]
 
 
+def test_sniff_of_prose_that_is_toml(apply):
+    """Keys may have blanks around their dots and comments may follow values, so a word or two with a secret can be a TOML document."""
+    toml = ['token = "ab"', 'This. token = "ab"', 'A. B. token = "ab"', 'token = "ab"### La', '# c\ntoken = "ab"']
+    txt = ['Erö. token = "ab"', 'token = "ab" This.', 'This is. token = "ab"', 'This. token = "ab"\nmore']
+    assert apply(documents.sniff_format, toml + txt) == ["toml"] * len(toml) + ["txt"] * len(txt)
+
+
 def test_resolve_refs(spark):
     known = spark.createDataFrame([("/in/a b.txt",), ("/in/c.pdf",)], "path string")
     cases = {

@@ -30,3 +30,18 @@ def test_all_have_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_sniff_of_null_texts(spark, tmp_path):
+    """A text that is NULL is empty inside each form it is dealt, as in the SQL."""
+    texts = [None, "", " ", "This is.", '{"a": 1}', "<a></a>"]
+    tables = {
+        "documents": ("doc_id long, text string", [(i * 6 + k, t) for i, t in enumerate(texts) for k in range(6)]),
+        "pages": ("page_id long, html string", list(enumerate(texts))),
+    }
+    for name, (schema, rows) in tables.items():
+        frame = spark.createDataFrame(rows, schema).toPandas()
+        frame.to_parquet(tmp_path / f"{name}.parquet", index=False)
+    name = "b16_sniff_format"
+    _, rows, message = compare(spark, connect(str(tmp_path)), name, entry.QUERIES[name], ORACLES[name], str(tmp_path))
+    assert rows == 42 and not message
