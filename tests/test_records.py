@@ -206,3 +206,30 @@ def test_lines_of_one_split_are_added_up_in_many_blocks(spark, tmp_path, monkeyp
     back = files.split_csv_records(spark, str(tmp_path / "*.csv"), ["n", "t"])
     assert sorted((int(r.n), r.t, r.error) for r in back.collect()) == [(i, "x\ny", None) for i in range(500)]
     assert min(seen) > 5
+
+
+def test_many_texts_as_files_in_groups(spark, tmp_path):
+    """Groups hold all files, which lie there without files of check sums, and few tasks read them."""
+    rows = [(i, None if i % 7 == 0 else f"é\n{i % 5}") for i in range(2100)]
+    folder = str(tmp_path / "texts")
+    named = files.write_texts(spark.createDataFrame(rows, "id long, text string"), "id", "text", folder, groups=3)
+    assert {str(p.suffix) for p in (tmp_path / "texts").rglob("*") if p.is_file()} == {".txt"}
+    groups = files.folders(spark, folder)
+    assert len(groups) == 3
+    for one in [folder, *groups]:
+        assert files.text_documents(spark, one).rdd.getNumPartitions() <= files.READERS * spark.sparkContext.defaultParallelism
+    read = [files.text_documents(spark, one).select(files.file_number(F.col("path")).alias("file_no"), "content") for one in groups]
+    got = named.join(read[0].union(read[1]).union(read[2]), "file_no").collect()
+    assert sorted((r.id, r.content) for r in got) == [(i, (text or "") + "\n") for i, text in rows]
+    with pytest.raises(FileExistsError):
+        files.write_texts(named, "file_no", "id", folder)
+
+
+def test_texts_in_a_store_that_only_spark_reaches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_new_mounted_folder", lambda *_: None)
+    rows = [(i, f"line\n{i}") for i in range(20)]
+    folder = str(tmp_path / "texts")
+    named = files.write_texts(spark.createDataFrame(rows, "id long, text string"), "id", "text", folder, groups=2)
+    assert files.folders(spark, folder) == [folder]
+    read = files.text_documents(spark, folder, "*.txt").withColumn("file_no", files.file_number(F.col("path")))
+    assert sorted((r.id, r.content) for r in named.join(read, "file_no").collect()) == [(i, text + "\n") for i, text in rows]
