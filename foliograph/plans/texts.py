@@ -90,7 +90,8 @@ mixed AS (
       WHEN t LIKE '<%' AND t LIKE '%>' AND t LIKE '%</%' THEN 'xml' WHEN k = 2 THEN 'toml' ELSE 'txt' END AS format FROM bare""",
 )
 def sniff_format(spark, sf_dir):
-    """Texts dealt one of six forms, and pages. A text that is NULL counts as empty."""
+    """Texts dealt one of six forms, and pages. A text that is NULL counts as empty, and so does an id in its name."""
+    named = lambda mark, key: F.concat(F.lit(mark), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("id")
     n, body = F.col("doc_id"), F.coalesce("text", F.lit(""))
     mixed = (
         F.when(n % 6 == 0, F.to_json(F.struct(n.alias("id"), body.alias("text"))))
@@ -100,8 +101,8 @@ def sniff_format(spark, sf_dir):
         .when(n % 6 == 4, F.concat(F.lit("key = value without quotes\n"), body))
         .otherwise(body)
     )
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.concat(F.lit("d"), n).alias("id"), mixed.alias("text"))
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.coalesce("html", F.lit("")).alias("text"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(named("d", "doc_id"), mixed.alias("text"))
+    pages = table(spark, sf_dir, "pages").select(named("p", "page_id"), F.coalesce("html", F.lit("")).alias("text"))
     return docs.unionByName(pages).select("id", documents.sniff_format(F.col("text")).alias("format"))
 
 

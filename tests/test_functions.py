@@ -167,6 +167,18 @@ def test_sniff_of_prose_that_is_toml(apply):
     assert apply(documents.sniff_format, toml + txt) == ["toml"] * len(toml) + ["txt"] * len(txt)
 
 
+def test_json_with_half_a_character(apply):
+    """Escapes of surrogates come in pairs, by the parser and by the reduction of texts beyond its size."""
+    high, low = r"\ud83d", r"\ude00"
+    good = [f'"{high}{low}"', r'"\\ud800"', rf'"\u00e9{high}{low}\n"', rf'["\\{high}{low}", "\\\\ud800"]', '"😀"']
+    bad = [f'"{high}"', f'"{low}"', f'"{high}{high}{low}"', f'"{high}{low}{low}"', f'"{high}x{low}"', rf'["\\{high}"]', f'{{"{low}": 1}}', rf'"{high.upper().replace("U", "u")}\{low}"']
+    want = [True] * len(good) + [False] * len(bad)
+    assert apply(documents.is_json, good + bad) == want
+    assert apply(documents.is_json_by_reduction, good + bad) == want
+    assert apply(lambda c: documents.strict_json(c).isNotNull(), good + bad) == want
+    assert apply(documents.sniff_format, [f"[{t}]" for t in good + bad[:-1]]) == ["json"] * len(good) + ["txt"] * (len(bad) - 1)
+
+
 def test_resolve_refs(spark):
     known = spark.createDataFrame([("/in/a b.txt",), ("/in/c.pdf",)], "path string")
     cases = {

@@ -45,3 +45,15 @@ def test_sniff_of_null_texts(spark, tmp_path):
     name = "b16_sniff_format"
     _, rows, message = compare(spark, connect(str(tmp_path)), name, entry.QUERIES[name], ORACLES[name], str(tmp_path))
     assert rows == 42 and not message
+
+
+def test_sniff_without_ids(spark, tmp_path):
+    """A text whose id is NULL is taken as it is and named by its kind only, as in the SQL."""
+    texts = [None, "", "This is.", '{"a": 1}', r'["\ud800"]', "<a></a>"]
+    for name, columns in (("documents", ["doc_id", "text"]), ("pages", ["page_id", "html"])):
+        rows = [(None, t) for t in texts] + [(i, t) for i, t in enumerate(texts)]
+        frame = spark.createDataFrame(rows, f"{columns[0]} long, {columns[1]} string").toPandas()
+        frame.astype({columns[0]: "Int64"}).to_parquet(tmp_path / f"{name}.parquet", index=False)
+    name = "b16_sniff_format"
+    _, rows, message = compare(spark, connect(str(tmp_path)), name, entry.QUERIES[name], ORACLES[name], str(tmp_path))
+    assert rows == 24 and not message
